@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, secrets
+from tidemill.llm import bpe, jaccard, secrets
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -36,9 +36,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: SQL that gives the same rows, where SQL can.
