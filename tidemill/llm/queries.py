@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, jaccard, secrets
+from tidemill.llm import bpe, hamming, jaccard, secrets, topk
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -36,6 +36,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose key is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose key is divisible by 20."""
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
@@ -44,6 +54,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_pivot_topk": op3_pivot_topk,
+    "op7_multi_index_hashing": op7_multi_index_hashing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
