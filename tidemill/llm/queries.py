@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, hamming, jaccard, secrets, topk
+from tidemill.llm import bpe, hamming, jaccard, langid, secrets, topk, toxicity
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -41,6 +41,21 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and the verdict of every document, by a chain fitted on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.production_categories())
+    return toxicity.predict(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose key is divisible by 20."""
     return hamming.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -55,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_pivot_topk": op3_pivot_topk,
+    "op5_toxicity_chain": op5_toxicity_chain,
+    "op6_language_crf": op6_language_crf,
     "op7_multi_index_hashing": op7_multi_index_hashing,
     "op10_jaccard_join": op10_jaccard_join,
 }
