@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, hamming, jaccard, langid, secrets, topk, toxicity
+from tidemill.llm import bpe, hamming, jaccard, langid, pii, secrets, topk, toxicity
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -61,6 +61,17 @@ def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: counts and digest of the base kinds, and all spans."""
+    spans = F.col("spans")
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(joined(of_kinds(spans, pii.BASE)), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_chain": op5_toxicity_chain,
     "op6_language_crf": op6_language_crf,
     "op7_multi_index_hashing": op7_multi_index_hashing,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
