@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, hamming, jaccard, langid, pii, secrets, topk, toxicity
+from tidemill.llm import bpe, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -41,6 +41,11 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its training sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.tokens(F.col("text")))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and the verdict of every document, by a chain fitted on the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +77,12 @@ def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
@@ -81,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_pivot_topk": op3_pivot_topk,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity_chain": op5_toxicity_chain,
     "op6_language_crf": op6_language_crf,
     "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_pii_disclosure": op8_pii_disclosure,
+    "op9_context_mixing": op9_context_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
