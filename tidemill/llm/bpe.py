@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces and pairs remembered by a Python worker at most; beyond, the memory starts anew.
-KEPT = 500_000
+KEPT = 150_000
+#: Texts a step, so that little is held at once.
+STEP = 1_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -39,17 +41,29 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.tokens = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.tokens.add_word(token.decode("latin-1"), (len(token), rank))
-        self.tokens.make_automaton()
-        self.length_of = {rank: len(token) for token, rank in self.ranks.items()}
-        #: The longest token that begins a token, -1 if none does.
-        self.shorter = {r: next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t, r in self.ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.joined: dict[int, tuple[int, int]] = {}
         self.packed = _Packed(self)
 
+    @cached_property
+    def tokens(self) -> ahocorasick.Automaton:
+        """Finds every token in a piece."""
+        tokens = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            tokens.add_word(token.decode("latin-1"), (len(token), rank))
+        tokens.make_automaton()
+        return tokens
+
+    @cached_property
+    def length_of(self) -> dict[int, int]:
+        """Bytes of each token."""
+        return {rank: len(token) for token, rank in self.ranks.items()}
+
+    @cached_property
+    def shorter(self) -> dict[int, int]:
+        """The longest token that begins a token, -1 if none does."""
+        return {r: next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t, r in self.ranks.items()}
+
     def merged(self, piece: bytes, parts_left: int = 1) -> list[int]:
         """The merges by definition: time and again join the leftmost adjacent pair of lowest rank."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -168,18 +182,28 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit) of every whole text."""
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Key, ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit) of every whole text.
+
+    With ``decoded``, a column of that name gets the bytes that the ids decode to, for a check of the round trip.
+    """
+    names = [key, "n_tokens", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in _steps(batches):
             ids = [bpe.encode(x) if x else b"" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [key, "n_tokens", "ids"]
-            )
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in names[2:])])
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
@@ -190,7 +214,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in _steps(batches):
             texts = [bpe.decode(x) if x else b"" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, out])
 

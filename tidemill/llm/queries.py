@@ -18,8 +18,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests of both."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(encoded, path, pattern).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded="decoded").select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
