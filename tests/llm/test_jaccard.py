@@ -54,6 +54,7 @@ def corpus(seed, groups=12, copies=9):
 def test_against_all_pairs(spark, monkeypatch, words, num, den, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(jaccard, "MAP_BITS", 128)
     rows = corpus(words)
     docs = spark.createDataFrame([(d, t, None, 1, "x") for d, t in rows], SCHEMA).repartition(3)
     found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(docs, jaccard.Rule(words, num, den)).collect()}
@@ -76,3 +77,15 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     found = sorted(tuple(r) for r in jaccard.join(docs).collect())
     assert found == [(1, 2, 1, 2), (1, 2, 1, 2), (3, 0, 3, 0), (7, 2, 1, 2)]
     assert jaccard.join(docs.limit(0)).collect() == []
+
+
+def test_folded_sketches_never_exceed_the_symmetric_difference():
+    rng = random.Random(4)
+    rule = jaccard.Rule(3, 80, 100)
+    for _ in range(200):
+        words = [str(rng.randrange(400)) for _ in range(rng.randint(1, 600))]
+        other = [w if rng.random() > 0.1 else "x" for w in words] + ["y"] * rng.choice([0, 3, 400])
+        a, b = (jaccard.shingles(" ".join(w), 3) for w in (words, other))
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert jaccard.sketches_apart(jaccard.sketch(a, rule), jaccard.sketch(b, rule)) <= apart
+    assert jaccard.sketches_apart(jaccard.sketch(a, rule), jaccard.sketch(a, rule)) == 0

@@ -10,9 +10,11 @@ least P - D parts of two linked documents agree.  Equal parts (band, part, word)
 
 * a document may leave out its empty parts and those that very many documents share ("hot" ones), as long as these
   number less than P - D: then a part that it keeps still agrees with each linked document.  Otherwise it keeps all;
-* documents of one text count once, and documents that share a part form a clump, found as connected components;
-* inside a clump every pair is compared, sketches first and then the sets, in blocks of bounded size dealt to tasks.
-  No pair leaves its task: a block returns link counts and a spanning forest of its links.
+* documents of one set count once; those that share a part which is not hot become pairs, at most ``HOT`` for each row,
+  and pass if the Hamming distance of their whole sketches allows a link;
+* these pairs, and the kept hot parts, form clumps (connected components). Inside a clump every pair is compared,
+  sketches first and then the sets, in blocks of bounded size dealt to tasks. No pair leaves its task: a block returns
+  link counts and a spanning forest of its links.
 
 Defined results: a text that is null or has no words has an empty set and links with nothing; one with fewer than n
 words has its whole sequence as its only shingle; rows with a null key are left out; repeated rows give repeated rows;
@@ -41,6 +43,8 @@ KEPT = 400_000
 HOT = 24
 #: Documents and shingles of a block; clumps beyond this are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Bits of the map that spares documents without candidates a shuffle; its size is fixed, whatever the input.
+MAP_BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -112,6 +116,28 @@ def fingerprint(hashes: np.ndarray, seed: int = 0) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def sketch(hashes: np.ndarray, rule: Rule) -> bytes:
+    """Parity sketch of a whole set, eight bits or more for each shingle that a linked set of its size may differ in.
+
+    Its width is a power of two: folding a wider sketch onto a narrower one gives the narrower one.
+    """
+    bits = 1 << max(6, (8 * rule.most_apart(2 * len(hashes))).bit_length())
+    at = (_mixed(hashes) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(one: bytes, two: bytes) -> int:
+    """Hamming distance of two sketches, the wider one folded: never more than the sets' symmetric difference."""
+    a, b = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    if len(one) < len(two):
+        a, b, one, two = b, a, two, one
+    bits = 8 * len(one)
+    while bits > 8 * len(two):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
 def part_keys(hashes: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
     """For each band that a set takes part in: the band, how many hot parts it may leave out, and the keys of its parts."""
     size = len(hashes)
@@ -136,17 +162,17 @@ def part_keys(hashes: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray
 
 
 def _base(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Key, set size and two fingerprints of every document."""
+    """Key, set size, two fingerprints and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, rule.words) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets]))],
-                ["doc_id", "n_shingles", "f1", "f2"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets])), pa.array([sketch(s, rule) for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "f1", "f2", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -169,20 +195,54 @@ def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "key long, f1 long, role long")
 
 
-def _clumps(keys: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    one, two = (classes.select(F.col("f1").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small, large, left, right = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            near = [
+                rule.den * min(m, n) >= rule.num * max(m, n) and sketches_apart(x, y) <= rule.most_apart(m + n)
+                for m, n, x, y in zip(small, large, left, right, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _clumps(keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Set fingerprint and clump of every set that may link with another one."""
     of_key = Window.partitionBy("key")
     shared = cut(
-        keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), (F.count("*").over(of_key) > HOT).alias("hot")).where("lo != hi").drop("hi")
+        keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), (F.count("*").over(of_key) > HOT).alias("hot")).where("lo != hi").drop("lo", "hi")
     )
+    few, many = shared.where("not hot").select("key", "f1"), shared.where("hot")
+    pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b").distinct()
     spare = F.col("role").bitwiseAND((1 << 44) - 1)
-    spared = shared.where("hot").select("key", "f1", "role").distinct().groupBy("f1", "role").agg((F.count("*") < spare).alias("spared")).where("spared")
-    kept = shared.where("hot").join(spared, ["f1", "role"], "left_anti").select("f1", F.min("f1").over(of_key).alias("lo"))
-    edges = shared.where("not hot").select("f1", "lo").union(kept).where("f1 != lo").distinct()
-    found = components(edges, "f1", "lo")
+    spared = many.select("key", "f1", "role").distinct().groupBy("f1", "role").agg((F.count("*") < spare).alias("spared")).where("spared")
+    kept = many.join(spared, ["f1", "role"], "left_anti").select(F.col("f1").alias("a"), F.min("f1").over(of_key).alias("b"))
+    found = components(_near(pairs, classes, rule).union(kept.where("a != b").distinct()))
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose key may be among the chosen ones: all of those, and as few others as the fixed map allows."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    words = chosen.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            set_ = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(set_ == 1))
+
+    return rows.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
+
+
 def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
     """Clump, block pair, own block, fingerprint, copies and set, once for each block pair that compares the document."""
 
@@ -288,11 +348,11 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     base = cut(_base(rows, rule))
     clash = F.when(F.min("f2") != F.max("f2"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.count("*"))
-    classes = cut(base.where("n_shingles > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), clash.cast("long").alias("copies"), F.max("n_shingles").alias("size")))
-    clumps = cut(_clumps(_keys(rows, rule)).toDF("f1", "clump").join(classes, "f1"))
+    classes = cut(base.where("n_shingles > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), clash.cast("long").alias("copies"), F.max("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
+    clumps = cut(_clumps(_keys(rows, rule), classes, rule).toDF("f1", "clump").join(classes.drop("sketch"), "f1"))
     sizes = clumps.groupBy("clump").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    chosen = clumps.join(sizes, "clump").select(F.col("rep").alias("doc_id"), "clump", "f1", "copies", "blocks")
-    links = cut(_links(_blocks(rows.join(chosen, "doc_id"), rule), rule))
+    chosen = cut(clumps.join(sizes, "clump").select(F.col("rep").alias("doc_id"), "clump", "f1", "copies", "blocks"))
+    links = cut(_links(_blocks(_likely(rows, chosen).join(chosen, "doc_id"), rule), rule))
     roots = components(links.where("n is null"))
     counts = links.where("n is not null").groupBy(F.col("a").alias("f1")).agg(F.sum("n").alias("n"))
     placed = classes.join(roots.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
