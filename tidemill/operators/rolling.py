@@ -102,7 +102,7 @@ def power_law(alpha: float, delta: float, n: int) -> Column:
 
 def weights(alpha: float, delta: float, n: int) -> list[float]:
     """The same as numbers, for frames whose weights are known when the plan is built."""
-    raw = [(i + delta) ** -alpha for i in range(1, n + 1)]
+    raw = [float(i + delta) ** -float(alpha) for i in range(1, n + 1)]
     total = sum(raw)
     return [x / total for x in raw] if 0 < total < float("inf") else [1.0 / n] * n
 
