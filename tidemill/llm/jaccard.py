@@ -38,7 +38,9 @@ from tidemill.llm.cut import cut
 from tidemill.llm.graph import components
 
 #: Words whose hashes a Python worker remembers at most; beyond, the memory starts anew.
-KEPT = 400_000
+KEPT = 200_000
+#: Texts a step, so that little is held at once.
+STEP = 2_000
 #: A part that more documents share than this is hot.
 HOT = 24
 #: Documents and shingles of a block; clumps beyond this are compared block by block.
@@ -161,11 +163,16 @@ def part_keys(hashes: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray
     return out
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP))
+
+
 def _base(docs: DataFrame, rule: Rule) -> DataFrame:
     """Key, set size, two fingerprints and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             sets = [shingles(x, rule.words) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets])), pa.array([sketch(s, rule) for s in sets], pa.binary())],
@@ -176,11 +183,12 @@ def _base(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Part keys of every set, with its band and spare parts in one number; sets that repeat within a batch give theirs once."""
+    """Part keys of every set, with its band and spare parts in one number; sets that repeat in a task give theirs once while they are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
+        seen: set[int] = set()
+        for batch in _steps(batches):
+            seen = seen if len(seen) < KEPT else set()
             rows: list[tuple[int, int, int, np.ndarray]] = []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, rule.words)

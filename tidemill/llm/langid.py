@@ -16,6 +16,8 @@ probabilities the language first in order; repeated rows give repeated rows; ``p
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,9 +32,16 @@ from pyspark.sql import types as T
 #: Documents of each language and words of each document in the sample, and words that a worker remembers, at most.
 DOCS_EACH, WORDS_EACH, KEPT = 150, 600, 200_000
 #: Hashed features, training chains of a step and words of a chain, steps, and texts that a task labels together.
-BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 2_000
+BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 5_000
 UNKNOWN = "und"
-WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+LETTERS = regex.compile(r"\p{L}+")
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters of a text."""
+    found = _RUNS(text) if text else []
+    return found if all(map(str.isalpha, found)) else LETTERS.findall(text)  # the quick pattern also takes numerals such as ²
 
 
 def features(word: str) -> list[int]:
@@ -44,6 +53,21 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(f) % BUCKETS for f in sorted(found)]
 
 
+class _Rows(dict):
+    """Word to the place of its scores, computed when it is first met."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights, self.table = weights, np.empty((1024, weights.shape[1]), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        if place == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[place] = self.weights[features(word)].sum(axis=0)
+        return place
+
+
 @dataclass
 class Field:
     """Languages, feature weights (buckets x languages) and transitions (from x to)."""
@@ -51,29 +75,25 @@ class Field:
     langs: list[str]
     weights: np.ndarray
     moves: np.ndarray
-    known: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    known: _Rows | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "weights": self.weights, "moves": self.moves, "known": {}, "rows": []}
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Scores (words x languages); a distinct word is looked at once while it is remembered."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-            self.rows.clear()
-        for word in set(words) - self.known.keys():
-            self.known[word] = len(self.rows)
-            self.rows.append(self.weights[features(word)].sum(axis=0))
-        table = np.array(self.rows, np.float32)
-        return table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        return {"langs": self.langs, "weights": self.weights, "moves": self.moves, "known": None}
+
+    def scores(self, found: list[list[str]], total: int) -> np.ndarray:
+        """Scores (words x languages) of texts one after the other; a distinct word is looked at once while it is remembered."""
+        if self.known is None or len(self.known) > KEPT:
+            self.known = _Rows(self.weights)
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(found)), np.int64, total)
+        return self.known.table[at]
 
     def probabilities(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Forward-backward over chains that lie one after the other in ``scores``: a row of probabilities for each word."""
         order = np.argsort(-sizes, kind="stable")
         starts = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
-        local = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
+        local = scores - scores.max(axis=1, keepdims=True)
+        np.exp(local, out=local)
         step = np.exp(self.moves - self.moves.max()).astype(np.float32)
         longest = int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # chains longer than t
@@ -91,15 +111,16 @@ class Field:
             back[:n] = (back[:n] * local[at]) @ step.T
             back[:n] /= back[:n].sum(axis=1, keepdims=True)
             forward[at - 1] *= back[:n]
-        return forward / forward.sum(axis=1, keepdims=True)
+        forward /= forward.sum(axis=1, keepdims=True)
+        return forward
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and the runs of words of one language (start, end, language), of each text; see ``predict``."""
-        found = [WORDS(x) if x else [] for x in texts]
+        places = [[m.span() for m in LETTERS.finditer(x or "")] for x in texts]
+        found = [[x[a:b] for a, b in own] for x, own in zip(texts, places, strict=True)]
         out = self.languages(found)
         runs = []
-        for text, words, probabilities in zip(texts, found, out[2], strict=True):
-            spans = [m.span() for m in regex.finditer(r"\p{L}[\p{L}\p{M}]*", text or "")]
+        for spans, words, probabilities in zip(places, found, out[2], strict=True):
             best = probabilities.argmax(axis=1) if len(words) else []
             own: list[tuple[int, int, str]] = []
             for (a, b), i in zip(spans, best, strict=True):
@@ -116,10 +137,12 @@ class Field:
         nothing = np.empty((0, len(self.langs)), np.float32)
         if not self.langs or not sizes.sum():
             return [UNKNOWN] * len(found), [0.0] * len(found), [nothing] * len(found)
-        each = self.probabilities(self.scores([w for ws in found for w in ws]), sizes)
+        each = self.probabilities(self.scores(found, int(sizes.sum())), sizes)
         ends = np.cumsum(sizes)
         parts = [each[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        means = [p.mean(axis=0, dtype=np.float64) if len(p) else None for p in parts]
+        sums = np.add.reduceat(each, (ends - sizes)[sizes > 0], axis=0, dtype=np.float64)
+        at = np.cumsum(sizes > 0) - 1
+        means = [sums[k] / n if n else None for k, n in zip(at, sizes, strict=True)]
         best = [int(m.argmax()) if m is not None else -1 for m in means]
         return (
             [self.langs[i] if i >= 0 else UNKNOWN for i in best],
@@ -133,7 +156,7 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 0
     langs = sorted(set(labels))
     lists: dict[str, list[list[str]]] = {lang: [] for lang in langs}
     for text, lang in zip(texts, labels, strict=True):
-        if words := WORDS(text or "")[:WORDS_EACH]:
+        if words := words_of(text)[:WORDS_EACH]:
             lists[lang].append(words)
     langs = [lang for lang in langs if lists[lang]]
     count = len(langs)
@@ -212,7 +235,7 @@ def _labelled(batch: pa.RecordBatch, place: int, model: Field) -> tuple[list[str
     langs: list[str] = []
     scores: list[float] = []
     for start in range(0, batch.num_rows, TOGETHER):
-        own = model.languages([WORDS(x) if x else [] for x in batch.column(place).slice(start, TOGETHER).to_pylist()])
+        own = model.languages([words_of(x) for x in batch.column(place).slice(start, TOGETHER).to_pylist()])
         langs += own[0]
         scores += own[1]
     return langs, scores
