@@ -54,6 +54,7 @@ def corpus(seed, groups=12, copies=9):
 def test_against_all_pairs(spark, monkeypatch, words, num, den, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(jaccard, "SKETCH_DOCS", 4)
     monkeypatch.setattr(jaccard, "MAP_BITS", 128)
     rows = corpus(words)
     docs = spark.createDataFrame([(d, t, None, 1, "x") for d, t in rows], SCHEMA).repartition(3)

@@ -8,13 +8,14 @@ in a band; each band deals its shingles to P > D parts.  A part's sketch is a 64
 part flips one bit, so the Hamming distance of two sketches is at most the size of their symmetric difference, and at
 least P - D parts of two linked documents agree.  Equal parts (band, part, word) are joined:
 
-* a document may leave out its empty parts and those that very many documents share ("hot" ones), as long as these
-  number less than P - D: then a part that it keeps still agrees with each linked document.  Otherwise it keeps all;
-* documents of one set count once; those that share a part which is not hot become pairs, at most ``HOT`` for each row,
-  and pass if the Hamming distance of their whole sketches allows a link;
-* these pairs, and the kept hot parts, form clumps (connected components). Inside a clump every pair is compared,
-  sketches first and then the sets, in blocks of bounded size dealt to tasks. No pair leaves its task: a block returns
-  link counts and a spanning forest of its links.
+* a document leaves out its empty parts and its most common ones, in all less than P - D. One fixed table of counters
+  gives the order for every document, so of the parts in which two linked documents agree the rarest is left out by
+  neither;
+* documents of one set count once; those that share a part with ``HOT`` rows at most become pairs, and pass if the Hamming distance of their whole sketches allows a link;
+* those that share a part with more rows are compared by whole sketches in blocks of bounded size dealt to tasks; a block
+  returns a spanning forest of the pairs that pass;
+* pairs that passed form clumps (connected components). Inside a clump every pair is compared, sketches first and then
+  the sets, again in blocks. No pair leaves its task: a block returns link counts and a spanning forest of its links.
 
 Defined results: a text that is null or has no words has an empty set and links with nothing; one with fewer than n
 words has its whole sequence as its only shingle; rows with a null key are left out; repeated rows give repeated rows;
@@ -24,7 +25,7 @@ other columns are not carried.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,10 +42,14 @@ from tidemill.llm.graph import components
 KEPT = 200_000
 #: Texts a step, so that little is held at once.
 STEP = 2_000
-#: A part that more documents share than this is hot.
+#: Rows of a part up to which they become pairs.
 HOT = 24
+#: Sets of a block when sketches are compared; larger groups are compared block by block.
+SKETCH_DOCS = 1_024
 #: Documents and shingles of a block; clumps beyond this are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Counters by which parts are ordered, and those that a task reports at most; both only steer the order, never the result.
+SLOTS, REPORTED = 1 << 20, 1 << 14
 #: Bits of the map that spares documents without candidates a shuffle; its size is fixed, whatever the input.
 MAP_BITS = 1 << 25
 
@@ -73,7 +78,7 @@ def bands(rule: Rule) -> tuple[np.ndarray, list[tuple[int, int]]]:
     dealt = []
     for top in tops:
         apart = rule.most_apart(top + top * rule.den // rule.num)
-        dealt.append((apart, apart + 1 + math.ceil(apart * (0.05 + 1 - rule.num / rule.den))))
+        dealt.append((apart, apart + 1 + math.ceil(apart * 0.75)))
     return np.array(tops), dealt
 
 
@@ -140,8 +145,8 @@ def sketches_apart(one: bytes, two: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def part_keys(hashes: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
-    """For each band that a set takes part in: the band, how many hot parts it may leave out, and the keys of its parts."""
+def part_keys(hashes: np.ndarray, rule: Rule, common: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each band that a set takes part in, the keys of its parts; given counters, without those that it may leave out."""
     size = len(hashes)
     tops, dealt = bands(rule)
     own = int(np.searchsorted(tops, size))
@@ -156,13 +161,20 @@ def part_keys(hashes: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray
         words, filled = np.zeros(parts, np.uint64), np.zeros(parts, bool)
         np.bitwise_xor.at(words, part.astype(np.int64), bit)
         filled[part.astype(np.int64)] = True
-        ids = np.arange(parts, dtype=np.uint64) + np.uint64(band << 44)
-        keys = _mixed(_mixed(ids) + words)
-        spare = parts - apart - int(parts - filled.sum())
-        out.append((band, spare, keys[filled]) if spare > 0 else (band, 0, keys))
+        keys = _mixed(_mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 44)) + words)
+        spare = parts - apart - 1 - int(parts - filled.sum())
+        if spare >= 0:  # else even some empty parts must stay
+            keys = keys[filled]
+            if common is not None:
+                keys = keys[np.lexsort((keys, common[_slots(keys)]))[: len(keys) - spare]]
+        out.append(keys)
     return out
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP))
@@ -182,25 +194,51 @@ def _base(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Fingerprint and set, step by step; sets that repeat in a task come once while they are remembered."""
+    seen: set[int] = set()
+    for batch in _steps(batches):
+        seen = seen if len(seen) < KEPT else set()
+        fresh = []
+        for text in batch.column(0).to_pylist():
+            found = shingles(text, rule.words)
+            if len(found) and (f1 := fingerprint(found)) not in seen:
+                seen.add(f1)
+                fresh.append((f1, found))
+        yield fresh
+
+
+def _common(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How often parts fall to each counter, as far as tasks report it: those that stand out in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for fresh in _sets(batches, rule):
+            for _, found in fresh:
+                for keys in part_keys(found, rule):
+                    np.add.at(counts, _slots(keys), 1)
+        high = np.flatnonzero(counts >= 4 + 2 * counts.mean())
+        high = high[np.argsort(-counts[high], kind="stable")[:REPORTED]]
+        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(counts[high])], ["slot", "n"])
+
+    found = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def _keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Part keys of every set, with its band and spare parts in one number; sets that repeat in a task give theirs once while they are remembered."""
+    """Kept part keys of every set."""
+    common = _common(docs, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in _steps(batches):
-            seen = seen if len(seen) < KEPT else set()
-            rows: list[tuple[int, int, int, np.ndarray]] = []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, rule.words)
-                if len(found) and (f1 := fingerprint(found)) not in seen:
-                    seen.add(f1)
-                    rows += [(f1, band, spare, keys) for band, spare, keys in part_keys(found, rule)]
+        for fresh in _sets(batches, rule):
+            rows = [(f1, keys) for f1, found in fresh for keys in part_keys(found, rule, common)]
             if rows:
-                sizes = [len(r[3]) for r in rows]
-                owners = (np.repeat(np.array(x, np.int64), sizes) for x in ([r[0] for r in rows], [r[1] << 44 | r[2] for r in rows]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_signed(np.concatenate([r[3] for r in rows])), *owners)], ["key", "f1", "role"])
+                owners = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([r[1] for r in rows]))), pa.array(owners)], ["key", "f1"])
 
-    return docs.mapInArrow(run, "key long, f1 long, role long")
+    return docs.select("text").mapInArrow(run, "key long, f1 long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -220,18 +258,65 @@ def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _alike(groups: DataFrame, rule: Rule) -> DataFrame:
+    """A spanning forest (a, b) of the pairs in each group whose sizes and sketches allow a link, block by block.
+
+    ``groups`` has ``key, one, two, own, f1, size, sketch``; pairs don't leave their task.
+    """
+
+    def edges(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        rows = sorted(rows, key=lambda r: r[5])
+        sizes, own, width = np.array([r[5] for r in rows]), np.array([r[3] for r in rows]), min(len(r[6]) for r in rows)
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[6], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
+        near = []
+        for i in range(len(rows) - 1):
+            end = np.searchsorted(sizes, sizes[i] * rule.den // rule.num, side="right")
+            apart = np.bitwise_count(words[i + 1 : end] ^ words[i]).sum(axis=1, dtype=np.int64)
+            fits = apart <= (sizes[i + 1 : end] + sizes[i]) * (rule.den - rule.num) // (rule.den + rule.num)
+            if rows[0][1] != rows[0][2]:
+                fits &= own[i + 1 : end] != own[i]
+            near.append((i, np.flatnonzero(fits) + i + 1))
+        return [(rows[i][4], rows[j][4]) for i, j in forest((i, int(j)) for i, js in near for j in js)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    found += edges(group)
+                    group = []
+                group.append(row)
+            yield _pairs(found)
+        yield _pairs(edges(group))
+
+    by = ["key", "one", "two"]
+    return groups.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _paired_blocks(rows: DataFrame) -> DataFrame:
+    """The rows with ``one, two, own``, once for each pair of blocks that holds the row's own block."""
+    own = F.pmod(F.xxhash64("f1"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    return rows.select("*", own.alias("own"), other).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).drop("other", "blocks")
+
+
 def _clumps(keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Set fingerprint and clump of every set that may link with another one."""
     of_key = Window.partitionBy("key")
-    shared = cut(
-        keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), (F.count("*").over(of_key) > HOT).alias("hot")).where("lo != hi").drop("lo", "hi")
-    )
-    few, many = shared.where("not hot").select("key", "f1"), shared.where("hot")
+    shared = cut(keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), F.count("*").over(of_key).alias("n")).where("lo != hi").drop("lo", "hi"))
+    few, kept = shared.where(F.col("n") <= HOT).select("key", "f1"), shared.where(F.col("n") > HOT).select("key", "f1").distinct()
     pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b").distinct()
-    spare = F.col("role").bitwiseAND((1 << 44) - 1)
-    spared = many.select("key", "f1", "role").distinct().groupBy("f1", "role").agg((F.count("*") < spare).alias("spared")).where("spared")
-    kept = many.join(spared, ["f1", "role"], "left_anti").select(F.col("f1").alias("a"), F.min("f1").over(of_key).alias("b"))
-    found = components(_near(pairs, classes, rule).union(kept.where("a != b").distinct()))
+    blocks = kept.groupBy("key").agg(F.ceil(F.count("*") / SKETCH_DOCS).cast("long").alias("blocks"))
+    groups = _paired_blocks(kept.join(blocks, "key").join(classes.select("f1", "size", "sketch"), "f1"))
+    alike = _alike(groups.select("key", "one", "two", "own", "f1", "size", "sketch"), rule)
+    found = components(_near(pairs, classes, rule).union(alike))
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -262,9 +347,7 @@ def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], hashes], ["clump", "f1", "copies", "blocks", "hashes"]).filter(pa.array(own, pa.bool_()))
 
     dealt = members.select("clump", "f1", "copies", "blocks", "text").mapInArrow(run, "clump long, f1 long, copies long, blocks long, hashes binary")
-    own = F.pmod(F.xxhash64("f1"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return dealt.select("*", own.alias("own"), other).select("clump", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "f1", "copies", "hashes")
+    return _paired_blocks(dealt).select("clump", "one", "two", "own", "f1", "copies", "hashes")
 
 
 def compare(sets: list[np.ndarray], block: np.ndarray, cross: bool, rule: Rule) -> list[tuple[int, int]]:
@@ -298,7 +381,7 @@ def compare(sets: list[np.ndarray], block: np.ndarray, cross: bool, rule: Rule)
     return links
 
 
-def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """A spanning forest of these links."""
     above: dict[int, int] = {}
 

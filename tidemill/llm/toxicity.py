@@ -106,10 +106,10 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarr
     return weights
 
 
-def _telling(rows: np.ndarray, codes: np.ndarray, width: int, y: np.ndarray) -> np.ndarray:
-    """The features that tell the two values apart best, by their log odds against their spread."""
-    with_, without = np.bincount(codes, y[rows], width), np.bincount(codes, 1 - y[rows], width)
-    positive, negative = max(1, y.sum()), max(1, (1 - y).sum())
+def _telling(rows: np.ndarray, codes: np.ndarray, width: int, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The features that tell the two values apart best among the rows in use, by their log odds against their spread."""
+    with_, without = np.bincount(codes, (y * use)[rows], width), np.bincount(codes, ((1 - y) * use)[rows], width)
+    positive, negative = max(1, (y * use).sum()), max(1, ((1 - y) * use).sum())
     odds = np.log((with_ + 0.5) / (positive + 1)) - np.log((without + 0.5) / (negative + 1))
     score = np.abs(odds) / np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
     score[with_ + without < 3] = 0
@@ -121,8 +121,16 @@ def fit_chain(features: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chai
     """The chain of these categories over these texts' features."""
     links: dict[str, Link] = {}
     count = len(features)
-    rows = np.repeat(np.arange(count), [len(f) for f in features])
-    hashes, codes = np.unique(np.concatenate(features) if count else np.empty(0, np.uint64), return_inverse=True)
+    flat = np.concatenate(features) if count else np.empty(0, np.uint64)
+    hashes, times = np.unique(flat, return_counts=True)
+    hashes = hashes[times >= 3]  # rarer ones are never chosen
+    rows, codes = np.repeat(np.arange(count, dtype=np.int32), [len(f) for f in features]), np.empty(len(flat), np.int32)
+    for i in range(0, len(flat), 1 << 18):  # in steps, to hold little at once
+        part = flat[i : i + (1 << 18)]
+        at = np.minimum(np.searchsorted(hashes, part), max(0, len(hashes) - 1))
+        codes[i : i + (1 << 18)] = np.where(hashes[at] == part, at, -1) if len(hashes) else -1
+    del flat
+    rows, codes = rows[codes >= 0], codes[codes >= 0]
     fold = np.arange(count) % FOLDS
     earlier = np.empty((count, 0))
     for name, y in labels.items():
@@ -135,12 +143,11 @@ def fit_chain(features: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chai
         held = np.zeros(count)
         for part in [*range(FOLDS), -1]:  # the last model learns from all rows
             use = fold != part
-            cells = use[rows]
-            chosen = _telling(rows[cells], codes[cells], len(hashes), np.where(use, y, 0))
+            chosen = _telling(rows, codes, len(hashes), y, use)
             at = np.full(len(hashes), -1)
             at[chosen] = np.arange(len(chosen))
             set_ = at[codes] >= 0
-            own = cells & set_
+            own = use[rows] & set_
             place = np.cumsum(use) - 1
             weights = _logistic(place[rows[own]], at[codes[own]], len(chosen), earlier[use], y[use])
             if part >= 0:
@@ -166,9 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label
     schema = T.StructType([rows.schema["k"], T.StructField("f", T.ArrayType(T.LongType())), *(T.StructField(f"y{i}", T.IntegerType()) for i in range(len(names)))])
     got = rows.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("k").slice(0, labelled)
     lists = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
+    values = {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)}
+    del got
     flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else []
-    features = np.split(flat, ends[:-1]) if len(lists) else []
-    return fit_chain(features, {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)})
+    return fit_chain(np.split(flat, ends[:-1]) if len(lists) else [], values)
 
 
 def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
