@@ -78,7 +78,7 @@ def bands(rule: Rule) -> tuple[np.ndarray, list[tuple[int, int]]]:
     dealt = []
     for top in tops:
         apart = rule.most_apart(top + top * rule.den // rule.num)
-        dealt.append((apart, apart + 1 + math.ceil(apart * 0.75)))
+        dealt.append((apart, apart + 1 + math.ceil(apart * (0.05 + 1 - rule.num / rule.den))))
     return np.array(tops), dealt
 
 
@@ -310,9 +310,11 @@ def _paired_blocks(rows: DataFrame) -> DataFrame:
 def _clumps(keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Set fingerprint and clump of every set that may link with another one."""
     of_key = Window.partitionBy("key")
-    shared = cut(keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), F.count("*").over(of_key).alias("n")).where("lo != hi").drop("lo", "hi"))
-    few, kept = shared.where(F.col("n") <= HOT).select("key", "f1"), shared.where(F.col("n") > HOT).select("key", "f1").distinct()
-    pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b").distinct()
+    after = F.collect_list("f1").over(of_key.orderBy("f1").rowsBetween(1, HOT))
+    shared = keys.select("*", F.min("f1").over(of_key).alias("lo"), F.max("f1").over(of_key).alias("hi"), (F.count("*").over(of_key) > HOT).alias("hot"), after.alias("after")).where("lo != hi")
+    shared = cut(shared.select("f1", F.when(F.col("hot"), F.col("key")).alias("key"), F.when(~F.col("hot"), F.array_distinct("after")).alias("after")))
+    pairs = shared.select(F.col("f1").alias("a"), F.explode("after").alias("b")).where("a < b").distinct()
+    kept = shared.where(F.col("key").isNotNull()).select("key", "f1").distinct()
     blocks = kept.groupBy("key").agg(F.ceil(F.count("*") / SKETCH_DOCS).cast("long").alias("blocks"))
     groups = _paired_blocks(kept.join(blocks, "key").join(classes.select("f1", "size", "sketch"), "f1"))
     alike = _alike(groups.select("key", "one", "two", "own", "f1", "size", "sketch"), rule)
