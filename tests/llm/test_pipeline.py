@@ -74,3 +74,12 @@ def test_repeated_ids_stay_once(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1)] * 2 + [(2, "h i j k l m n", "en", "s", 1), (None, "x", "en", "s", 1)]
     kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, DOCUMENTS), "")
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2]
+
+
+def test_a_repeated_id_with_other_texts_loses_near_copies_only(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    rows = [(1, texts[0]), (7, texts[0] + " end"), (7, texts[1]), (7, texts[1]), (7, texts[1].upper()), (7, texts[2]), (9, texts[2] + " end"), (9, texts[3]), (7, ""), (7, None), (None, texts[1])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCUMENTS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    lower = sorted((d or 0, (t or "").lower()) for d, t in kept)
+    assert lower == sorted([(1, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[3]), (7, ""), (7, ""), (0, texts[1])])

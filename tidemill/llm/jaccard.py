@@ -180,18 +180,18 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP))
 
 
-def _base(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Key, set size, two fingerprints and sketch of every document."""
+def _base(docs: DataFrame, rule: Rule, hashed: bool = False) -> DataFrame:
+    """Key, set size, two fingerprints and sketch of every document, and the third column, ``hash``, if it is ``hashed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _steps(batches):
             sets = [shingles(x, rule.words) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets])), pa.array([sketch(s, rule) for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets])), pa.array([sketch(s, rule) for s in sets], pa.binary()), *batch.columns[2:]],
+                ["doc_id", "n_shingles", "f1", "f2", "sketch", *["hash"] * hashed],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary" + ", hash long" * hashed)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -436,10 +436,8 @@ def _links(blocks: DataFrame, rule: Rule) -> DataFrame:
     return blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, n long")
 
 
-def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (least document that it reaches) and ``n_links`` (documents linked with it)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    base = cut(_base(rows, rule))
+def _placed(rows: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
+    """``base`` with the ``root`` of each set, and the component and links of its documents; no set, no root."""
     clash = F.when(F.min("f2") != F.max("f2"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.count("*"))
     classes = cut(base.where("n_shingles > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), clash.cast("long").alias("copies"), F.max("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
     clumps = cut(_clumps(_keys(rows, rule), classes, rule).toDF("f1", "clump").join(classes.drop("sketch"), "f1"))
@@ -450,7 +448,36 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     counts = links.where("n is not null").groupBy(F.col("a").alias("f1")).agg(F.sum("n").alias("n"))
     placed = classes.join(roots.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = placed.join(least, "root").join(counts, "f1", "left").select("f1", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return base.join(of_class, "f1", "left").select(
+    of_class = placed.join(least, "root").join(counts, "f1", "left").select("f1", "root", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return base.join(of_class, "f1", "left")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+
+
+def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (least document that it reaches) and ``n_links`` (documents linked with it)."""
+    rows = _rows(docs, key, text)
+    return _placed(rows, cut(_base(rows, rule)), rule).select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def keep_first(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without those whose own text is linked, straight or through others, to a row before it by (key, hash of the text).
+
+    A key that repeats with other texts counts as other documents. Of equal rows one stays; rows without words or key stay.
+    """
+    rows, own = _rows(docs, key, text), ["_" * max(map(len, docs.columns)) + name for name in ("key", "hash")]
+    base = cut(_base(rows.withColumn("hash", F.xxhash64("text")), rule, hashed=True))
+    placed = cut(_placed(rows, base, rule).where("root is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("copies")))
+    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    placed = cut(placed.join(first, "root").select(F.col("doc_id").alias(own[0]), F.col("hash").alias(own[1]), "copies", (F.struct("doc_id", "hash") == F.col("first")).alias("first")))
+    marked = docs.withColumn(own[0], F.col(key).cast("long")).withColumn(own[1], F.xxhash64(text))
+    kept = marked.join(placed.where("not first").select(*own), own, "left_anti")
+    repeated = placed.where("first and copies > 1").select(*own)
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, own, "left_semi").dropDuplicates(own)
+    return kept.join(repeated, own, "left_anti").unionByName(once).select(*docs.columns)
