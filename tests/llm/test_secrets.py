@@ -50,6 +50,25 @@ def test_structures_are_parsed_before_they_are_reported():
     assert secrets.structural_spans("A" * 5000 + " " + "deadbeef" * 30) == []
 
 
+def test_keys_behind_names_and_prefixes_and_over_lines_without_armour():
+    for kind, data in (("der", PKCS1), ("der", PKCS8), ("der", SEC1), ("ssh", SSH)):
+        text = base64.b64encode(data).decode()
+        assert secrets.structural_spans(f"PRIVATE_KEY={text}\nX=1") == [(kind, 12, 12 + len(text))]
+        for width, gap in ((16, "\n"), (40, "\r\n    "), (64, "\\n")):
+            lines = gap.join(text[i : i + width] for i in range(0, len(text), width))
+            if gap in lines:
+                for before, after in (("key: ", ""), ("MEMO\n", "\nword\nMIT"), ("PRIVATE_KEY=", '"')):
+                    assert secrets.structural_spans(before + lines + after) == [(kind, len(before), len(before + lines))], (kind, width, before)
+                assert secrets.structural_spans(lines[:30] + lines[31:]) == []
+        if kind == "der":
+            digits = data.hex()
+            assert secrets.structural_spans(f"k = 0x{digits};") == [("der", 4, 6 + len(digits))]
+            lines = "\n".join(digits[i : i + 32] for i in range(0, len(digits), 32))
+            for before in ("", "0x"):
+                assert secrets.structural_spans(f"k {before}{lines}\nzz") == [("der", 2, 2 + len(before + lines))]
+    assert secrets.structural_spans("MIIB\n" * 2000 + "30821\n" * 2000) == []
+
+
 def test_query_against_the_stated_patterns(spark, tmp_path):
     texts = [
         None,

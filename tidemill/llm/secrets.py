@@ -3,9 +3,9 @@
 Pattern kinds: ``assign`` (a name such as password or token, and a value), ``access`` (access key ids) and ``hex``.
 Structural kinds, each confirmed by its decoded content:
 
-* ``der``: base64 or hex of an ASN.1 private key (PKCS#1, PKCS#8, SEC 1) whose nested lengths fit exactly; PEM bodies
-  may run over several lines;
-* ``ssh``: base64 of an OpenSSH private key whose length-prefixed fields fit;
+* ``der``: base64 or hex (with or without 0x) of an ASN.1 private key (PKCS#1, PKCS#8, SEC 1) whose nested lengths fit
+  exactly; it may run over several lines, with PEM armour or without;
+* ``ssh``: base64 of an OpenSSH private key whose length-prefixed fields fit, over several lines as well;
 * ``jwt``: three base64url parts, the first a JSON object that names an algorithm, the second a JSON object.
 
 Spans are ``kind, start, end`` in code points, the end exclusive, ordered by start and then by kind as listed in
@@ -35,10 +35,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Za-z])")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])()([A-Za-z0-9+/_-]{40,}={0,2})")
+LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(0[xX])?((?:[0-9a-fA-F]{2}){32,})(?![0-9A-Za-z])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})")
 
+# Keys wrapped over lines without armour: how they begin, what a line holds, and what stands between lines.
+WRAPPED64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M[C-I]|b3Bl)")
+WRAPPED_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(?=30(?:[2-7]|8[1-4]))")
+LINE64, LINE_HEX = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9a-fA-F]+")
+GAP = re.compile(r"[ \t]*(?:\\[nr]|[\r\n])+[ \t]*")
+DER_HEAD = re.compile(rb"0(?:([\x20-\x7f])|\x81(.)|\x82(..)|\x83(...)|\x84(....))\x02\x01[\0\1]", re.DOTALL)
+SSH_HEAD = b"openssh-key-v1\0"
+#: Digits that tell whether a key begins.
+HEAD = 24
+
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -91,12 +101,11 @@ def is_private_der(data: bytes) -> bool:
     return len(fields) >= 6 and all(tag == 0x02 for tag, _ in fields)  # PKCS#1 and DSA: integers
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key: cipher, KDF, options, count, public keys and the private part."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+def ssh_size(data: bytes) -> int | None:
+    """Size of the OpenSSH private key that ``data`` begins with: cipher, KDF, options, count, public keys and the private part."""
+    if not data.startswith(SSH_HEAD):
+        return None
+    at = len(SSH_HEAD)
 
     def field() -> bytes | None:
         nonlocal at
@@ -108,10 +117,15 @@ def is_ssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(field() for _ in range(keys)) and bool(field()) and at == len(data)
+    return at if 1 <= keys <= 16 and all(field() for _ in range(keys)) and field() else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether ``data`` is an OpenSSH private key."""
+    return ssh_size(data) == len(data)
 
 
 def is_token(header: str, payload: str) -> bool:
@@ -135,6 +149,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _lines(text: str, at: int, line: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Places of consecutive lines of digits."""
+    while m := line.match(text, at):
+        yield m.span()
+        if not (gap := GAP.match(text, m.end())):
+            return
+        at = gap.end()
+
+
+def wrapped_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys whose digits run over several lines; the key's own lengths tell where it ends, which must be the end of a line's digits."""
+    for begin, line, bits in ((WRAPPED64, LINE64, 6), (WRAPPED_HEX, LINE_HEX, 4)):
+        decoded = (lambda x: unbase64(x + "A" * (-len(x) % 4))) if bits == 6 else lambda x: bytes.fromhex(x[: len(x) // 2 * 2])
+        for m in begin.finditer(text):
+            pieces, ends, total, size = [], [], 0, None
+            for start, end in _lines(text, m.end(), line):
+                pieces.append(text[start:end])
+                total += end - start
+                ends.append((total, end))
+                if size is None and total >= HEAD:
+                    head = decoded("".join(pieces)[:HEAD])
+                    if own := DER_HEAD.match(head):
+                        length = own[own.lastindex]
+                        size = int.from_bytes(length, "big") + 2 + (len(length) if own.lastindex > 1 else 0)
+                    elif not head.startswith(SSH_HEAD):
+                        break
+                    else:
+                        size = 0
+                if size and total * bits >= 8 * size:
+                    break
+            if size is None or len(pieces) < 2:
+                continue
+            data = decoded("".join(pieces))
+            size = size or ssh_size(data) or 0
+            end = dict(ends).get(-(-8 * size // bits))
+            if end and end > ends[0][1] and (kind := key_kind(data[:size])):
+                yield kind, m.start(), end + (0 if bits == 4 else len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")))
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans confirmed by decoding and parsing."""
     found: set[tuple[str, int, int]] = set()
@@ -151,8 +204,11 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
                 covered.append(m.span())
     for pattern, decoded in ((BASE64, unbase64), (LONG_HEX, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in covered) and (kind := key_kind(decoded(m[0]))):
+            if not any(a < m.end() and m.start() < b for a, b in covered) and (kind := key_kind(decoded(m[2]))):
                 found.add((kind, m.start(), m.end()))
+                covered.append(m.span())
+    if "\n" in text or "\r" in text or "\\" in text:
+        found.update(s for s in wrapped_spans(text) if not any(a < s[2] and s[1] < b for a, b in covered))
     return sorted(found)
 
 
