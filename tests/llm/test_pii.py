@@ -114,3 +114,15 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, len(r.spans)) for r in pii.find(docs).collect()) == [(0, 1), (1, 0), (2, 1), (2, 1)]
     assert sorted((r.doc_id or 0, r.text or "") for r in pii.sanitise(docs).collect()) == [(0, "[EMAIL]"), (1, ""), (2, "[EMAIL]"), (2, "[EMAIL]")]
     assert pii.find(docs.limit(0)).collect() == [] and pii.sanitise(docs.limit(0)).collect() == []
+
+
+def test_terms_far_from_the_mention_disclose(spark):
+    far = "plain words without meaning " * 20
+    rows = [(i, f"the ombudsman {far} dee@x.io or fay@y.org {i}a") for i in range(4)]
+    rows += [(10 + i, f"{far} {i} gus@x.io dee") for i in range(30)]
+    docs = spark.createDataFrame([(d, t, "a", 1, None) for d, t in rows], SCHEMA)
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("ombudsman" not in texts[i] and "[EMAIL]" in texts[i] and "plain words" in texts[i] for i in range(4))
+    terms = {(r.entity, r.term): r.kind for r in pii.disclosing(docs, pii._spotted(docs, "doc_id", "text").where("size(spans) > 0")).collect()}
+    assert terms["dee@x.io", "ombudsman"] == terms["fay@y.org", "ombudsman"] == "gone"
+    assert terms["dee@x.io", "fay"] == "gone" and ("dee@x.io", "dee") not in terms and ("fay@y.org", "fay") not in terms

@@ -2,7 +2,8 @@
 
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are found by patterns and checks.  Each found value is a protected
 entity.  Corpus co-occurrence then estimates how strongly a term reveals it: with p(t) the share of documents that hold
-the term, p(e) the share that hold the entity and p(t|e) the share of the entity's contexts that hold the term,
+the term, p(e) the share that hold the entity and p(t|e) the share of the entity's contexts that hold the term, where a
+context is a whole document with the entity's own mentions left out,
 
     PMI(t; e) = ln(p(t|e) / p(t)),   IC(e) = -ln p(e).
 
@@ -39,8 +40,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
-#: Characters of context on either side, different contexts that a term needs, and the share of IC(e) that discloses.
-CONTEXT, SUPPORT, DISCLOSURE = 100, 3, 0.6
+#: Different contexts that a term needs, and the share of IC(e) that discloses.
+SUPPORT, DISCLOSURE = 3, 0.6
+#: Not read here: characters of context of an earlier rule, which the reference of a test still names.
+CONTEXT = 100
 #: Candidate terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 50_000
 WORD = r"\p{L}[\p{L}\p{M}]++"
@@ -115,26 +118,42 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+def _context_words(text: Column, spans: Column) -> Column:
+    """Distinct words of a text as ``word entity``; the entity is that in whose mentions alone the word stands, else empty.
+
+    Strings, as Spark finds equal structs by comparing all with all.
+    """
+    outside = F.transform(_words(F.regexp_replace(text, PATTERNS["email"], " ")), lambda w: F.concat(w, F.lit(" ")))  # other kinds hold no letters
+    emails = F.filter(spans, lambda s: s["kind"] == "email")
+    inside = F.flatten(F.transform(emails, lambda s: F.transform(_words(s["value"]), lambda w: F.concat(w, F.lit(" "), _entity(s)))))
+    sorted_ = F.sort_array(F.array_distinct(F.concat(outside, inside)))  # a word's strings lie together, as a blank sorts before letters
+    before, after = F.slice(F.concat(F.array(F.lit("")), sorted_), F.lit(1), F.size(sorted_)), F.slice(sorted_, F.lit(2), F.greatest(F.size(sorted_), F.lit(1)))
+    with_before = F.zip_with(sorted_, before, lambda x, y: F.struct(x.alias("it"), y.alias("before")))
+    word = lambda x: F.substring_index(x, " ", 1)
+    once = lambda x, y: (word(x["before"]) != word(x["it"])) & (word(F.coalesce(y, F.lit(""))) != word(x["it"]))
+    return F.array_distinct(F.zip_with(with_before, after, lambda x, y: F.when(once(x, y), x["it"]).otherwise(F.concat(word(x["it"]), F.lit(" ")))))
+
+
+def disclosing(texts: DataFrame, held: DataFrame) -> DataFrame:
     """``entity, term, kind`` of the terms that reveal an entity.
 
-    ``texts`` has one ``text`` a document; ``mentions`` has ``text, entity, start, end`` of every base span.
+    ``texts`` has one ``text`` a document; ``held`` has ``row, text, spans`` of those with base spans.
     """
-    before = F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int") + 1, F.least(F.col("start"), F.lit(CONTEXT)).cast("int"))
-    after = F.substring(F.col("text"), F.col("end").cast("int") + 1, F.lit(CONTEXT))
-    context = F.concat(before, F.lit(" "), after)
-    contexts = mentions.select("entity", context.alias("context")).distinct()
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    near = contexts.join(entities, "entity", "left_semi").select("entity", F.explode(_words(F.col("context"))).alias("term"))
+    held = held.select(F.md5("text").alias("id"), "row", "text", "spans")
+    mentions = cut(held.select("id", "row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct())
+    having = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("having"))
+    contexts = mentions.select("id", "entity").distinct()
+    entities = cut(contexts.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT))
+    own = contexts.join(entities, "entity", "left_semi").groupBy("id").agg(F.collect_set("entity").alias("entities"))  # those of one text
+    context = held.dropDuplicates(["id"]).join(own, "id").select("entities", _context_words(F.col("text"), F.col("spans")).alias("words"))
+    each = context.select("entities", F.explode("words").alias("word")).select("entities", F.substring_index("word", " ", 1).alias("term"), F.substring_index("word", " ", -1).alias("own"))
+    near = each.select(F.explode("entities").alias("entity"), "term", "own").where("own != entity")
     pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT).join(entities, "entity"))
     terms = pairs.select("term").distinct()
-    few = terms.limit(BROADCAST + 1).count()
-    words = texts.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    if few <= BROADCAST:
-        holding = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("holding"))
-    else:
-        holding = words.groupBy("term").agg(F.count("*").alias("holding")).join(terms, "term")
-    having = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("having"))
+    few = terms.limit(BROADCAST + 1).count() <= BROADCAST
+    holding = texts.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("holding"))
+    holding = cut(holding.join(F.broadcast(terms) if few else terms, "term"))
+    holding = F.broadcast(holding) if few else holding
     total = F.lit(texts.count())
     pmi = F.log(F.col("both") / F.col("contexts")) - F.log(F.col("holding") / total)
     information = -F.log(F.col("having") / total)
@@ -156,9 +175,8 @@ def _spotted(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _more(docs: DataFrame, spotted: DataFrame, text: str) -> DataFrame:
     """``row, more``: term spans of the rows that have any, one row each."""
-    mentions = spotted.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("span"))
-    mentions = mentions.select("row", "text", _entity(F.col("span")).alias("entity"), "span.start", "span.end")
-    terms = disclosing(docs.select(F.col(text).alias("text")), mentions)
+    mentions = spotted.where(F.size("spans") > 0).select("row", F.explode(F.transform("spans", _entity)).alias("entity"))
+    terms = disclosing(docs.select(F.col(text).alias("text")), spotted.where(F.size("spans") > 0).select("row", "text", "spans"))
     marked = mentions.select("row", "entity").distinct().join(terms, "entity").groupBy("row", "term").agg(F.min("kind").alias("kind"))
     by_row = marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("marks"))  # terms of one text
     mark = lambda s: F.struct(F.col("marks")[F.lower(s["value"])].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
