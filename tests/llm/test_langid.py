@@ -62,3 +62,13 @@ def test_nulls_long_texts_and_empty_tables(spark):
     nothing = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.predict(docs.limit(0), nothing).collect() == []
+
+
+def test_long_words_and_long_texts_count_whole():
+    rng = random.Random(3)
+    word = lambda lang, n: "".join(rng.choice(SYLLABLES[lang]) for _ in range(n))
+    text = lambda lang, n: " ".join(word(lang, rng.randint(1, 4)) for _ in range(n))
+    licence = text("cc", 600)
+    model = langid.train([f"{licence} {text(lang, 900)}" for lang in ("aa", "bb") for _ in range(8)], ["aa"] * 8 + ["bb"] * 8)
+    found = [[text("aa", 40).split(), text("bb", 40).split(), [word("aa", 20) + word("bb", 200)], [word("bb", 20) + word("aa", 200)]]]
+    assert model.languages(found[0])[0] == ["aa", "bb", "bb", "aa"]

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents of each language and words of each document in the sample, and words that a worker remembers, at most.
-DOCS_EACH, WORDS_EACH, KEPT = 150, 600, 200_000
+#: Documents of each language in the sample, and words that a worker remembers, at most.
+DOCS_EACH, KEPT = 150, 200_000
 #: Hashed features, training chains of a step and words of a chain, steps, and texts that a task labels together.
 BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 5_000
 UNKNOWN = "und"
@@ -47,7 +47,7 @@ def words_of(text: str | None) -> list[str]:
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself, prefixes, suffixes and letter n-grams of its lower-case form."""
     w = word.lower()
-    marked = f"<{w[:40]}>"
+    marked = f"<{w}>"
     found = {f"={w}"} | {f"p{w[:n]}" for n in (1, 2, 3)} | {f"s{w[-n:]}" for n in (1, 2, 3)}
     found |= {marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)}
     return [xxhash.xxh32_intdigest(f) % BUCKETS for f in sorted(found)]
@@ -156,7 +156,7 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 0
     langs = sorted(set(labels))
     lists: dict[str, list[list[str]]] = {lang: [] for lang in langs}
     for text, lang in zip(texts, labels, strict=True):
-        if words := words_of(text)[:WORDS_EACH]:
+        if words := words_of(text):
             lists[lang].append(words)
     langs = [lang for lang in langs if lists[lang]]
     count = len(langs)
