@@ -7,7 +7,8 @@ is the one with the greatest mean probability.
 
 Documents carry one label only, so code-switched training chains are spliced from runs of words of differently labelled
 documents: they teach both the features and how seldom the language changes.  The field is fitted by stochastic gradient
-steps on its likelihood, on a bounded sample (``docs_each`` documents for each language, those whose keys hash lowest).
+steps on its likelihood, on a bounded sample (``docs_each`` documents for each language, those whose keys hash lowest;
+repeated rows count once).
 
 Defined results: ``und`` with score 0 for a text that is null or has no letters, or if nothing could be learned; of equal
 probabilities the language first in order; repeated rows give repeated rows; ``predict`` carries the key alone,
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 #: Documents of each language in the sample, and words that a worker remembers, at most.
 DOCS_EACH, KEPT = 150, 200_000
-#: Hashed features, training chains of a step and words of a chain, steps, and texts that a task labels together.
-BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 5_000
+#: Hashed features, training chains of a step and words of a chain, steps, and words from which on a task labels what it has.
+BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 100_000
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 _RUNS = re.compile(r"[^\W\d_]+").findall
@@ -224,20 +225,28 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 0
 def fit(docs: DataFrame, docs_each: int = DOCS_EACH, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Field:
     """A field fitted on ``docs_each`` documents of each language at most."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    hashed = F.xxhash64("k")
-    first = Window.partitionBy("lang").orderBy(hashed, "k")
-    chosen = rows.select("k", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_each).select("k", "lang").distinct()
-    got = rows.join(F.broadcast(chosen), ["k", "lang"]).toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", "h")
+    chosen = rows.select("k", "lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_each).drop("n")
+    own = rows.join(F.broadcast(chosen), ["k", "lang", "h"]).dropDuplicates(["k", "lang", "h"])  # a repeated row comes once
+    got = own.toArrow().sort_by([("lang", "ascending"), ("k", "ascending"), ("h", "ascending")])
     return train(got.column("t").to_pylist(), got.column("lang").to_pylist())
 
 
 def _labelled(batch: pa.RecordBatch, place: int, model: Field) -> tuple[list[str], list[float]]:
+    """Languages and scores of a batch, a step of texts of about ``TOGETHER`` words after the other, however long they are."""
     langs: list[str] = []
     scores: list[float] = []
-    for start in range(0, batch.num_rows, TOGETHER):
-        own = model.languages([words_of(x) for x in batch.column(place).slice(start, TOGETHER).to_pylist()])
-        langs += own[0]
-        scores += own[1]
+    found: list[list[str]] = []
+    total = 0
+    for i, text in enumerate(batch.column(place)):
+        found.append(words_of(text.as_py()))
+        total += len(found[-1])
+        if total >= TOGETHER or i == batch.num_rows - 1:
+            own = model.languages(found)
+            langs += own[0]
+            scores += own[1]
+            found, total = [], 0
     return langs, scores
 
 

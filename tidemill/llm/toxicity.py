@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], ["k", "f", *(f"y{i}" for i in range(len(names)))])
 
     schema = T.StructType([rows.schema["k"], T.StructField("f", T.ArrayType(T.LongType())), *(T.StructField(f"y{i}", T.IntegerType()) for i in range(len(names)))])
-    got = rows.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("k").slice(0, labelled)
+    got = rows.mapInArrow(run, schema).orderBy("k", F.xxhash64("f")).limit(labelled).toArrow().combine_chunks()  # bounded, however often a key repeats
     lists = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     values = {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)}
     del got
