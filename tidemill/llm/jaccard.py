@@ -4,9 +4,11 @@ A document's set is its distinct n-word shingles, each a 64-bit hash; words are
 letters A-Z in lower case.  Two documents link when ``den * intersection >= num * union``.
 
 Sizes fall into bands.  Two linked sets differ in at most D shingles, where D follows from the largest sizes that meet
-in a band; each band deals its shingles to P > D parts.  A part's sketch is a 64-bit word in which every shingle of the
-part flips one bit, so the Hamming distance of two sketches is at most the size of their symmetric difference, and at
-least P - D parts of two linked documents agree.  Equal parts (band, part, word) are joined:
+in a band; each band deals its shingles to P > D parts of a parity sketch as wide as the hashes allow: every shingle of a
+part flips one bit of it, so the Hamming distance of two sketches is at most the size of their symmetric difference, and
+at least P - D parts of two linked documents agree.  A part is named by the XOR of its odd bits' 64-bit names: in a part
+that was only 64 bits wide, unrelated documents would agree by chance, and ever more so with more documents.  Equal parts
+(band, part, word) are joined:
 
 * a document leaves out its empty parts and its most common ones, in all less than P - D. One fixed table of counters
   gives the order for every document, so of the parts in which two linked documents agree the rarest is left out by
@@ -157,9 +159,8 @@ def part_keys(hashes: np.ndarray, rule: Rule, common: np.ndarray | None = None)
         apart, parts = dealt[band]
         spread = _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
         part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        bit = np.left_shift(np.uint64(1), spread & np.uint64(63))
         words, filled = np.zeros(parts, np.uint64), np.zeros(parts, bool)
-        np.bitwise_xor.at(words, part.astype(np.int64), bit)
+        np.bitwise_xor.at(words, part.astype(np.int64), _mixed(spread ^ np.uint64(0x14057B7EF767814F)))
         filled[part.astype(np.int64)] = True
         keys = _mixed(_mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band << 44)) + words)
         spare = parts - apart - 1 - int(parts - filled.sum())
