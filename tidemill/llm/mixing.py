@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.cut import cut, drop
 
 #: Bytes of a block's texts, words of a range, passage keys of a range, and the share of words that end a passage.
-BLOCK, RANGE, KEYS, CUTS = 6_000_000, 250_000, 500_000, 8
+BLOCK, RANGE, KEYS, CUTS = 4_000_000, 250_000, 500_000, 8
 #: Hashed orders and the bits of their slots; bytes of words that are handled together.
 ORDERS, SLOTS, TOGETHER = 3, 20, 40_000
 #: Blocks whose dictionaries place the borders of ranges, and words that each gives, at most.
@@ -283,11 +283,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, held, size = [], [], [], 0
         for batch in batches:
-            for key, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append(key)
-                texts.append(text)
-                held.append(out)
-                size += len(text or "") + 20
+            for row in _rows(batch):
+                keys.append(row["doc_id"])
+                texts.append(row["text"])
+                held.append(row["held_out"])
+                size += len(row["text"] or "") + 20
                 if size >= BLOCK:
                     yield _block(keys, texts, held)
                     keys, texts, held, size = [], [], [], 0
@@ -326,12 +326,18 @@ def _summed(df: DataFrame, size: int, each: Callable[[pa.RecordBatch], Iterator[
 # ---- words in order: beginnings --------------------------------------------------------------------------------------
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], place: int = 0) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each value of a column, by which they are sorted."""
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one: blobs are large, so no more than one row is taken out of it at a time."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each value of the first column, by which they are sorted."""
     value, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            own = row[batch.schema.names[place]]
+        for row in _rows(batch):
+            own = row[batch.schema.names[0]]
             if rows and own != value:
                 yield value, rows
                 rows = []
@@ -349,7 +355,7 @@ def _borders(table: DataFrame, entries: int, blocks: int) -> list[bytes]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [w for row in batch.column(0).to_pylist() for own in [_unpacked_text(row)] for w in own[:: max(1, len(own) // GIVEN)]]
+            words = [w for row in _rows(batch) for own in [_unpacked_text(row["words"])] for w in own[:: max(1, len(own) // GIVEN)]]
             yield pa.RecordBatch.from_arrays([pa.array([w[:64] + b" " for w in words], pa.binary())], ["word"])
 
     some = F.pmod(F.xxhash64("block"), F.lit(max(1, blocks // PLACED))) == 0
@@ -362,8 +368,8 @@ def _merged(table: DataFrame, borders: list[bytes]) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, times = _unpacked_text(words), unpacked(counts, np.uint32)
+            for row in _rows(batch):
+                block, own, times = row["block"], _unpacked_text(row["words"]), unpacked(row["counts"], np.uint32)
                 cuts = [0, *(bisect.bisect_left(own, b, key=lambda w: w + b" ") for b in borders), len(own)]
                 some = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
                 columns = [some, [block] * len(some), [_packed_text(own[cuts[i] : cuts[i + 1]]) for i in some], [packed(times[cuts[i] : cuts[i + 1]]) for i in some]]
@@ -437,8 +443,11 @@ def counted_beginnings(tokens: list[bytes], n: np.ndarray, wide: dict[int, dict[
     starts = np.cumsum(sizes) - sizes
     weight = n.astype(np.float64)
     each = np.repeat(weight, sizes).astype(np.float32)
-    ones = np.unpackbits(flat[:, None], axis=1).T == 1
-    seen = np.stack([np.where(ones, np.float32(0), each), np.where(ones, each, np.float32(0))], axis=1)
+    seen = np.zeros((8, 2, len(flat)), np.float32)
+    for bit in range(8):
+        one = (flat >> np.uint8(7 - bit)) & np.uint8(1)
+        seen[bit, 1] = each * one
+        seen[bit, 0] = each - seen[bit, 1]
     alive = np.arange(len(tokens))
     same = np.concatenate([[False], lead[1:] == lead[:-1]])
     depth = 0
@@ -573,8 +582,8 @@ class Bytes:
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, dict[int, dict[int, float]]]]:
     """Tokens with their space, counts and border counts of the ranges in ``words, n, wide``."""
     for batch in batches:
-        for words, n, wide in zip(*(batch.column(c).to_pylist() for c in ("words", "n", "wide")), strict=True):
-            yield _range(words, n, wide)
+        for row in _rows(batch):
+            yield _range(row["words"], row["n"], row["wide"])
 
 
 def _range(words: bytes, n: bytes, wide: list[dict] | None) -> tuple[list[bytes], np.ndarray, dict[int, dict[int, float]]]:
@@ -589,8 +598,8 @@ def _with_wide(ranges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = border_counts([w + b" " for w in _unpacked_text(words)], unpacked(n, np.int64))
+            for row in _rows(batch):
+                value, own = row["range"], border_counts([w + b" " for w in _unpacked_text(row["words"])], unpacked(row["n"], np.int64))
                 rows = [(name, b, times) for name, counts in own.items() for b, times in counts.items() if times]
                 names = [r[0] for r in rows] + list(own)  # a name without counts is asked for as well
                 columns = [[value] * len(names), names, [r[1] for r in rows] + [None] * len(own), [r[2] for r in rows] + [None] * len(own)]
@@ -715,8 +724,8 @@ def _answered_keys(table: DataFrame, asked: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, times = np.cumsum(unpacked(keys, np.uint64)), unpacked(seen, np.uint32)
+            for row in _rows(batch):
+                block, own, times = row["block"], np.cumsum(unpacked(row["keys"], np.uint64)), unpacked(row["seen"], np.uint32)
                 cuts = np.searchsorted(own, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
                 cuts = [0, *cuts.tolist(), len(own)]
                 some = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
@@ -744,7 +753,7 @@ def _answered_words(merged: DataFrame, ranges: DataFrame, model: Bytes) -> DataF
         prices: tuple[np.ndarray, ...] = ()
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["words"] is not None:
                     tokens, n, wide = _range(row["words"], row["n"], row["wide"])
                     beginnings = counted_beginnings(tokens, n, wide)
@@ -815,7 +824,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     ranges = cut(_with_wide(merged.where("block is null")))
     model = fit_bytes(ranges)
     shape_counts = _summed(
-        table.select("shape", "shapes"), STATES * SHAPES**3, lambda batch: ((np.cumsum(unpacked(a, np.uint32)), unpacked(b, np.uint32)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        table.select("shape", "shapes"), STATES * SHAPES**3, lambda batch: ((np.cumsum(unpacked(r["shape"], np.uint32)), unpacked(r["shapes"], np.uint32)) for r in _rows(batch))
     )
     shape_price = table.sparkSession.sparkContext.broadcast(shape_prices(shape_counts).astype(np.float32))  # of fixed size
     tokens, distinct = words + ends, kinds + (1 if ends else 0)
