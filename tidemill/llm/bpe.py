@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import ahocorasick
@@ -187,15 +187,22 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(i, STEP) for i in range(0, batch.num_rows, STEP))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
+Path = str | Callable[[], str]
+
+
+def _load(path: Path, pattern: str) -> ByteBpe:
+    return load(path if isinstance(path, str) else path(), pattern)
+
+
+def encode(docs: DataFrame, path: Path, pattern: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """Key, ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit) of every whole text.
 
-    With ``decoded``, a column of that name gets the bytes that the ids decode to, for a check of the round trip.
+    ``path`` may be a function, which each worker asks on its own machine. With ``decoded``, a column of that name gets the bytes that the ids decode to, for a check of the round trip.
     """
     names = [key, "n_tokens", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = _load(path, pattern)
         for batch in _steps(batches):
             ids = [bpe.encode(x) if x else b"" for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -207,13 +214,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: Path, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and the bytes that its ids stand for; a column of that name is replaced, null ids count as none."""
     kept = [c for c in encoded.columns if c != out]
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = _load(path, pattern)
         for batch in _steps(batches):
             texts = [bpe.decode(x) if x else b"" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, out])

@@ -1,29 +1,32 @@
-"""Variable-capacity best-fit packing of texts into training sequences.
+"""Variable-capacity best-fit packing of token ids into training sequences.
 
-Several sequence lengths are permitted, each with a cost.  Texts longer than the greatest are cut into full pieces and a
-rest; nothing is dropped.  Pieces are taken longest first.  A piece goes to the open bin, of any size, that it leaves the
-least room in; if none has room, the size that costs least for each token that it could still hold of what remains is
-opened.  In the end each bin shrinks to the least permitted length that holds its contents.
+Several sequence lengths are permitted, each with a cost.  A document is its ids and one end; what is longer than the
+greatest length is cut into full pieces and a rest, and nothing is dropped.  Pieces are taken longest first.  A piece goes
+to the open bin, of any size, that it leaves the least room in; if none has room, the size that costs least for each token
+that it could still hold of what remains is opened.  In the end each bin shrinks to the least permitted length that holds
+its contents.
 
-Pieces are dealt by hash to shards of about ``SHARD`` pieces, each packed by itself in one task: shards are even, whatever
-the keys, and their number grows with the input.
+Pieces are dealt to shards of bounded size, each packed by itself in one task.  The deal hashes the key, the piece and the
+place of the row, so that shards are even also where keys are null or rows repeat; which pieces meet in a bin therefore
+depends on how the table is divided.
 
-Defined results: a null length or text counts as empty and takes one token, its end; a null key is packed like any other;
-repeated rows are packed each; equal lengths go by key, then piece; an empty table gives no rows.
+Defined results: null ids count as none, and take one token, the end; a null key is packed like any other; repeated rows
+are packed each; of equal lengths the smaller key, piece and ids come first; a very long document becomes as many pieces as
+it needs; other columns are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted sequence lengths, and pieces of a shard.
+#: Permitted sequence lengths; pieces and tokens of a shard.
 CAPACITIES = (512, 1024, 2048, 4096)
-SHARD = 50_000
+PIECES, TOKENS = 16_384, 1 << 23
+#: The end of a document among byte ids: no text in UTF-8 holds this byte.
+BYTE_END = 255
 
 
 def cost(capacity: int) -> float:
@@ -31,9 +34,9 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / 16_384) + 64
 
 
-def tokens(text: Column) -> Column:
-    """Tokens of a text: its words and one end."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+def byte_ids(text: Column) -> Column:
+    """The bytes of a text in UTF-8 as ids of one byte each."""
+    return F.encode(text, "UTF-8")
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
@@ -63,31 +66,50 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tu
     return bins, offsets, [next(c for c in sizes if c >= u) for u in used]
 
 
-def pack(docs: DataFrame, length: Column, key: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, shard: int | None = None) -> DataFrame:
-    """For each piece of each text: key, piece, start (in the text), length, bin, capacity and offset (in the bin)."""
-    most = max(capacities)
-    sized = docs.select(F.col(key).alias("key"), F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1)).alias("total"))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(most).cast("long"))
-    pieces = sized.select("key", "total", F.posexplode(starts).alias("piece", "start"))
-    pieces = pieces.select("key", "piece", "start", F.least(F.col("total") - F.col("start"), F.lit(most)).alias("length"))
-    count = sized.agg(F.coalesce(F.sum(F.ceil(F.col("total") / most)), F.lit(0))).first()[0]
-    shards = max(1, -(-int(count) // (shard or SHARD)))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable", na_position="first")
-        bins, offsets, sizes = best_fit(group["length"].tolist(), capacities)
-        at = np.array(bins)
-        return group.assign(bin=at + (int(group["shard"].iloc[0]) << 32), capacity=np.array(sizes)[at], offset=np.array(offsets))[
-            ["key", "piece", "start", "length", "bin", "capacity", "offset"]
-        ]
+def pack(
+    docs: DataFrame, ids: Column, width: int = 4, end: int = 0, key: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, pieces: int = PIECES, tokens: int = TOKENS
+) -> DataFrame:
+    """A row for each bin: its number, capacity, tokens and ``ids``, and where each piece in it comes from.
 
+    ``ids`` (binary) holds a document's ids as little-endian unsigned integers of ``width`` bytes; ``end`` is put behind.
+    ``keys``, ``pieces``, ``starts`` (in the document), ``offsets`` (in the bin) and ``lengths`` belong to each other.
+    """
+    most = max(capacities)
+    closed = F.concat(F.coalesce(ids, F.lit(b"")), F.lit(end.to_bytes(width, "little")))
+    sized = docs.select(F.col(key).alias("key"), closed.alias("ids"), F.monotonically_increasing_id().alias("row"))
+    total = (F.length("ids") / width).cast("long")
+    cuts = sized.select("key", "row", "ids", total.alias("total"), F.posexplode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(most).cast("long"))).alias("piece", "start"))
+    length = F.least(F.col("total") - F.col("start"), F.lit(most))
+    part = F.substring("ids", (F.col("start") * width + 1).cast("int"), (length * width).cast("int"))
+    all_tokens, count = docs.select(((F.length(F.coalesce(ids, F.lit(b""))) / width).cast("long") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("n") / most)), F.lit(0))).first()
+    shards = max(1, -(-int(count) // pieces), -(-int(all_tokens) // tokens))
+    dealt = cuts.select(F.pmod(F.xxhash64("key", "piece", "row"), F.lit(shards)).alias("shard"), "key", "piece", "start", length.alias("length"), part.alias("ids"))
     kind = docs.schema[key].dataType.simpleString()
-    packed = dealt.groupBy("shard").applyInPandas(run, f"key {kind}, piece int, start long, length long, bin long, capacity long, offset long")
-    return packed.withColumnRenamed("key", key)
-
 
-def sequences(packed: DataFrame) -> Iterator[dict]:
-    """Bins one by one as they are trained on, for inspection: capacity and the pieces in order."""
-    for row in packed.groupBy("bin", "capacity").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("pieces")).toLocalIterator():
-        yield {"bin": row.bin, "capacity": row.capacity, "pieces": [(p.offset, p.length) for p in row.pieces]}
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("key", "ascending"), ("piece", "ascending"), ("ids", "ascending")])
+        bins, offsets, sizes = best_fit(group.column("length").to_pylist(), capacities)
+        order = np.lexsort((offsets, bins))
+        group = group.append_column("offset", pa.array(offsets, pa.int64())).take(pa.array(order)).combine_chunks()
+        first = np.searchsorted(np.array(bins)[order], np.arange(len(sizes) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(first), _one(group.column(c))) for c in ("key", "piece", "start", "offset", "length")]
+        data = _one(group.column("ids")).cast(pa.large_binary())
+        held = np.concatenate([[0], np.cumsum(group.column("length").to_numpy())])[first] * width
+        joined = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(held.astype(np.int64).tobytes()), data.buffers()[2]])
+        number = (int(group.column("shard")[0].as_py()) << 32) + np.arange(len(sizes))
+        columns = [pa.array(number), pa.array(sizes, pa.int64()), pa.array(np.diff(held) // width), *lists, joined.cast(pa.binary())]
+        return pa.Table.from_arrays(columns, ["bin", "capacity", "n_tokens", "keys", "pieces", "starts", "offsets", "lengths", "ids"])
+
+    schema = f"bin long, capacity long, n_tokens long, keys array<{kind}>, pieces array<int>, starts array<long>, offsets array<long>, lengths array<long>, ids binary"
+    return dealt.groupBy("shard").applyInArrow(run, schema)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def placed(bins: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each piece of the bins: key, piece, start, length, bin, capacity and offset."""
+    each = bins.select("bin", "capacity", F.explode(F.arrays_zip("keys", "pieces", "starts", "lengths", "offsets")).alias("p"))
+    return each.select(F.col("p.keys").alias(key), F.col("p.pieces").alias("piece"), F.col("p.starts").alias("start"), F.col("p.lengths").alias("length"), "bin", "capacity", F.col("p.offsets").alias("offset"))

@@ -15,10 +15,14 @@ from tidemill.session import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def rank_file() -> str:
+    """Where the rank file lies on the machine that asks."""
+    return public_tokenizers.path(RANKS)
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests of both."""
-    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded="decoded").select(
+    return bpe.encode(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -41,8 +45,8 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its training sequence."""
-    return packing.pack(table(spark, sf_dir, "documents"), packing.tokens(F.col("text")))
+    """All documents as byte ids in training sequences, a row each."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.byte_ids(F.col("text")), width=1, end=packing.BYTE_END)
 
 
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
