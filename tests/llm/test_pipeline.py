@@ -1,10 +1,13 @@
 import random
 import re
+import struct
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import langid, packing, toxicity
+from tests.llm.test_packing import check
+from tidemill.llm import bpe, langid, packing, queries, toxicity
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,7 +46,7 @@ def test_stages_and_run(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         kept[name] = (now, spark.read.parquet(str(tmp_path / name)))
         now = kept[name][1]
-    ids = {name: {r.doc_id for r in after.collect()} for name, (_, after) in kept.items()}
+    ids = {name: {r.doc_id for r in after.collect()} for name, (_, after) in kept.items() if name != "packing"}
     toxic = {d for d, t in texts.items() if t and "vilest" in t}
     assert ids["toxicity"] == texts.keys() - toxic
     assert ids["toxicity"] - ids["language"] == {500, 501, 502}
@@ -63,11 +66,17 @@ def test_stages_and_run(spark, tmp_path):
     assert clean.keys() == ids["near_duplicates"]
     for d, r in clean.items():
         assert r.text == re.sub(r"p\d+@mail\.example\.com", "[EMAIL]", texts[d]) and r.n_chars == len(r.text)
-    totals = {d: len(r.text.split()) + 1 for d, r in clean.items()}
-    found = [tuple(r) for r in kept["packing"][1].collect()]
-    assert {d: sum(r[3] for r in found if r[0] == d) for d in totals} == totals
-    assert {r[5] for r in found} <= set(packing.CAPACITIES)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(found)
+    ranks = bpe.load(queries.rank_file(), public_tokenizers.PATTERN)
+    bins = kept["packing"][1].collect()
+    check(bins, [(d, struct.unpack(f"<{len(x) // 4}I", x)) for d, r in clean.items() for x in [ranks.encode(r.text)]], packing.CAPACITIES, 4, corpus_pipeline.END)
+    assert max(ranks.ranks.values()) < corpus_pipeline.END
+    assert sorted(corpus_pipeline.run(spark, sf).collect()) == sorted(bins)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_repeated_ids_stay_once(spark):
