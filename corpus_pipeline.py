@@ -5,15 +5,18 @@ Each stage works on all documents that its predecessor kept; all but the last re
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import jaccard, langid, packing, pii, toxicity
+from tidemill.llm import bpe, jaccard, langid, packing, pii, queries, toxicity
 from tidemill.llm.cut import cut
 from tidemill.session import ship, table
 
 #: Five words a shingle, and a similarity of 0.8 or more.
 NEAR = jaccard.Rule(words=5, num=80, den=100)
+#: The id behind each document: above all ranks of the vocabulary.
+END = 0xFFFF
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its training sequence."""
-    return packing.pack(docs, packing.tokens(F.col("text")))
+    """All documents, encoded, in training sequences: a row for each with its ids and where they come from."""
+    encoded = cut(bpe.encode(docs, queries.rank_file, public_tokenizers.PATTERN))
+    return packing.pack(encoded, F.col("ids"), end=END)
 
 
 STAGES = [
