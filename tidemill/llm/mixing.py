@@ -39,7 +39,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -48,7 +47,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.cut import cut, drop
 
 #: Bytes of a block's texts, words of a range, passage keys of a range, and the share of words that end a passage.
-BLOCK, RANGE, KEYS, CUTS = 4_000_000, 250_000, 500_000, 8
+BLOCK, RANGE, KEYS, CUTS = 3_000_000, 250_000, 500_000, 8
 #: Hashed orders and the bits of their slots; bytes of words that are handled together.
 ORDERS, SLOTS, TOGETHER = 3, 20, 40_000
 #: Blocks whose dictionaries place the borders of ranges, and words that each gives, at most.
@@ -180,23 +179,26 @@ def shapes(words: list[bytes]) -> np.ndarray:
 
 def sequence(codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of documents one after the other, each with its end; the document of each token, and where each starts."""
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    out = np.full(len(owner), end, np.int64)
-    out[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
+    documents = np.arange(len(sizes), dtype=np.int32)
+    owner = np.repeat(documents, sizes + 1)
+    starts = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
+    out = np.full(len(owner), end, np.int32)
+    out[np.arange(len(codes), dtype=np.int32) + np.repeat(documents, sizes)] = codes
     return out, owner, starts
 
 
 def shape_keys(own: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each token the state, the shapes of the two tokens before, and its own shape, as one number."""
-    place = np.arange(len(own)) - starts[owner]
-    one, two = np.full(len(own), END, np.int64), np.full(len(own), END, np.int64)
+    at = np.arange(len(own), dtype=np.int32)
+    place = at - starts[owner]
+    one, two = np.full(len(own), END, np.int32), np.full(len(own), END, np.int32)
     one[1:], two[2:] = own[:-1], own[:-2]
     one[place < 1] = END
     two[place < 2] = END
-    beyond = np.concatenate([[0], np.cumsum(own >= 32)])
-    recent = beyond[:-1] - beyond[np.arange(len(own)) - np.minimum(place, 8)]
-    return ((np.digitize(recent, (1, 2, 4)) * SHAPES + two) * SHAPES + one) * SHAPES + own
+    beyond = np.concatenate([np.zeros(1, np.int32), np.cumsum(own >= 32, dtype=np.int32)])
+    recent = beyond[:-1] - beyond[at - np.minimum(place, 8)]
+    state = (recent >= 1).astype(np.int32) + (recent >= 2) + (recent >= 4)
+    return ((state * SHAPES + two) * SHAPES + one) * SHAPES + own
 
 
 @dataclass
@@ -218,9 +220,10 @@ def passages(seq: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> Passages
     if not len(starts):
         return Passages(starts, starts, np.empty(0, np.uint64), starts, starts)
     sizes = np.diff(np.append(starts, len(seq)))
-    place = np.arange(len(seq)) - np.repeat(starts, sizes)
+    place = np.arange(len(seq), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
     powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(sizes.max()), _A, np.uint64))])
-    own = _mixed(np.add.reduceat(of * powers[place], starts))
+    of *= powers[place]
+    own = _mixed(np.add.reduceat(of, starts))
     before = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
     before[np.concatenate([[True], np.diff(owner[starts]) != 0])] = 1  # nothing before
     keys = np.concatenate([_mixed(before * np.uint64(_A) + np.uint64(5)), _mixed(_mixed(before * np.uint64(_A) + np.uint64(11)) + own)]) >> np.uint64(8)
@@ -250,18 +253,19 @@ def _block(keys: list, texts: list, held: list) -> pa.RecordBatch:
         words = text.encode().lower().split() if text else []
         codes.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
         sizes.append(len(words))
+    place.default_factory = None  # else it and the dictionary would hold each other
     found = list(place)
     kinds = shapes(found)
     tokens = [bytes([64 + k]) + w for k, w in zip(kinds.tolist(), found, strict=True)]
     order = sorted(range(len(found)), key=lambda i: tokens[i] + b" ")
     rank = np.empty(len(found), np.int64)
     rank[order] = np.arange(len(found))
-    sizes_, train = np.array(sizes, np.int64), ~np.array(held, bool)
+    sizes_, train = np.array(sizes, np.int32), ~np.array(held, bool)
     flat = rank[np.concatenate(codes)] if len(found) else np.empty(0, np.int64)
     seq, owner, starts = sequence(flat, sizes_, len(found))
     learned = train[owner]
     counts = np.bincount(seq[learned], minlength=len(found) + 1)
-    own = np.append(kinds[order], END).astype(np.int64)[seq]
+    own = np.append(kinds[order], END).astype(np.int32)[seq]
     shape, shape_times = np.unique(shape_keys(own, owner, starts)[learned], return_counts=True)
     cut_ = passages(seq, owner, word_hashes([found[i] for i in order]))
     seen = np.zeros(len(cut_.keys), np.int64)
@@ -311,14 +315,14 @@ def _summed(df: DataFrame, size: int, each: Callable[[pa.RecordBatch], Iterator[
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([start // width], pa.int32()), pa.array([_ascending(at.astype(np.uint32))]), pa.array([packed(total[start + at])])], ["part", "at", "n"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
+    def add(group: pa.Table) -> pa.Table:
         total = np.zeros(width)
-        for at, times in zip(group["at"], group["n"], strict=True):
-            total[np.cumsum(unpacked(at, np.uint32))] += unpacked(times, np.float64)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "n": [packed(total.astype(np.float32))]})
+        for at, times in zip(group.column("at"), group.column("n"), strict=True):
+            total[np.cumsum(unpacked(at.as_py(), np.uint32))] += unpacked(times.as_py(), np.float64)
+        return pa.table([group.column("part").slice(0, 1), pa.array([packed(total.astype(np.float32))])], ["part", "n"])
 
     out = np.zeros(-(-size // width) * width, np.float32)
-    for part, times in df.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():
+    for part, times in df.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
         out[part * width : (part + 1) * width] = unpacked(times, np.float32)
     return out[:size]
 
@@ -645,14 +649,12 @@ def fit_bytes(ranges: DataFrame) -> Bytes:
                 bytes_ = np.concatenate([np.arange(places[k], places[k + 1]) for k in some])
                 own.learn([tokens[k] for k in some], n[some], beginnings[:, :, bytes_])
             seen += float(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([packed(own.mixer.weights)]), pa.array([packed(own.mixer.refined)]), pa.array([seen])], ["weights", "refined", "seen"])
+        both = np.concatenate([own.mixer.weights.ravel(), own.mixer.refined.ravel()]).astype(float) * seen
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([both], pa.list_(pa.float64()))], ["seen", "x"])
 
     model = Bytes.new(counts)
     size, refined = model.mixer.weights.size, model.mixer.refined.size
-    flat = ranges.mapInArrow(run, "weights binary, refined binary, seen double").where("seen > 0").mapInPandas(
-        lambda frames: (pd.DataFrame({"seen": f["seen"], "x": [np.concatenate([unpacked(w, np.float32), unpacked(r, np.float32)]).astype(float) * s for w, r, s in zip(f["weights"], f["refined"], f["seen"], strict=True)]}) for f in frames),
-        "seen double, x array<double>",
-    )
+    flat = ranges.mapInArrow(run, "seen double, x array<double>").where("seen > 0")
     mean = flat.select("seen", F.posexplode("x").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("seen")).alias("x")).orderBy("i").toArrow()
     if mean.num_rows == size + refined:
         x = mean.column("x").to_numpy().astype(np.float32)
@@ -791,10 +793,10 @@ def _told(row: dict, price: np.ndarray, again: np.ndarray, n: np.ndarray, seen:
     """What each document of a block costs, apart from its repeat bits, and those bits as counts by context."""
     words = _unpacked_text(row["words"])
     plain = [w[1:] for w in words]
-    sizes, train = unpacked(row["sizes"], np.uint32).astype(np.int64), ~np.array(row["held_out"], bool)
+    sizes, train = unpacked(row["sizes"], np.uint32).astype(np.int32), ~np.array(row["held_out"], bool)
     count = len(sizes)
     seq, owner, starts = sequence(unpacked(row["codes"], np.uint32).astype(np.int64), sizes, len(words))
-    kinds = np.append(np.fromiter((w[0] - 64 for w in words), np.int64, len(words)), END)
+    kinds = np.append(np.fromiter((w[0] - 64 for w in words), np.int32, len(words)), np.int32(END))
     cut_ = passages(seq, owner, word_hashes(plain))
     own = train[cut_.owner]
     before, both = seen[cut_.before] - own, seen[cut_.both] - own
