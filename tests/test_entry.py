@@ -1,3 +1,5 @@
+import sys
+
 import duckdb
 import pytest
 
@@ -6,7 +8,7 @@ from tidemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["bars_5m", "gap_flags", "bar_features", "kernel_r1_r2", "signals", "hurst_kn", "rolling_ou", "validate_ohlc"]
+CHECKED = ["bars_5m", "gap_flags", "bar_features", "kernel_r1_r2", "signals", "hurst_kn", "rolling_ou", "validate_ohlc", "expanding_median", "bt_config_matrix", "ou_priors_batch", "lead_lag", "logsig_depth2", "run_full_strategy"]
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +39,15 @@ def test_rows_equal_the_sql(spark, sql, name):
     assert found == sorted(str([r[i] for i in order]) for r in result.fetchall())
 
 
+def test_queries_stand_alone_where_a_library_is_missing(monkeypatch):
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    for name in [m for m in sys.modules if m.startswith(("tidemill.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    with pytest.warns(UserWarning, match="left out"):
+        found = entry.queries()
+    assert catalog.FLAGSHIP in found and not any(n.startswith("op") for n in found)
+
+
 def test_the_library_stands_without_the_corpus_package():
     import pathlib
 

@@ -26,13 +26,13 @@ def candidates(
 ) -> DataFrame:
     """Every signal whose entry minute exists, with its entry, stop, target and exit.
 
-    ``features``: asset, ts, i, signal, sigma_hat, z_score, regime; ``minutes``: asset, ts, open, high, low, close.
+    ``features``: asset, ts, i, signal, sigma_hat, z_score, regime; ``minutes``: asset, ts, open, high, low, close and, if known, place ``m``.
     ``spreads`` (asset, ts, spread as a share) replaces the flat cost. An exit is the first of at most 5 h + 10 minutes
     after the entry that touches the stop, else the target, else is late, else reverts; else the last of these minutes.
     """
     c = F.col
     most = 5 * h + 10
-    bars = indexed(minutes.select("asset", "ts", "open", "high", "low", "close"), out="m")
+    bars = minutes.select("asset", "ts", "open", "high", "low", "close", "m") if "m" in minutes.columns else indexed(minutes.select("asset", "ts", "open", "high", "low", "close"), out="m")
     z = features.select("asset", "ts", c("z_score").alias("z"))
     bars = bars.join(z, ["asset", "ts"], "left")
     sig = features.where("signal != 0").select("asset", c("ts").alias("signal_time"), (c("ts") + F.expr(f"interval {offset} minutes")).alias("entry_time"), c("i").alias("bar"), "signal", "sigma_hat", c("z_score").alias("z_score_entry"), "regime")

@@ -107,3 +107,24 @@ def pooled_priors(bars: DataFrame, window: int = 48, lookback: int = 30) -> Data
         F.coalesce("_std", F.lit(0.0)).alias("vol_ratio_std"), "n_segments", F.coalesce("n_vol_ratio_valid", F.lit(0)).alias("n_vol_ratio_valid"),
         F.col("_theta").isNull().alias("theta_fallback_used"), F.col("_median").isNull().alias("vol_ratio_fallback_used"),
     )
+
+
+def batch_priors(bars: DataFrame, states: tuple[str, ...] = ("expansion", "ranging")) -> DataFrame:
+    """``pooled_priors`` of every model (the ``asset``) and transition between the states; what a model lacks are fallback rows."""
+    moves = F.explode(F.array(*[F.struct(F.lit(x).alias("source"), F.lit(y).alias("dest")) for x in states for y in states if x != y])).alias("_move")
+    wanted = bars.groupBy("asset").agg(F.count_distinct("regime").alias("n_regimes")).select("asset", "n_regimes", moves).select("asset", "n_regimes", "_move.*")
+    found = wanted.join(pooled_priors(bars), ["asset", "source", "dest"], "left")
+    filled = {"theta": 0.35, "vol_ratio_median": 0.70, "vol_ratio_mean": 0.70, "vol_ratio_std": 0.0, "n_segments": 0, "n_vol_ratio_valid": 0, "theta_fallback_used": True, "vol_ratio_fallback_used": True}
+    return found.select(F.col("asset").alias("model"), "source", "dest", "n_regimes", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in filled.items()])
+
+
+def fallback_summary(batch: DataFrame) -> DataFrame:
+    """Fallbacks by model, and its place among all, the one with most first."""
+    found = batch.groupBy("model").agg(F.count("*").alias("n_transitions"), F.count_if("theta_fallback_used").alias("n_theta_fallbacks"), F.count_if("vol_ratio_fallback_used").alias("n_vol_fallbacks"))
+    worst = Window.orderBy(F.desc(F.col("n_theta_fallbacks") + F.col("n_vol_fallbacks")), "model")  # a row a model
+    return found.withColumn("worst", F.row_number().over(worst))
+
+
+def written(priors: DataFrame, path: str) -> None:
+    """Priors as JSON, one line each; a row a model and transition, so one file."""
+    priors.coalesce(1).write.mode("overwrite").json(path)

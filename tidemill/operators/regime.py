@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions.guards import floor_at
 from tidemill.operators.order import blocked, carried, over, unblocked
@@ -12,19 +18,49 @@ from tidemill.operators.order import blocked, carried, over, unblocked
 SIGMA_FLOOR = 5e-4
 
 
+def _moving_quantile(us: np.ndarray, values: np.ndarray, span: int, least: int, share: float) -> list[float | None]:
+    """Quantile of the values (no NaN) of the last ``span`` microseconds, left-open, at each row in order of time."""
+    held: list[float] = []
+    out: list[float | None] = []
+    first = last = 0
+    known = ~np.isnan(values)
+    for now in us.tolist():
+        while last < len(us) and us[last] <= now:  # rows of equal time count for each other
+            if known[last]:
+                bisect.insort(held, float(values[last]))
+            last += 1
+        while us[first] <= now - span:
+            if known[first]:
+                del held[bisect.bisect_left(held, float(values[first]))]
+            first += 1
+        if len(held) < max(1, least):
+            out.append(None)
+            continue
+        place = share * (len(held) - 1)
+        low = int(place)
+        a, b = held[low], held[min(low + 1, len(held) - 1)]
+        out.append(a if a == b or place == low else a * (low + 1 - place) + b * (place - low))
+    return out
+
+
 def gate(bars: DataFrame, value: str = "sigma_hat", days: int = 60, least: int = 500, share: float = 0.5) -> DataFrame:
     """``regime_threshold`` (a quantile of the last ``days`` days, left-open) and ``regime``.
 
-    The series is cut into blocks of ``days`` days; each block also gets the block before as halo, so a task holds two.
+    The series is cut into blocks of ``days`` days; each block also gets the block before as halo, so a task holds two. A
+    scan keeps the values of the frame in order: a window would sort the whole frame anew for each row.
     """
     span = days * 86_400
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    own = F.floor(seconds / span)
+    own = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / span)
     rows = bars.withColumn("_block", F.explode(F.array(own, own + 1))).withColumn("_own", own == F.col("_block"))
     rows = rows.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    near = Window.partitionBy("asset", "_block").orderBy("_us").rangeBetween(-(span * 1_000_000 - 1), 0)
-    threshold = F.when(F.count(value).over(near) >= least, F.percentile(value, F.lit(share)).over(near))
-    found = rows.withColumn("regime_threshold", threshold).where("_own").drop("_block", "_own", "_us")
+    names = [*bars.columns, "regime_threshold"]
+
+    def scan(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_us")
+        found = _moving_quantile(group.column("_us").to_numpy(), group.column(value).to_numpy().astype(float), span * 1_000_000, least, share)
+        return group.append_column("regime_threshold", pa.array(found, pa.float64())).filter(group.column("_own")).select(names)
+
+    found = rows.groupBy("asset", "_block").applyInArrow(scan, T.StructType([*bars.schema, T.StructField("regime_threshold", T.DoubleType())]))
     return found.withColumn("regime", F.when(F.col(value) <= F.col("regime_threshold"), "ranging").otherwise("expansion"))
 
 
@@ -86,7 +122,22 @@ def likeliest(probabilities: DataFrame, columns: list[str]) -> DataFrame:
 def expanding_median(bars: DataFrame, value: str, out: str) -> DataFrame:
     """Median of all values up to each row, NULLs left out.
 
-    Its frame is unbounded, so a series is one task; series run side by side.
+    It depends on all rows before, so a series is one scan in one task, with two heaps around the median; only its places
+    and values go there. Series run side by side.
     """
-    so_far = Window.partitionBy("asset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return bars.withColumn(out, F.percentile(value, F.lit(0.5)).over(so_far))
+
+    def scan(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        low: list[float] = []  # the lower half, negated
+        high: list[float] = []
+        found: list[float | None] = []
+        for x in group.column("x").to_pylist():
+            if x is not None:
+                heapq.heappush(low, -heapq.heappushpop(high, x))
+                if len(low) > len(high) + 1:
+                    heapq.heappush(high, -heapq.heappop(low))
+            found.append(None if not low else -low[0] if len(low) > len(high) else -low[0] + (high[0] + low[0]) * 0.5)
+        return pa.table([group.column("asset"), group.column("i"), pa.array(found, pa.float64())], ["asset", "i", out])
+
+    medians = bars.select("asset", "i", F.col(value).cast("double").alias("x")).groupBy("asset").applyInArrow(scan, f"asset string, i long, {out} double")
+    return bars.join(medians, ["asset", "i"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidemill.operators.order import indexed
 from tidemill.plans import bar_queries as b
 from tidemill.plans.bar_queries import H, N, SCALES, plain
 from tidemill.plans.catalog import register
+from tidemill.scratch import kept
 from tidemill.sources.ticks import ticks
 
 TRAIN, TEST = "10 days", "2 days"
@@ -18,12 +21,12 @@ TRAIN, TEST = "10 days", "2 days"
 # ---- folds and baselines ---------------------------------------------------------------------------------------------
 
 
-def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.rolled(spark, sf_dir).where("rv_fwd is not null and rv_trail is not null")
+def _targets(spark: SparkSession, sf_dir: str, until: str = "9999-01-01") -> DataFrame:
+    return b.rolled(spark, sf_dir).where(f"rv_fwd is not null and rv_trail is not null and ts < timestamp_ntz '{until}'")
 
 
-def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.fold_table(_targets(spark, sf_dir), TRAIN, TEST, 5 * H)
+def _folds(spark: SparkSession, sf_dir: str, **until: str) -> DataFrame:
+    return joins.fold_table(_targets(spark, sf_dir, **until), TRAIN, TEST, 5 * H)
 
 
 FOLDS = (
@@ -36,17 +39,17 @@ sizes AS (SELECT train_start, train_cutoff, test_start, test_end, count(*) FILTE
 admitted AS (SELECT *, row_number() OVER (ORDER BY train_start) - 1 AS fold FROM sizes WHERE n_train >= 500 AND n_test >= 100)"""
 )
 plain("fold_table", _folds, "train_start train_cutoff test_start test_end", FOLDS, "folds")
-_members = lambda s, d: joins.fold_rows(_targets(s, d), _folds(s, d))
-_admitted = lambda s, d: joins.admitted(_folds(s, d), _members(s, d), 500, 100)
+_members = lambda s, d, **until: joins.fold_rows(_targets(s, d, **until), _folds(s, d, **until))
+_admitted = lambda s, d, **until: joins.admitted(_folds(s, d, **until), _members(s, d, **until), 500, 100)
 plain("fold_membership", _admitted, "fold train_start test_start n_train n_test", FOLDS, "admitted")
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _numbered(spark: SparkSession, sf_dir: str, **until: str) -> DataFrame:
     """Members of the admitted folds, with their place among the training rows."""
     place = F.row_number().over(Window.partitionBy("asset", "train_start", "part").orderBy("ts"))
-    rows = _members(spark, sf_dir).withColumn("place", place)
+    rows = _members(spark, sf_dir, **until).withColumn("place", place)
     kernel = b._kernel(spark, sf_dir).select("asset", "ts", "r1", F.sqrt("r2").alias("root_r2"))
-    return rows.join(_admitted(spark, sf_dir).select("asset", "train_start", "fold"), ["asset", "train_start"]).join(kernel, ["asset", "ts"])
+    return rows.join(_admitted(spark, sf_dir, **until).select("asset", "train_start", "fold"), ["asset", "train_start"]).join(kernel, ["asset", "ts"])
 
 
 NUMBERED = (
@@ -71,11 +74,11 @@ def _ols(rows: DataFrame) -> DataFrame:
     return regression.plane(_fit(rows), ["asset", "fold"], "rv_fwd", "r1", "root_r2")
 
 
-def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _numbered(spark, sf_dir)
+def _forecasts(spark: SparkSession, sf_dir: str, **until: str) -> DataFrame:
+    rows = kept(_numbered(spark, sf_dir, **until))
     c = F.col
     lines, planes = _ar1(rows).drop("in_r2"), _ols(rows).select("asset", "fold", "b0", "b1", "b2")
-    test = rows.where("part = 'test'").join(F.broadcast(lines), ["asset", "fold"]).join(F.broadcast(planes), ["asset", "fold"])  # one row a fold
+    test = rows.where("part = 'test'").join(lines, ["asset", "fold"]).join(planes, ["asset", "fold"])
     return test.withColumns({"sigma_ar1": c("a0") + c("a1") * c("rv_trail"), "sigma_pdv": c("b0") + c("b1") * c("r1") + c("b2") * c("root_r2"), "sigma_naive": c("rv_trail")})
 
 
@@ -225,62 +228,84 @@ register("dc_events_reset", lambda s, d: rounded(events.directional_changes(b.ri
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.signalled(spark, sf_dir).select("asset", "ts", "i", "signal", "sigma_hat", "z_score", "regime")
+    return kept(b.signalled(spark, sf_dir).select("asset", "ts", "i", "signal", "sigma_hat", "z_score", "regime"))
 
 
 def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.resample(ticks(spark, sf_dir), "1 minute")
+    return kept(indexed(bars.resample(ticks(spark, sf_dir), "1 minute"), out="m"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str, flat: float = 0.05, z_exit: float | None = 0.0, spreads: DataFrame | None = None) -> DataFrame:
-    return backtest.candidates(_features(spark, sf_dir), _minutes(spark, sf_dir), spreads=spreads, flat=flat, h=H, z_exit=z_exit)
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.candidates(_features(spark, sf_dir), _minutes(spark, sf_dir), flat=FLAT, h=H, z_exit=0.0)
 
 
-CAND = (
-    b.SIGNALS
-    + f""", {M1}, mz AS (SELECT m1.*, round(s.z_score, 6) AS z FROM m1 LEFT JOIN signals s ON s.ts = m1.ts),
-g0s AS (SELECT s.ts AS signal_time, s.ts + INTERVAL '5 minutes' AS entry_time, s.i AS bar, s.signal, greatest(s.sigma_hat, 5e-4) AS sg, round(s.z_score, 6) AS z_score_entry, s.regime, e.m AS em, e.open + s.signal * 0.5 * 0.05 AS entry_price FROM signals s JOIN m1 e ON e.ts = s.ts + INTERVAL '5 minutes' WHERE s.signal <> 0),
-g1s AS (SELECT *, CASE WHEN sg * entry_price < 2 * 0.05 THEN 2 * 0.05 ELSE sg * entry_price END AS dp FROM g0s),
-g2s AS (SELECT *, entry_price - signal * dp AS stop_price, entry_price + signal * dp AS target_price FROM g1s),
-nr AS (SELECT g.*, x.m, x.ts AS t, x.close AS xc, CASE WHEN (signal = 1 AND x.low <= stop_price) OR (signal = -1 AND x.high >= stop_price) THEN 'stop_loss' WHEN (signal = 1 AND x.high >= target_price) OR (signal = -1 AND x.low <= target_price) THEN 'take_profit'
-  WHEN x.ts >= signal_time + INTERVAL '120 minutes' THEN 'time_stop' WHEN x.z * signal >= 0 THEN 'z_revert' END AS reason FROM g2s g JOIN mz x ON x.m > g.em AND x.m <= g.em + 130),
-ends AS (SELECT signal_time, entry_time, bar, signal, entry_price, stop_price, target_price, z_score_entry, regime, coalesce(arg_min(t, m) FILTER (reason IS NOT NULL), arg_max(t, m)) AS exit_time, coalesce(arg_min(reason, m) FILTER (reason IS NOT NULL), 'end_of_data') AS exit_reason, coalesce(arg_min(xc, m) FILTER (reason IS NOT NULL), arg_max(xc, m)) AS xc FROM nr GROUP BY ALL
-  UNION ALL SELECT signal_time, entry_time, bar, signal, entry_price, stop_price, target_price, z_score_entry, regime, entry_time, 'end_of_data', (SELECT close FROM m1 WHERE m1.m = g.em) FROM g2s g WHERE em = (SELECT max(m) FROM m1)),
-cand AS (SELECT *, CASE WHEN signal = 1 THEN 'LONG' ELSE 'SHORT' END AS side, CASE exit_reason WHEN 'stop_loss' THEN stop_price WHEN 'take_profit' THEN target_price ELSE xc END - signal * 0.025 AS exit_price, 0.05 AS spread_usd, (epoch_us(exit_time) - epoch_us(entry_time)) / 60e6 AS duration_min, row_number() OVER (ORDER BY signal_time) AS seq FROM ends),
-cp AS (SELECT *, signal * (exit_price - entry_price) AS pnl_usd, signal * (exit_price - entry_price) / entry_price AS return_pct FROM cand)"""
-)
-TRADES = (
-    "RECURSIVE " + CAND
-    + """, acc AS (SELECT 1::BIGINT AS seq FROM cp WHERE seq = 1 UNION ALL SELECT nx.seq FROM (SELECT (SELECT min(q.seq) FROM cp q WHERE q.signal_time >= p.exit_time AND q.entry_time > p.exit_time AND q.bar - p.bar >= 24) AS seq FROM acc a JOIN cp p ON p.seq = a.seq) nx WHERE nx.seq IS NOT NULL),
-trades AS (SELECT cp.* FROM cp JOIN acc USING (seq))"""
-)
-_trades = lambda s, d: backtest.accepted(_candidates(s, d), 24)
+FLAT = 0.05
+
+
+def _cand_sql(k: str = "", z_exit: float | None = 0.0, edge: bool = False, signals: str = "signals", k1: float = 1.0) -> str:
+    """Candidates of one configuration (names marked with ``k``), over ``signals``, ``m1`` and, for rolling spreads, ``filled``."""
+    share = "coalesce(sp.spread, 1.5e-5)" if edge else "NULL::DOUBLE"
+    spread = f"coalesce({share} * e.open, 0.05)"
+    minutes = "SELECT m1.*, coalesce(filled.spread, 1.5e-5) * m1.close AS xs FROM m1 ASOF LEFT JOIN filled ON m1.ts >= filled.ts" if edge else "SELECT m1.*, 0.05 AS xs FROM m1"
+    joined = "LEFT JOIN filled sp ON sp.ts = s.ts" if edge else ""
+    revert = f"WHEN x.z * signal >= {z_exit} THEN 'z_revert'" if z_exit is not None else ""
+    own = "signal_time, entry_time, bar, signal, entry_price, stop_price, target_price, z_score_entry, regime, spread_usd"
+    return f"""mz{k} AS (SELECT y.*, round(s.z_score, 6) AS z FROM ({minutes}) y LEFT JOIN {signals} s ON s.ts = y.ts),
+g0s{k} AS (SELECT s.ts AS signal_time, s.ts + INTERVAL '5 minutes' AS entry_time, s.i AS bar, s.signal, greatest(s.sigma_hat, 5e-4) AS sg, round(s.z_score, 6) AS z_score_entry, s.regime, e.m AS em, {spread} AS spread_usd, e.open + s.signal * 0.5 * {spread} AS entry_price FROM {signals} s JOIN m1 e ON e.ts = s.ts + INTERVAL '5 minutes' {joined} WHERE s.signal <> 0),
+g1s{k} AS (SELECT *, CASE WHEN {k1} * sg * entry_price < 2 * spread_usd THEN 2 * spread_usd / {k1} ELSE sg * entry_price END AS dp FROM g0s{k}),
+g2s{k} AS (SELECT *, entry_price - signal * {k1} * dp AS stop_price, entry_price + signal * dp AS target_price FROM g1s{k}),
+nr{k} AS (SELECT g.*, x.m, x.ts AS t, x.close AS xc, x.xs, CASE WHEN (signal = 1 AND x.low <= stop_price) OR (signal = -1 AND x.high >= stop_price) THEN 'stop_loss' WHEN (signal = 1 AND x.high >= target_price) OR (signal = -1 AND x.low <= target_price) THEN 'take_profit'
+  WHEN x.ts >= signal_time + INTERVAL '120 minutes' THEN 'time_stop' {revert} END AS reason FROM g2s{k} g JOIN mz{k} x ON x.m > g.em AND x.m <= g.em + 130),
+ends{k} AS (SELECT {own}, coalesce(arg_min(t, m) FILTER (reason IS NOT NULL), arg_max(t, m)) AS exit_time, coalesce(arg_min(reason, m) FILTER (reason IS NOT NULL), 'end_of_data') AS exit_reason, coalesce(arg_min(xc, m) FILTER (reason IS NOT NULL), arg_max(xc, m)) AS xc, coalesce(arg_min(xs, m) FILTER (reason IS NOT NULL), arg_max(xs, m)) AS xs FROM nr{k} GROUP BY ALL
+  UNION ALL SELECT {own}, entry_time, 'end_of_data', (SELECT close FROM mz{k} q WHERE q.m = g.em), (SELECT xs FROM mz{k} q WHERE q.m = g.em) FROM g2s{k} g WHERE em = (SELECT max(m) FROM m1)),
+cand{k} AS (SELECT * REPLACE (CASE WHEN exit_reason = 'end_of_data' THEN xs ELSE spread_usd END AS spread_usd), CASE WHEN signal = 1 THEN 'LONG' ELSE 'SHORT' END AS side, CASE exit_reason WHEN 'stop_loss' THEN stop_price WHEN 'take_profit' THEN target_price ELSE xc END - signal * 0.5 * xs AS exit_price, (epoch_us(exit_time) - epoch_us(entry_time)) / 60e6 AS duration_min, row_number() OVER (ORDER BY signal_time) AS seq FROM ends{k}),
+cp{k} AS (SELECT *, signal * (exit_price - entry_price) AS pnl_usd, signal * (exit_price - entry_price) / entry_price AS return_pct FROM cand{k})"""
+
+
+def _trades_sql(k: str = "") -> str:
+    return f"""acc{k} AS (SELECT 1::BIGINT AS seq FROM cp{k} WHERE seq = 1 UNION ALL SELECT nx.seq FROM (SELECT (SELECT min(q.seq) FROM cp{k} q WHERE q.signal_time >= p.exit_time AND q.entry_time > p.exit_time AND q.bar - p.bar >= 24) AS seq FROM acc{k} a JOIN cp{k} p ON p.seq = a.seq) nx WHERE nx.seq IS NOT NULL),
+trades{k} AS (SELECT cp{k}.* FROM cp{k} JOIN acc{k} USING (seq)),
+d0{k} AS (SELECT signal_time, sum(pnl_usd) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM trades{k}), dw{k} AS (SELECT *, max(cum_pnl) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS peak, cum_pnl - max(cum_pnl) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS drawdown FROM d0{k}),
+dl{k} AS (SELECT CAST(exit_time AS DATE) AS exit_date, sum(pnl_usd) AS pnl_usd, count(*) AS n_trades FROM trades{k} GROUP BY 1)"""
+
+
+def _metrics_sql(k: str = "") -> str:
+    return (
+        "count(*) AS total_trades, round(avg(CAST(pnl_usd > 0 AS DOUBLE)), 6) AS win_rate, round(sum(pnl_usd), 6) AS total_pnl_usd, round(sum(pnl_usd) FILTER (pnl_usd > 0) / abs(sum(pnl_usd) FILTER (pnl_usd <= 0)), 6) AS profit_factor, "
+        f"round(avg(duration_min), 6) AS mean_duration_min, round(avg(spread_usd), 6) AS avg_spread_usd, round((SELECT min(drawdown) FROM dw{k}), 6) AS max_drawdown_usd, round((SELECT coalesce(avg(pnl_usd) / nullif(stddev_samp(pnl_usd), 0) * sqrt(252.0), 0) FROM dl{k}), 6) AS daily_sharpe FROM trades{k} HAVING count(*) > 0"
+    )
+
+
+CAND = f"{b.SIGNALS}, {M1}, {_cand_sql()}"
+TRADES = f"RECURSIVE {CAND}, {_trades_sql()}"
+_trades = lambda s, d: kept(backtest.accepted(kept(_candidates(s, d)), 24))
 _TRADE = "signal_time entry_time exit_time side ~entry_price ~exit_price ~stop_price ~target_price ~pnl_usd exit_reason ~duration_min ~z_score_entry regime ~spread_usd"
 plain("bt_candidates", _candidates, _TRADE, CAND, "cp")
 plain("bt_trades", _trades, _TRADE, TRADES, "trades")
-plain("bt_daily_pnl", lambda s, d: backtest.daily(_trades(s, d)), "exit_date ~pnl_usd n_trades", TRADES + ", dl AS (SELECT CAST(exit_time AS DATE) AS exit_date, sum(pnl_usd) AS pnl_usd, count(*) AS n_trades FROM trades GROUP BY 1)", "dl")
-DRAW = TRADES + ", d0 AS (SELECT signal_time, sum(pnl_usd) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM trades), dw AS (SELECT *, max(cum_pnl) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS peak, cum_pnl - max(cum_pnl) OVER (ORDER BY signal_time ROWS UNBOUNDED PRECEDING) AS drawdown FROM d0)"
-plain("bt_drawdown", lambda s, d: backtest.drawdown(_trades(s, d)), "signal_time ~cum_pnl ~peak ~drawdown", DRAW, "dw")
+plain("bt_daily_pnl", lambda s, d: backtest.daily(_trades(s, d)), "exit_date ~pnl_usd n_trades", TRADES, "dl")
+plain("bt_drawdown", lambda s, d: backtest.drawdown(_trades(s, d)), "signal_time ~cum_pnl ~peak ~drawdown", TRADES, "dw")
 register("bt_exit_reasons", lambda s, d: backtest.exit_reasons(_trades(s, d)).drop("asset"), f"WITH {TRADES} SELECT exit_reason, count(*) AS n_trades FROM trades GROUP BY 1")
-register(
-    "bt_metrics",
-    lambda s, d: rounded(backtest.metrics(_trades(s, d)).drop("asset")),
-    f"WITH {DRAW}, dl AS (SELECT sum(pnl_usd) AS p FROM trades GROUP BY CAST(exit_time AS DATE)) SELECT count(*) AS total_trades, round(avg(CAST(pnl_usd > 0 AS DOUBLE)), 6) AS win_rate, round(sum(pnl_usd), 6) AS total_pnl_usd, round(sum(pnl_usd) FILTER (pnl_usd > 0) / abs(sum(pnl_usd) FILTER (pnl_usd <= 0)), 6) AS profit_factor, "
-    "round(avg(duration_min), 6) AS mean_duration_min, round(avg(spread_usd), 6) AS avg_spread_usd, round((SELECT min(drawdown) FROM dw), 6) AS max_drawdown_usd, round((SELECT avg(p) / stddev_samp(p) * sqrt(252.0) FROM dl), 6) AS daily_sharpe FROM trades",
-)
+register("bt_metrics", lambda s, d: rounded(backtest.metrics(_trades(s, d)).drop("asset")), f"WITH {TRADES} SELECT {_metrics_sql()}")
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of several configurations at once: flat and rolling spreads, with and without the z exit."""
-    runs = {"flat": _candidates(spark, sf_dir), "flat_no_z": _candidates(spark, sf_dir, z_exit=None), "edge": _candidates(spark, sf_dir, spreads=_filled(spark, sf_dir).select("asset", "ts", "spread"))}
-    both = None
-    for df in backtest.configurations(runs):
-        both = df if both is None else both.unionByName(df)
+    features, minutes = _features(spark, sf_dir), _minutes(spark, sf_dir)
+    spreads = kept(_filled(spark, sf_dir).select("asset", "ts", "spread"))
+    options = {"flat": {"z_exit": 0.0}, "flat_no_z": {"z_exit": None}, "edge": {"z_exit": 0.0, "spreads": spreads}}
+    runs = backtest.configurations({name: backtest.candidates(features, minutes, flat=FLAT, h=H, **own) for name, own in options.items()})
     by = ("config", "asset")
-    return rounded(backtest.metrics(backtest.accepted(both, 24, by), by))
+    trades = kept(backtest.accepted(kept(reduce(DataFrame.unionByName, runs)), 24, by))
+    return rounded(backtest.metrics(trades, by).drop("asset"))
 
 
-register("bt_config_matrix", _matrix)
+_RUNS: dict[str, tuple] = {"flat": ("a", 0.0, False), "flat_no_z": ("b", None, False), "edge": ("c", 0.0, True)}
+register(
+    "bt_config_matrix",
+    _matrix,
+    f"WITH RECURSIVE {b.SIGNALS}, {M1}, " + _edge_sql().removeprefix(b.BARS + ", ") + ", " + ", ".join(f"{_cand_sql(*own)}, {_trades_sql(own[0])}" for own in _RUNS.values())
+    + " " + " UNION ALL ".join(f"SELECT '{name}' AS config, {_metrics_sql(own[0])}" for name, own in _RUNS.items()),
+)
 
 # ---- signatures ------------------------------------------------------------------------------------------------------
 
@@ -303,7 +328,55 @@ wi AS (SELECT scale, i AS start_idx, last_value(i) OVER w AS end_idx, ts AS star
 )
 plain("state_channels", lambda s, d: _states(s, d).withColumns({c: F.col(c).cast("double") for c in signatures.CHANNELS}), "scale i ts ~p ~sigma ~h ~u", STATES, "st", 5)
 plain("window_metadata", _windows, "scale start_idx end_idx start_ts end_ts ~start_price ~end_price ~mean_hurst ~mean_theta_dynamic", STATES, "wi WHERE n = 10", 7)
-register("minmax_windows", lambda s, d: signatures.min_max(_windows(s, d)).select("scale", "start_idx", *[F.round(F.aggregate(c, F.lit(0.0), lambda t, x: t + x), 4).alias(f"sum_{c}") for c in signatures.CHANNELS]))
-register("lead_lag", lambda s, d: signatures.lead_lag(signatures.min_max(_windows(s, d))).select("scale", "start_idx", F.size("path").alias("points")))
-register("logsig_depth2", lambda s, d: rounded(signatures.level_two(signatures.lead_lag(signatures.min_max(_windows(s, d)))).drop("asset"), 5))
-register("logsig_depth4", lambda s, d: signatures.log_signatures(_states(s, d), L, 4).select("scale", "start_idx", F.size("signature").alias("n_words")))
+
+def _long(df: DataFrame, points: str, names: list[str]) -> DataFrame:
+    """Windows as rows, one a point: its place and channels, rounded."""
+    each = df.select("scale", "start_idx", F.posexplode(points).alias("k", "x"))
+    return rounded(each.select("scale", "start_idx", "k", *[F.element_at("x", j + 1).cast("double").alias(c) for j, c in enumerate(names)]), 4)
+
+
+_scaled = lambda s, d: signatures.min_max(_windows(s, d))
+_PATH = [f"{side}_{c}" for side in ("lag", "lead") for c in signatures.CHANNELS]
+SCALED = STATES + ", mw AS (SELECT a.scale, a.start_idx, CAST(x.i - a.start_idx AS INTEGER) AS k, " + ", ".join(f"(x.{c} - min(x.{c}) OVER v) / (max(x.{c}) OVER v - min(x.{c}) OVER v + 1e-8) AS {c}" for c in signatures.CHANNELS) + " FROM wi a JOIN st x ON x.i BETWEEN a.start_idx AND a.end_idx WHERE a.n = 10 WINDOW v AS (PARTITION BY a.start_idx))"
+LEADLAG = SCALED + ", ll AS (SELECT a.scale, a.start_idx, CAST(g.k AS INTEGER) AS k, " + ", ".join([f"a.{c} AS lag_{c}" for c in signatures.CHANNELS] + [f"z.{c} AS lead_{c}" for c in signatures.CHANNELS]) + f" FROM range(0, {2 * L - 1}) g(k) JOIN mw a ON a.k = g.k // 2 JOIN mw z ON z.start_idx = a.start_idx AND z.k = (g.k + 1) // 2)"
+_points = lambda: F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: F.array(*[F.element_at(F.col(c), k + 1) for c in signatures.CHANNELS])).alias("points")
+register("minmax_windows", lambda s, d: _long(_scaled(s, d).select("scale", "start_idx", _points()), "points", list(signatures.CHANNELS)), f"WITH {SCALED} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in signatures.CHANNELS) + " FROM mw")
+register("lead_lag", lambda s, d: _long(signatures.lead_lag(_scaled(s, d)), "path", _PATH), f"WITH {LEADLAG} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in _PATH) + " FROM ll")
+_AREAS = [(x, y) for x in range(8) for y in range(x + 1, 8)]
+register(
+    "logsig_depth2",
+    lambda s, d: rounded(signatures.level_two(signatures.lead_lag(_scaled(s, d))).drop("asset"), 4),
+    f"WITH {LEADLAG}, inc AS (SELECT scale, start_idx, k, " + ", ".join(f"{c}, {c} - first_value({c}) OVER o AS f_{c}, lead({c}) OVER o - {c} AS d_{c}" for c in _PATH) + " FROM ll WINDOW o AS (PARTITION BY start_idx ORDER BY k)) SELECT scale, start_idx, "
+    + ", ".join([f"round(arg_max({c}, k) - arg_min({c}, k), 4) AS w{j + 1}" for j, c in enumerate(_PATH)] + [f"round(coalesce(sum(0.5 * (f_{_PATH[x]} * d_{_PATH[y]} - f_{_PATH[y]} * d_{_PATH[x]})), 0), 4) AS w{x + 1}{y + 1}" for x, y in _AREAS]) + " FROM inc GROUP BY scale, start_idx",
+)
+
+
+def _depth4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's number, a row a window and word."""
+    each = signatures.log_signatures(_states(spark, sf_dir), L, 4).select("scale", "start_idx", F.posexplode("signature").alias("word", "x"))
+    return each.withColumn("x", F.round(F.col("x").cast("double"), 4))
+
+
+register("logsig_depth4", _depth4)
+SWEPT = (10, 15, 17, 20, 27, 50)
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of several lengths over all scales, parted by date: how many, and their signatures' first words and checks."""
+    placed = indexed(_events(spark, sf_dir).withColumn("_k", F.concat_ws("|", "asset", "scale")), "_k", ("ts",)).drop("_k")
+    states = kept(signatures.state_channels(placed, theta=SCALES[1].theta, aggression=SCALES[1].aggression))
+    part = F.when(F.col("start_ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "train").otherwise("oos")
+    found = [signatures.windows(states, n).select(F.lit(n).alias("length"), part.alias("part"), "scale", "start_idx", "mean_hurst", "mean_theta_dynamic") for n in SWEPT]
+    by = ["length", "part", "scale"]
+    sums = reduce(DataFrame.unionByName, found).groupBy(*by).agg(F.count("*").alias("n_windows"), F.min("start_idx").alias("first_idx"), F.max("start_idx").alias("last_idx"), F.avg("mean_hurst").alias("mean_hurst"), (F.avg("mean_theta_dynamic") * 1e3).alias("theta_milli"))
+    return rounded(sums, 6)
+
+
+register(
+    "signature_sweep",
+    _sweep,
+    f"WITH {DC}, ev AS (SELECT *, row_number() OVER (PARTITION BY scale ORDER BY ts) - 1 AS i FROM dc), "
+    + ", ".join(f"sw{n} AS (SELECT {n} AS length, scale, ts AS start_ts, i AS start_idx, avg(hurst_snapshot) OVER w AS mean_hurst, avg(theta_dynamic) OVER w AS mean_theta, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY scale ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING))" for n in SWEPT)
+    + ", sw AS (" + " UNION ALL ".join(f"SELECT * FROM sw{n} WHERE n = {n}" for n in SWEPT)
+    + ") SELECT CAST(length AS INTEGER) AS length, CASE WHEN start_ts < TIMESTAMP '2024-01-16' THEN 'train' ELSE 'oos' END AS part, scale, count(*) AS n_windows, min(start_idx) AS first_idx, max(start_idx) AS last_idx, round(avg(mean_hurst), 6) AS mean_hurst, round(avg(mean_theta) * 1e3, 6) AS theta_milli FROM sw GROUP BY ALL",
+)
