@@ -1,36 +1,8 @@
-"""Cutting lineage through tables in the folder that driver and executors share."""
+"""Cutting lineage: frames written once to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from tidemill.scratch import drop
+from tidemill.scratch import kept as cut
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-
-
-def workdir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="tidemill-"))
-    return _OWN[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written once to the shared folder and read from there: lost executors cost nothing of it."""
-    path = f"{workdir(df.sparkSession).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the files of a frame that ``cut`` returned and nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemill-" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cut", "drop"]
