@@ -201,28 +201,35 @@ def _events(spark: SparkSession, sf_dir: str, scales: list[events.Scale] = SCALE
     return events.directional_changes(b.rich(spark, sf_dir), scales, events.Gaps("exclude"), ref=288, gap_minutes=20.0)
 
 
-def _dc_sql(k: int, s: events.Scale) -> str:
-    """Metrics and the scan of one scale, all names marked with ``k``."""
+def _dc_sql(k: int, s: events.Scale, mode: str = "exclude") -> str:
+    """Metrics and the scan of one scale, all names marked with ``k``; gap bars start anew, widen the threshold, or count as others."""
+    restart = {"exclude": "false", "reset": "gap", "bridge": "gap AND leap > 0.10"}[mode]
+    wide = "CASE WHEN gap THEN 1.5 ELSE 1.0 END" if mode == "bridge" else "1.0"
     w, first = s.window - 1, s.window + 288
     f = b._frame
     return f"""a{k} AS (SELECT ts, i, close, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY i)) > 20 * 60000000, false) AS gap FROM bars),
 c{k} AS (SELECT *, CASE WHEN NOT gap THEN ln(close / lag(close) OVER (ORDER BY i)) END AS r, CASE WHEN NOT gap THEN close END AS p FROM a{k}), d{k} AS (SELECT *, abs(p - lag(p) OVER (ORDER BY i)) AS d1, abs(p - lag(p, 2) OVER (ORDER BY i)) AS d2 FROM c{k}),
 e{k} AS (SELECT *, CASE WHEN count(r) OVER {f(f'{w} PRECEDING')} > {w} THEN stddev_samp(r) OVER {f(f'{w} PRECEDING')} END AS s, CASE WHEN count(d1) OVER {f(f'{w} PRECEDING')} > {w} THEN sum(d1) OVER {f(f'{w} PRECEDING')} END AS a1, CASE WHEN count(d2) OVER {f(f'{w} PRECEDING')} > {w} THEN sum(d2) OVER {f(f'{w} PRECEDING')} END AS a2 FROM d{k}),
 h{k} AS (SELECT *, avg(s) OVER {f('287 PRECEDING')} AS sr, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN least(greatest(log2(greatest(a2 / (a1 + 1e-10), 1e-10)), 0.05), 0.95) ELSE 0.5 END AS hu FROM e{k}),
-t{k} AS (SELECT ts, i, close, gap, coalesce(lag(hu) OVER (ORDER BY i), 0.5) AS hurst, coalesce(lag({s.theta} * coalesce(CASE WHEN sr > 0 THEN s / sr END, 1.0) * exp({s.aggression} * (0.5 - hu))) OVER (ORDER BY i), {s.theta}) AS th FROM h{k}),
+t{k} AS (SELECT ts, i, close, gap, coalesce(lag(hu) OVER (ORDER BY i), 0.5) AS hurst, coalesce(lag({s.theta} * coalesce(CASE WHEN sr > 0 THEN s / sr END, 1.0) * exp({s.aggression} * (0.5 - hu))) OVER (ORDER BY i), {s.theta}) * {wide} AS th, {restart} AS restart FROM (SELECT *, abs(close - lag(close) OVER (ORDER BY i)) / lag(close) OVER (ORDER BY i) AS leap FROM h{k})),
 s{k} AS (SELECT i, CAST(NULL AS DOUBLE) AS anchor, close AS hi, i AS hx, close AS lo, i AS lx, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS at, CAST(NULL AS DOUBLE) AS lim FROM t{k} WHERE i = {first}
-  UNION ALL SELECT n.i, n.anchor2, n.hi2, n.hx2, n.lo2, n.lx2, n.kind2, n.at2, n.th FROM (SELECT q.i, q.th, greatest(z.hi, q.close) AS hi2, CASE WHEN q.close > z.hi THEN q.i ELSE z.hx END AS hx2, least(z.lo, q.close) AS lo2, CASE WHEN q.close < z.lo THEN q.i ELSE z.lx END AS lx2,
-    CASE WHEN z.anchor IS NULL THEN CASE WHEN (greatest(z.hi, q.close) - least(z.lo, q.close)) / least(z.lo, q.close) >= q.th THEN CASE WHEN (CASE WHEN q.close > z.hi THEN q.i ELSE z.hx END) > (CASE WHEN q.close < z.lo THEN q.i ELSE z.lx END) THEN 'upturn' ELSE 'downturn' END END WHEN q.close >= z.anchor * (1 + q.th) THEN 'upturn' WHEN q.close <= z.anchor * (1 - q.th) THEN 'downturn' END AS kind2,
-    CASE WHEN z.anchor IS NULL AND (greatest(z.hi, q.close) - least(z.lo, q.close)) / least(z.lo, q.close) >= q.th THEN CASE WHEN (CASE WHEN q.close > z.hi THEN q.i ELSE z.hx END) > (CASE WHEN q.close < z.lo THEN q.i ELSE z.lx END) THEN greatest(z.hi, q.close) ELSE least(z.lo, q.close) END WHEN z.anchor IS NOT NULL AND (q.close >= z.anchor * (1 + q.th) OR q.close <= z.anchor * (1 - q.th)) THEN q.close ELSE z.anchor END AS anchor2,
-    CASE WHEN z.anchor IS NULL THEN CASE WHEN (CASE WHEN q.close > z.hi THEN q.i ELSE z.hx END) > (CASE WHEN q.close < z.lo THEN q.i ELSE z.lx END) THEN (CASE WHEN q.close > z.hi THEN q.i ELSE z.hx END) ELSE (CASE WHEN q.close < z.lo THEN q.i ELSE z.lx END) END ELSE q.i END AS at2 FROM s{k} z JOIN t{k} q ON q.i = z.i + 1) n),
+  UNION ALL SELECT n.i, n.anchor2, n.hi2, n.hx2, n.lo2, n.lx2, n.kind2, n.at2, n.th FROM (SELECT z.i, z.th, greatest(z.hi, z.close) AS hi2, CASE WHEN z.close > z.hi THEN z.i ELSE z.hx END AS hx2, least(z.lo, z.close) AS lo2, CASE WHEN z.close < z.lo THEN z.i ELSE z.lx END AS lx2,
+    CASE WHEN z.anchor IS NULL THEN CASE WHEN (greatest(z.hi, z.close) - least(z.lo, z.close)) / least(z.lo, z.close) >= z.th THEN CASE WHEN (CASE WHEN z.close > z.hi THEN z.i ELSE z.hx END) > (CASE WHEN z.close < z.lo THEN z.i ELSE z.lx END) THEN 'upturn' ELSE 'downturn' END END WHEN z.close >= z.anchor * (1 + z.th) THEN 'upturn' WHEN z.close <= z.anchor * (1 - z.th) THEN 'downturn' END AS kind2,
+    CASE WHEN z.anchor IS NULL AND (greatest(z.hi, z.close) - least(z.lo, z.close)) / least(z.lo, z.close) >= z.th THEN CASE WHEN (CASE WHEN z.close > z.hi THEN z.i ELSE z.hx END) > (CASE WHEN z.close < z.lo THEN z.i ELSE z.lx END) THEN greatest(z.hi, z.close) ELSE least(z.lo, z.close) END WHEN z.anchor IS NOT NULL AND (z.close >= z.anchor * (1 + z.th) OR z.close <= z.anchor * (1 - z.th)) THEN z.close ELSE z.anchor END AS anchor2,
+    CASE WHEN z.anchor IS NULL THEN CASE WHEN (CASE WHEN z.close > z.hi THEN z.i ELSE z.hx END) > (CASE WHEN z.close < z.lo THEN z.i ELSE z.lx END) THEN (CASE WHEN z.close > z.hi THEN z.i ELSE z.hx END) ELSE (CASE WHEN z.close < z.lo THEN z.i ELSE z.lx END) END ELSE z.i END AS at2 FROM (SELECT q.i, q.close, q.th, CASE WHEN NOT q.restart THEN y.anchor END AS anchor, CASE WHEN q.restart THEN q.close ELSE y.hi END AS hi, CASE WHEN q.restart THEN q.i ELSE y.hx END AS hx, CASE WHEN q.restart THEN q.close ELSE y.lo END AS lo, CASE WHEN q.restart THEN q.i ELSE y.lx END AS lx FROM s{k} y JOIN t{k} q ON q.i = y.i + 1) z) n),
 v{k} AS (SELECT '{s.name}' AS scale, t.ts, t.close AS price, z.kind AS type, z.lim AS theta_dynamic, t.hurst AS hurst_snapshot, g.gap AS is_gap_event FROM s{k} z JOIN t{k} t ON t.i = z.at JOIN t{k} g ON g.i = z.i WHERE z.kind IS NOT NULL)"""
 
 
-DC = "RECURSIVE " + b.BARS + ", " + ", ".join(_dc_sql(k, s) for k, s in enumerate(SCALES)) + ", dc AS (" + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(len(SCALES))) + ")"
+def _all_dc_sql(mode: str = "exclude") -> str:
+    return "RECURSIVE " + b.BARS + ", " + ", ".join(_dc_sql(k, s, mode) for k, s in enumerate(SCALES)) + ", dc AS (" + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(len(SCALES))) + ")"
+
+
+DC = _all_dc_sql()
+_EVENT = "scale ts ~price type ~theta_dynamic ~hurst_snapshot is_gap_event"
 plain("dc_events", _events, "scale ts ~price type ~theta_dynamic ~hurst_snapshot is_gap_event", DC, "dc", 7)
 register("dc_event_counts", lambda s, d: events.counts(_events(s, d)), f"WITH {DC} SELECT scale, type, count(*) AS n_events, count(*) FILTER (is_gap_event) AS n_gap_events FROM dc GROUP BY ALL")
-register("dc_events_bridged", lambda s, d: rounded(events.directional_changes(b.rich(s, d), SCALES, events.Gaps("bridge"), gap_minutes=20.0)))
-register("dc_events_reset", lambda s, d: rounded(events.directional_changes(b.rich(s, d), SCALES, events.Gaps("reset"), gap_minutes=20.0)))
+for _name, _mode in (("bridged", "bridge"), ("reset", "reset")):
+    plain(f"dc_events_{_name}", lambda s, d, mode=_mode: events.directional_changes(b.rich(s, d), SCALES, events.Gaps(mode), gap_minutes=20.0), _EVENT, _all_dc_sql(_mode), "dc", 7)
 
 # ---- trades ----------------------------------------------------------------------------------------------------------
 
