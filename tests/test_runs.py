@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import scratch
-from tidemill.operators import ou, regime, runs
+from tidemill.operators import events, folds, ou, regime, runs, signatures
+from tidemill.plans import catalog  # first: it registers the modules of queries
+from tidemill.plans import bar_queries
+from tidemill.sources import ticks as sources
 
 
 def test_moving_quantile_against_plain_windows():
@@ -63,3 +66,46 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.workdir(Session())
+
+
+def test_warm_start_and_max_folds(spark):
+    assert catalog.QUERIES
+    rows = bar_queries.rich(spark, "/root/testdata/sf0.01")
+    options = {"h": 24, "n": 50, "train": "10 days", "test": "2 days", "least": (450, 100), "rounds": 1}
+    warm = folds.walk_forward(rows, max_folds=2, warm_start=True, **options).select("fold", "alpha1", "in_sample_r2").distinct().orderBy("fold").collect()
+    cold = folds.walk_forward(rows, max_folds=2, **options).select("fold", "alpha1", "in_sample_r2").distinct().orderBy("fold").collect()
+    assert [r.fold for r in warm] == [r.fold for r in cold] == [0, 1] and warm[0] == cold[0] and warm[1].in_sample_r2 > 0
+
+
+def test_converter_checks_and_preconditions(spark, tmp_path):
+    good = tmp_path / "x.csv"
+    good.write_text("<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\n2024.01.02\t10:00:00\t1\t2\t0.5\t1.5\n2024.01.02\t10:01:00\t1\t0.8\t0.5\t1.5\n")
+    found = sources.converted(spark, str(good), str(tmp_path / "out"), "X")
+    assert (found["n_rows"], found["n_high_body"], found["n_null"]) == (2, 1, 0) and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    bad = tmp_path / "y.csv"
+    bad.write_text("DATE,TIME,OPEN,HIGH,LOW,CLOSE\n2024.01.02,10:00:00,a,2,0.5,1.5\n")
+    with pytest.raises(Exception, match="."):
+        sources.converted(spark, str(bad), str(tmp_path / "no"), "Y")
+    assert not (tmp_path / "no").exists()
+    with pytest.raises(FileNotFoundError, match="absent"):
+        sources.converted(spark, str(tmp_path / "absent.csv"), str(tmp_path / "no"), "Y")
+    frame = spark.createDataFrame([("2024-01-02 10:00:00", "1")], "Datetime string, Close string")
+    with pytest.raises(ValueError, match="Close: string"):
+        sources.remapped(frame, "Datetime", "Close")
+    assert sources.remapped(frame.withColumn("Close", F.lit(2)), "Datetime", "Close").first().close == 2.0
+
+
+def test_an_unfinished_write_is_no_cache(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "c"))
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    assert sources.cached(spark, str(tmp_path / "c"), lambda: spark.range(5)).count() == 5 == sources.cached(spark, str(tmp_path / "c"), lambda: spark.range(7)).count()
+
+
+def test_scales_by_configuration_features_and_least_events(spark, tmp_path):
+    assert events.Scale.of("a", {}) == events.Scale("a", 0.005, 50, 2.0) and events.Scale.of("a", {"window": 30}).window == 30
+    assert events.causal_features(bar_queries.rich(spark, "/root/testdata/sf0.001")).columns == ["asset", "ts", "hurst", "energy_v", "fractal_f", "theta_dynamic", "sigma_local"]
+    few = spark.createDataFrame([("x", "mid_dc", 1)], "asset string, scale string, i long")
+    with pytest.raises(ValueError, match="x mid_dc: 1"):
+        signatures.enough(few, 10)
+    back = sources.write_signatures(few.withColumn("signature", F.array(F.lit(1.0))), str(tmp_path / "s"))
+    assert back.count() == 1

@@ -27,6 +27,11 @@ class Scale:
     window: int = 30
     aggression: float = 2.0
 
+    @staticmethod
+    def of(name: str, config: dict) -> Scale:
+        """A scale by a configuration's own names and defaults (which differ from the constructor's)."""
+        return Scale(name, config.get("theta_base", 0.005), config.get("window", 50), config.get("lambda_aggression", 2.0))
+
 
 @dataclass(frozen=True)
 class Gaps:
@@ -88,6 +93,12 @@ def metrics(bars: DataFrame, scales: list[Scale], ref: int = 288, gap_minutes: f
     return out
 
 
+def causal_features(bars: DataFrame, scale: Scale = Scale("features"), ref: int = 288, gap_minutes: float = 120.0) -> DataFrame:
+    """Features of each bar that know nothing of it or of later ones: Hurst exponent, energy, penalty, threshold, volatility."""
+    own = fractal_metrics(bars, scale.theta, scale.window, ref, scale.aggression, gap_minutes)
+    return own.select("asset", "ts", "hurst", "energy_v", "fractal_f", "theta_dynamic", F.col("sigma_t").alias("sigma_local"))
+
+
 def directional_changes(bars: DataFrame, scales: list[Scale], gaps: Gaps = Gaps(), ref: int = 288, gap_minutes: float = 120.0) -> DataFrame:
     """Events of every scale: time, price, direction, threshold, Hurst exponent, and whether a gap bar made it."""
     rows = metrics(bars, scales, ref, gap_minutes).where("i >= first").select("asset", "scale", "i", "ts", "close", "theta_dynamic", "hurst", "sampler_gap", "base")

@@ -78,22 +78,26 @@ def targets(bars: DataFrame, h: int) -> DataFrame:
     return with_rolling(bars, h, h, **realized(h)).where("rv_fwd is not null and rv_trail is not null")
 
 
-def walk_forward(bars: DataFrame, h: int = 24, n: int = 500, train: str = "183 days", test: str = "14 days", least: tuple[int, int] = (1000, 100), rounds: int = 30, contiguous: bool = False) -> DataFrame:
-    """Out-of-sample forecasts of every fold, with its parameters. Folds are fitted independently, each in a task.
+def walk_forward(bars: DataFrame, h: int = 24, n: int = 500, train: str = "183 days", test: str = "14 days", least: tuple[int, int] = (1000, 100), rounds: int = 30, contiguous: bool = False, max_folds: int | None = None, warm_start: bool = False) -> DataFrame:
+    """Out-of-sample forecasts of every fold (of the first ``max_folds``), with its parameters.
 
-    The context of the test rows is the tail of the training rows, or with ``contiguous`` the rows just before them.
+    Folds are fitted independently, each in a task; with ``warm_start`` one after the other, each search from the fold's
+    before, so that a series is one task. The context of the test rows is the tail of the training rows, or with
+    ``contiguous`` the rows just before them.
     """
     rows = targets(bars, h)
     folds = fold_table(rows, train, test, 5 * h)
     members = fold_rows(rows.select("asset", "ts", "return", "rv_fwd", "rv_trail"), folds)
     numbered = admitted(folds, members, n + least[0], least[1]).select("asset", "train_start", "fold")
+    if max_folds is not None:
+        numbered = numbered.where(F.col("fold") < max_folds)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: pd.DataFrame, start: np.ndarray | None = None) -> pd.DataFrame:
         group = group.sort_values("ts")
         own, later = group[group["part"] == "train"], group[group["part"] == "test"]
         returns, y = own["return"].to_numpy(), own["rv_fwd"].to_numpy()
         fold = int(group["fold"].iloc[0])
-        p, beta, r2_in = search(returns, y, n, seed=42 + fold, rounds=rounds)
+        p, beta, r2_in = search(returns, y, n, seed=42 + fold, rounds=rounds, start=start)
         line, _ = solve(np.column_stack([np.ones(len(own) - n), own["rv_trail"].to_numpy()[n:]]), y[n:])
         before = group.loc[group["ts"] < later["ts"].iloc[0], "return"].to_numpy()[-n:] if contiguous else returns[-n:]
         x = design(np.concatenate([before, later["return"].to_numpy()]), p, n)[n:]
@@ -103,7 +107,15 @@ def walk_forward(bars: DataFrame, h: int = 24, n: int = 500, train: str = "183 d
         out = pd.DataFrame({"ts": later["ts"], "rv_true": later["rv_fwd"], "sigma_hat": x @ beta, "sigma_ar1": line[0] + line[1] * trail, "sigma_naive": trail, "r1": x[:, 1], "r2": x[:, 2] ** 2})
         return out.assign(**constant)[[f.split()[0] for f in PREDICTIONS.split(", ")]]
 
-    return members.join(numbered, ["asset", "train_start"]).groupBy("asset", "fold").applyInPandas(fit, PREDICTIONS)
+    def fit_all(group: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        for _, own in group.groupby("fold", sort=True):
+            before = found[-1].iloc[0][["alpha1", "delta1", "alpha2", "delta2"]].to_numpy(float) if found else None
+            found.append(fit(own, before))
+        return pd.concat(found)
+
+    rows = members.join(numbered, ["asset", "train_start"])
+    return rows.groupBy("asset").applyInPandas(fit_all, PREDICTIONS) if warm_start else rows.groupBy("asset", "fold").applyInPandas(lambda group: fit(group), PREDICTIONS)
 
 
 def sensitivity(bars: DataFrame, hs: tuple[int, ...], ns: tuple[int, ...], base: tuple[int, int], **options) -> DataFrame:

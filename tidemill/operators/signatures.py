@@ -115,6 +115,14 @@ def log_signature(paths: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate([total[k][:, places[k]] for k in range(1, depth + 1)], axis=1)
 
 
+def enough(events: DataFrame, length: int) -> DataFrame:
+    """``events``, or an error that names the series and scales with fewer than ``length`` events."""
+    short = events.groupBy("asset", "scale").count().where(F.col("count") < length).limit(20).collect()
+    if short:
+        raise ValueError("too few events: " + ", ".join(f"{r.asset} {r.scale}: {r['count']}" for r in short))
+    return events
+
+
 def log_signatures(states: DataFrame, length: int, depth: int, stride: int = 1, batch: int = 256) -> DataFrame:
     """``signature`` (one number for each Lyndon word over 8 channels) of every full window."""
     keyed = states.withColumn("_key", F.concat_ws("|", "asset", "scale"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.operators.bars import validate
 from tidemill.operators.order import running_total
 from tidemill.session import table
 
@@ -66,6 +67,55 @@ def model_files(spark: SparkSession, folder: str, prefix: str = "regime_probs_ma
     return rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), f"{prefix}([^/]+?)\\.parquet", 1))
 
 
+def require(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``df``, or an error that names the columns it lacks or has with another type (``numeric`` stands for any number)."""
+    found = dict(df.dtypes)
+    missing = [c for c in kinds if c not in found]
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    wrong = [f"{c}: {found[c]}" for c, k in kinds.items() if c in found and found[c] != k and not (k == "numeric" and (found[c] in numbers or found[c].startswith("decimal")))]
+    if missing or wrong:
+        raise ValueError(f"missing columns: {missing}; columns of another type: {wrong}")
+    return df
+
+
+def require_paths(spark: SparkSession, paths: list[str]) -> None:
+    """An error that names the paths which don't exist."""
+    absent = [p for p in paths if not _exists(spark, p)]
+    if absent:
+        raise FileNotFoundError(", ".join(absent))
+
+
+def remapped(df: DataFrame, ts: str, price: str) -> DataFrame:
+    """The time and price columns by the names that the events are sampled from."""
+    return require(df, {ts: dict(df.dtypes).get(ts, ""), price: "numeric"}).select(F.col(ts).cast("timestamp_ntz").alias("ts"), F.col(price).cast("double").alias("close"))
+
+
+def converted(spark: SparkSession, path: str, out: str, asset: str) -> dict[str, int]:
+    """A vendor's CSV file as Parquet bars: columns checked, all rows validated, counts read back; the violations by kind.
+
+    A file without rows, or with rows that have no time or price, is an error, and nothing is written.
+    """
+    require_paths(spark, [path])
+    bars = with_time(vendor_csv(spark, path)).withColumn("asset", F.lit(asset))
+    require(bars, {"ts": "timestamp_ntz", **dict.fromkeys(("open", "high", "low", "close", "tickvol", "vol", "spread"), "numeric")})
+    found = validate(bars).first().asDict()
+    if not found["n_rows"] or found["n_null"]:
+        raise ValueError(f"{path}: {found['n_rows']} rows, {found['n_null']} without time or price")
+    write_bars(bars, out)
+    return found
+
+
+def write_signatures(found: DataFrame, path: str, rows_a_file: int = 50_000) -> DataFrame:
+    """Signatures in files of so many rows at most, by series and scale; reads them back."""
+    found.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("asset", "scale").parquet(path)
+    return found.sparkSession.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
 def write_bars(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> DataFrame:
     """Write partitioned by asset, then read back and compare the counts."""
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("asset").parquet(path)
@@ -76,8 +126,7 @@ def write_bars(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> DataFr
 
 
 def cached(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """The table at ``path``, built and written first where it is absent or ``force`` is set."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if force or not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    """The table at ``path``, built and written first where no finished write is there or ``force`` is set."""
+    if force or not _exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
