@@ -20,8 +20,10 @@ that was only 64 bits wide, unrelated documents would agree by chance, and ever
   the sets, again in blocks. No pair leaves its task: a block returns link counts and a spanning forest of its links.
 
 Defined results: a text that is null or has no words has an empty set and links with nothing; one with fewer than n
-words has its whole sequence as its only shingle; rows with a null key are left out; repeated rows give repeated rows;
-other columns are not carried.
+words has its whole sequence as its only shingle; a row with a null key links with nothing, and has the component of
+documents of the same set, if any, else null; repeated rows give repeated rows; other columns are not carried; a very long
+text is one set in one task. Sets are told apart by 64-bit fingerprints, shingles by 64-bit hashes; two sets that share a
+fingerprint stop the job.
 """
 
 from __future__ import annotations
@@ -438,9 +440,12 @@ def _links(blocks: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _placed(rows: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
-    """``base`` with the ``root`` of each set, and the component and links of its documents; no set, no root."""
+    """``base`` with the ``root`` of each set, and the component and links of its documents; no set, no root.
+
+    Rows of ``base`` without a key have what documents of the same set have, and change nothing.
+    """
     clash = F.when(F.min("f2") != F.max("f2"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.count("*"))
-    classes = cut(base.where("n_shingles > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), clash.cast("long").alias("copies"), F.max("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
+    classes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy("f1").agg(F.min("doc_id").alias("rep"), clash.cast("long").alias("copies"), F.max("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
     clumps = cut(_clumps(_keys(rows, rule), classes, rule).toDF("f1", "clump").join(classes.drop("sketch"), "f1"))
     sizes = clumps.groupBy("clump").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     chosen = cut(clumps.join(sizes, "clump").select(F.col("rep").alias("doc_id"), "clump", "f1", "copies", "blocks"))
@@ -454,15 +459,14 @@ def _placed(rows: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
 def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least document that it reaches) and ``n_links`` (documents linked with it)."""
     rows = _rows(docs, key, text)
-    return _placed(rows, cut(_base(rows, rule)), rule).select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
+    links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return _placed(rows.where("doc_id is not null"), cut(_base(rows, rule)), rule).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), links.alias("n_links"))
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -470,7 +474,7 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text:
 
     A key that repeats with other texts counts as other documents. Of equal rows one stays; rows without words or key stay.
     """
-    rows, own = _rows(docs, key, text), ["_" * max(map(len, docs.columns)) + name for name in ("key", "hash")]
+    rows, own = _rows(docs, key, text).where("doc_id is not null"), ["_" * max(map(len, docs.columns)) + name for name in ("key", "hash")]
     base = cut(_base(rows.withColumn("hash", F.xxhash64("text")), rule, hashed=True))
     placed = cut(_placed(rows, base, rule).where("root is not null").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("copies")))
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
