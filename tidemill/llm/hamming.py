@@ -16,7 +16,7 @@ fewer than k rows of a part within the radius only where fewer lie there; if it
 so it returns k rows whenever there are k candidates.
 
 Defined results: see ``vectors.clean`` for the rows that take part (not null, finite, not zero, of the commonest
-length); equal scores go by key; an empty table gives no rows.
+length); equal scores go by key; repeated keys count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from tidemill.llm.cut import cut, drop
 #: Rows that the rotations are fitted on, queries for the radius, and rows of an index part, at most.
 FITTED, ASKED, PART = 4_096, 128, 65_536
 #: Bits of a code at least, and the share of true neighbours of the asked queries within the radius.
-BITS, HELD = 256, 0.95
+BITS, HELD = 512, 0.93
 
 
 @dataclass(frozen=True)

@@ -7,8 +7,8 @@ query first searches the part that holds its own row.  The distance of its k-th
 triangle inequality, a row is no nearer than the difference of the query's and the row's distances to one pivot, so
 parts, and annuli within a part, whose difference exceeds the bound are never visited.
 
-Defined results: see ``vectors.clean`` for the rows that take part; fewer than k candidates give all of them; an empty
-table gives no rows.  Scores are exact while |score| stays below 2^53.
+Defined results: see ``vectors.clean`` for the rows that take part; equal scores go by key; fewer than k candidates give
+all of them; an empty table gives no rows.  Scores are exact while |score| stays below 2^53.
 """
 
 from __future__ import annotations
