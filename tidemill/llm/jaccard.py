@@ -43,7 +43,7 @@ from tidemill.llm.cut import cut
 from tidemill.llm.graph import components
 
 #: Words whose hashes a Python worker remembers at most; beyond, the memory starts anew.
-KEPT = 200_000
+KEPT = 60_000
 #: Texts a step, so that little is held at once.
 STEP = 2_000
 #: Rows of a part up to which they become pairs.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows in the sample, features of a link, and words that a worker remembers, at most.
-LABELLED, FEATURES, KEPT = 8_000, 4_096, 300_000
+LABELLED, FEATURES, KEPT = 8_000, 4_096, 100_000
 #: Folds of the out-of-fold predictions, and lengths of word beginnings.
 FOLDS, BEGINNINGS = 5, (4, 5, 6, 7)
 #: A document is toxic from this probability on.
