@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
+from tidemill.llm import bpe, dialogue, dialogue_sql, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -91,6 +91,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of what is left of every conversation, after planted damage."""
+    rows = dialogue.rows_of(table(spark, sf_dir, "conversations"))
+    return dialogue.report(rows, dialogue.damaged(rows)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_context_mixing": op9_context_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 #: SQL that gives the same rows, where SQL can. The others are tested against brute force, a round trip or held-out rows.
@@ -124,4 +131,5 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e
 SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(k.links, 0) AS n_links
 FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = n.doc_id LEFT JOIN (SELECT x, count(*) AS links FROM e GROUP BY x) k ON k.x = n.doc_id
 """,
+    "op11_conversation_repair": dialogue_sql.SQL,
 }
