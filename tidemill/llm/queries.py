@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, dialogue, dialogue_sql, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
+from tidemill.llm import bpe, codebooks, codebooks_sql, dialogue, dialogue_sql, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
@@ -97,6 +97,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(rows, dialogue.damaged(rows)).withColumnRenamed("conv", "conv_id")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the errors of its label, and the digest of the codebooks."""
+    rows, width = codebooks.scaled(table(spark, sf_dir, "embeddings"), parts=4, scale=1024)
+    books = codebooks.fit(rows, width, parts=4, size=256, rounds=4)
+    coded = codebooks.with_label_error(codebooks.encode(rows, books))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_mixing": op9_context_mixing,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 #: SQL that gives the same rows, where SQL can. The others are tested against brute force, a round trip or held-out rows.
@@ -132,4 +141,5 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(k.links, 0) AS n_li
 FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = n.doc_id LEFT JOIN (SELECT x, count(*) AS links FROM e GROUP BY x) k ON k.x = n.doc_id
 """,
     "op11_conversation_repair": dialogue_sql.SQL,
+    "op12_vector_codes": codebooks_sql.sql(),
 }
