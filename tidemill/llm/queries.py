@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, codebooks, codebooks_sql, dialogue, dialogue_sql, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity
+from tidemill.llm import bpe, codebooks, codebooks_sql, dialogue, dialogue_sql, hamming, jaccard, langid, mixing, packing, pii, secrets, topk, toxicity, wordbpe
 from tidemill.llm.digests import count_of, joined, of_kinds
 from tidemill.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def rank_file() -> str:
@@ -20,6 +21,11 @@ def rank_file() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def word_file() -> str:
+    """Where the vocabulary with word ends lies on the machine that asks."""
+    return public_tokenizers.path(WORDS)
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests of both."""
     return bpe.encode(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, decoded="decoded").select(
@@ -105,6 +111,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text by its distinct words, decode the ids, and give digests of both."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return wordbpe.encode(table(spark, sf_dir, "documents"), word_file).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -118,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 #: SQL that gives the same rows, where SQL can. The others are tested against brute force, a round trip or held-out rows.
