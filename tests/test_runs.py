@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import scratch
-from tidemill.operators import events, folds, ou, regime, runs, signatures
+from tidemill.operators import events, folds, ou, regime, running, runs, signatures
 from tidemill.plans import catalog  # first: it registers the modules of queries
 from tidemill.plans import bar_queries
 from tidemill.sources import ticks as sources
@@ -28,7 +28,7 @@ def test_expanding_median_against_plain_medians(spark):
     rng = random.Random(3)
     values = [None if rng.random() < 0.2 else rng.choice([1.0, rng.random()]) for _ in range(120)]
     rows = spark.createDataFrame([(a, i, x, "c") for a in ("x", "y") for i, x in enumerate(values)], "asset string, i long, v double, x string").repartition(3)
-    for r in regime.expanding_median(rows, "v", "m").collect():
+    for r in running.expanding_median(rows, "v", "m").collect():
         own = [v for v in values[: r.i + 1] if v is not None]
         assert r.m == (pytest.approx(float(np.median(own))) if own else None)
 

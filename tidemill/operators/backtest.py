@@ -1,22 +1,24 @@
 """Execution of signals over minute bars: candidates in parallel, then acceptance in time order, then metrics.
 
 An exit depends on its signal, the minutes after it and the spreads, never on other trades. So all exits are found at
-once by joins and aggregates (``candidates``); only which candidates become trades is sequential (``accepted``), a scan
-over one short row a signal, each configuration and series on its own.
+once by joins and aggregates (``candidates``).  Which candidates become trades (``accepted``) is a path over short rows, one
+a signal: it is followed in blocks, all at once, and joined by doubling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.guards import ratio
 from tidemill.operators.joins import as_of
-from tidemill.operators.order import indexed
+from tidemill.operators.order import BLOCK, blocked, indexed, running_max, running_total
 from tidemill.operators.regime import SIGMA_FLOOR
+from tidemill.scratch import kept
 
 DEFAULT_SPREAD = 1.5e-5
 
@@ -76,22 +78,64 @@ def candidates(
     return ends.withColumn("duration_min", F.timestamp_diff("SECOND", c("entry_time"), c("exit_time")) / 60.0).drop("_exit", "_end", "signal")
 
 
-def accepted(found: DataFrame, cooldown: int = 24, by: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """The candidates that become trades: none while another is open, nor within ``cooldown`` bars of the last entry."""
-    rows = found.select(*by, "signal_time", "entry_time", "exit_time", "bar")
+_STEP = "_key string, _block long, seq long, signal_time timestamp_ntz, next long, out long"
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("signal_time")
-        free, last, kept = None, -cooldown - 1, []
-        for signal, entry, leave, bar in zip(group["signal_time"], group["entry_time"], group["exit_time"], group["bar"], strict=True):
-            take = not (free is not None and (signal < free or entry <= free)) and bar - last >= cooldown
-            kept.append(take)
-            if take:
-                free, last = leave, bar
-        return group.loc[kept, [*by, "signal_time"]]
 
-    schema = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in (*by, "signal_time"))
-    return found.join(rows.groupBy(*by).applyInPandas(scan, schema), [*by, "signal_time"], "left_semi")
+def _successors(group: pa.Table, cooldown: int, block: int) -> pa.Table:
+    """The next candidate behind each one that is taken (``next``), and the first of these beyond the block (``out``)."""
+    group = group.sort_by("seq")
+    seq, start = group.column("seq").to_numpy(), group.column("start").to_numpy()
+    bar, own = group.column("bar").to_numpy(), group.column("_own").to_numpy(zero_copy_only=False)
+    ahead = np.maximum(start, seq[0] + np.searchsorted(bar, bar + cooldown))
+    ahead = np.maximum(ahead, seq + 1)
+    first, end = int(seq[0]), (int(seq[0]) // block + 1) * block
+    out = ahead.tolist()
+    for k in range(int(own.sum()) - 1, -1, -1):
+        if out[k] < end and out[k] - first < len(out):
+            out[k] = out[out[k] - first]
+    columns = [group.column("_key"), group.column("_block"), group.column("seq"), group.column("signal_time"), pa.array(ahead), pa.array(out, pa.int64())]
+    return pa.table(columns, [f.split()[0] for f in _STEP.split(", ")]).filter(group.column("_own"))
+
+
+def _taken(group: pa.Table) -> pa.Table:
+    """The candidates of one block that follow each other from its entry on."""
+    group = group.sort_by("seq")
+    seq, ahead = group.column("seq").to_pylist(), group.column("next").to_pylist()
+    at, kept_rows = group.column("entry")[0].as_py() - seq[0], []
+    while at < len(seq):
+        kept_rows.append(at)
+        at = ahead[at] - seq[0]
+    return group.take(pa.array(kept_rows, pa.int64())).select(["_key", "signal_time"])
+
+
+def accepted(found: DataFrame, cooldown: int = 24, by: tuple[str, ...] = ("asset",), block: int = BLOCK) -> DataFrame:
+    """The candidates that become trades: none while another is open, nor within ``cooldown`` bars of the last entry.
+
+    Which candidate follows one that is taken depends on that one alone, so the trades are the path from the first candidate
+    on.  Blocks of candidates find their successors and, from the last row back, where a path through them leaves the block.
+    The blocks' entries are then reached by doubling the leaps from block to block, as many rounds as the number of blocks has
+    digits in base two, and each block follows its own part of the path.
+    """
+    c = F.col
+    block = max(block, cooldown)
+    key = F.concat_ws("|", *by)
+    ready = F.least(c("signal_time"), c("entry_time") - F.expr("interval 1 microsecond"))
+    rows = found.select(key.alias("_key"), "signal_time", ready.alias("ready"), (c("exit_time") - F.expr("interval 1 microsecond")).alias("ts"), "bar")
+    rows = kept(indexed(rows, "_key", ("signal_time",), "seq"))
+    blocks = (rows.agg(F.max("seq")).first()[0] or 0) // block + 1
+    # A candidate can be next if it is ready once this one has left: it comes behind the last that was ready too early.
+    early = as_of(rows.drop("ready"), rows.select("_key", c("ready").alias("ts"), c("seq").alias("last")), "last", by="_key", default=-1)
+    near = blocked(early.withColumn("start", c("last").cast("long") + 1), ahead=max(cooldown, 1), i="seq", block=block)
+    near = near.select("_key", "_block", "seq", "signal_time", "bar", "start", "_own")
+    steps = kept(near.groupBy("_key", "_block").applyInArrow(lambda group: _successors(group, cooldown, block), _STEP))
+    entries = rows.where("seq = 0").select("_key", "seq")
+    leaps = steps.select("_key", "seq", "out")
+    for _ in range((blocks - 1).bit_length()):
+        entries = kept(entries.union(entries.join(leaps, ["_key", "seq"]).select("_key", c("out").alias("seq"))).distinct())
+        leaps = kept(leaps.join(leaps.select("_key", c("seq").alias("out"), c("out").alias("_then")), ["_key", "out"]).select("_key", "seq", c("_then").alias("out")))
+    own = entries.select("_key", F.floor(c("seq") / block).alias("_block"), c("seq").alias("entry"))
+    path = steps.join(own, ["_key", "_block"]).groupBy("_key", "_block").applyInArrow(_taken, "_key string, signal_time timestamp_ntz")
+    return found.withColumn("_key", key).join(path, ["_key", "signal_time"], "left_semi").drop("_key")
 
 
 def daily(trades: DataFrame, by: tuple[str, ...] = ("asset",)) -> DataFrame:
@@ -101,8 +145,8 @@ def daily(trades: DataFrame, by: tuple[str, ...] = ("asset",)) -> DataFrame:
 
 def drawdown(trades: DataFrame, by: tuple[str, ...] = ("asset",)) -> DataFrame:
     """Cumulative profit of each trade in order, the greatest so far, and the distance from it."""
-    so_far = Window.partitionBy(*by).orderBy("signal_time").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("cum_pnl", F.sum("pnl_usd").over(so_far)).withColumn("peak", F.max("cum_pnl").over(so_far))
+    rows = running_total(trades.withColumn("_key", F.concat_ws("|", *by)), F.col("pnl_usd"), "cum_pnl", "_key", ("signal_time",))
+    rows = running_max(rows, F.col("cum_pnl"), "peak", "_key", ("signal_time",))
     return rows.withColumn("drawdown", F.col("cum_pnl") - F.col("peak")).select(*by, "signal_time", "cum_pnl", "peak", "drawdown")
 
 

@@ -1,22 +1,22 @@
 """Directional-change events under a moving threshold: a scan with constant state over each series and scale.
 
-Rows of one (series, scale) come to a task as a sorted stream, so a task holds a batch of bars and the state, never a
-whole series. The same state serves the streaming twin (``streaming.live``).
+The series is scanned in blocks of bars, all at once, from guessed states that are then corrected. The same state serves the
+streaming twin (``streaming.live``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemill.operators.order import BLOCK
 from tidemill.operators.rolling import fractal_metrics
-
-FIELDS = "asset string, scale string, ts timestamp_ntz, price double, type string, theta_dynamic double, hurst_snapshot double, is_gap_event boolean"
-
+from tidemill.scratch import kept
 
 @dataclass(frozen=True)
 class Scale:
@@ -99,24 +99,55 @@ def causal_features(bars: DataFrame, scale: Scale = Scale("features"), ref: int
     return own.select("asset", "ts", "hurst", "energy_v", "fractal_f", "theta_dynamic", F.col("sigma_t").alias("sigma_local"))
 
 
-def directional_changes(bars: DataFrame, scales: list[Scale], gaps: Gaps = Gaps(), ref: int = 288, gap_minutes: float = 120.0) -> DataFrame:
-    """Events of every scale: time, price, direction, threshold, Hurst exponent, and whether a gap bar made it."""
-    rows = metrics(bars, scales, ref, gap_minutes).where("i >= first").select("asset", "scale", "i", "ts", "close", "theta_dynamic", "hurst", "sampler_gap", "base")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, scan = None, None
-        for batch in batches:
-            out: dict[str, list] = {f.split()[0]: [] for f in FIELDS.split(", ")}
-            for asset, scale, i, ts, close, theta, hurst, gap, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (asset, scale):
-                    key, scan = (asset, scale), Scan(gaps, base)
-                if found := scan.step(close, i, ts, hurst, theta, gap):
-                    for column, value in zip(out, (asset, scale, found[0], found[1], found[2], found[3], found[4], gap), strict=True):
-                        out[column].append(value)
-            kinds = (pa.string(), pa.string(), pa.timestamp("us"), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-
-    return rows.repartition("asset", "scale").sortWithinPartitions("asset", "scale", "i").mapInArrow(run, FIELDS)
+_BAR = "struct<price: double, place: bigint, ts: timestamp_ntz, hurst: double>"
+_STATE = f"struct<anchor: double, high: {_BAR}, low: {_BAR}, before: double>"
+_EVENT = "struct<ts: timestamp_ntz, price: double, type: string, theta_dynamic: double, hurst_snapshot: double, is_gap_event: boolean>"
+_BLOCKS = f"asset string, scale string, _block long, entry {_STATE}, exit {_STATE}, events array<{_EVENT}>"
+
+
+def _block_scanned(rows: pa.Table, entry: pa.Table, gaps: Gaps, schema: pa.Schema) -> pa.Table:
+    """One block of bars from one state: its events and the state behind it."""
+    rows, state = rows.sort_by("i"), entry.column("entry")[0].as_py()
+    scan = Scan(gaps, rows.column("base")[0].as_py())
+    if state is not None:
+        scan.anchor, scan.before = state["anchor"], state["before"]
+        scan.high, scan.low = (tuple(x.values()) if x else (scan.anchor, 0, None, 0.0) for x in (state["high"], state["low"]))
+    found = []
+    for i, ts, close, theta, hurst, gap in zip(*(rows.column(c).to_pylist() for c in ("i", "ts", "close", "theta_dynamic", "hurst", "sampler_gap")), strict=True):
+        if event := scan.step(close, i, ts, hurst, theta, gap):
+            found.append({"ts": event[0], "price": event[1], "type": event[2], "theta_dynamic": event[3], "hurst_snapshot": event[4], "is_gap_event": gap})
+    ends = (None, None) if scan.anchor is not None else (scan.high, scan.low)  # past the first event, extremes don't count
+    high, low = (dict(zip(("price", "place", "ts", "hurst"), x, strict=True)) if x else None for x in ends)
+    out = {c: rows.column(c)[0].as_py() for c in ("asset", "scale", "_block")}
+    return pa.Table.from_pylist([{**out, "entry": state, "exit": {"anchor": scan.anchor, "high": high, "low": low, "before": scan.before}, "events": found}], schema)
+
+
+def directional_changes(bars: DataFrame, scales: list[Scale], gaps: Gaps = Gaps(), ref: int = 288, gap_minutes: float = 120.0, block: int = BLOCK) -> DataFrame:
+    """Events of every scale: time, price, direction, threshold, Hurst exponent, and whether a gap bar made it.
+
+    All blocks of a series are scanned at once, each as if the series began there.  Where the state behind the block before
+    turns out to be another one, the block is scanned again from it, until all entries agree.  Two scans of the same bars are
+    at one from the first event that both find, so that the second round mostly is the last; a block without any event hands
+    its entry on, one block a round.
+    """
+    keys = ["asset", "scale", "_block"]
+    rows = metrics(bars, scales, ref, gap_minutes).where("i >= first").select("asset", "scale", F.floor(F.col("i") / block).alias("_block"), "i", "ts", "close", "theta_dynamic", "hurst", "sampler_gap", "base")
+    rows = kept(rows)
+    schema = to_arrow_schema(T._parse_datatype_string(_BLOCKS))
+
+    def scanned(entries: DataFrame) -> DataFrame:
+        own = entries.select(*(F.col(k).alias(f"{k}_") for k in keys), "entry")
+        return kept(rows.join(entries.select(*keys), keys, "left_semi").groupBy(*keys).cogroup(own.groupBy(*(f"{k}_" for k in keys))).applyInArrow(lambda a, b: _block_scanned(a, b, gaps, schema), _BLOCKS))
+
+    done = scanned(rows.select(*keys).distinct().withColumn("entry", F.lit(None).cast(_STATE)))
+    before = Window.partitionBy("asset", "scale").orderBy("_block")
+    while True:
+        wanted = done.select(*keys, "entry", F.lag("exit").over(before).alias("_wanted")).where(~F.col("entry").eqNullSafe(F.col("_wanted")))
+        wanted = kept(wanted.select(*keys, F.col("_wanted").alias("entry")))
+        if wanted.isEmpty():
+            break
+        done = kept(done.join(wanted, keys, "left_anti").unionByName(scanned(wanted)))
+    return done.select("asset", "scale", F.explode("events").alias("e")).select("asset", "scale", "e.*")
 
 
 def counts(events: DataFrame) -> DataFrame:

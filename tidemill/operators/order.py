@@ -28,6 +28,15 @@ def running_total(df: DataFrame, value: Column, out: str, by: str = "asset", ord
     return rows.withColumn(out, total).join(sums, [by, "_bucket"]).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before", "_value")
 
 
+def running_max(df: DataFrame, value: Column, out: str, by: str = "asset", order: tuple[str, ...] = ("ts",), bucket: str = "day") -> DataFrame:
+    """Greatest ``value`` over all rows of the series up to and with this one."""
+    rows = df.withColumn("_bucket", F.date_trunc(bucket, F.col(order[0]))).withColumn("_value", value)
+    inside = Window.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    most = rows.groupBy(by, "_bucket").agg(F.max("_value").alias("_most")).select(by, "_bucket", F.max("_most").over(earlier).alias("_before"))
+    return rows.withColumn(out, F.max("_value").over(inside)).join(most, [by, "_bucket"]).withColumn(out, F.greatest(out, "_before")).drop("_bucket", "_before", "_value")
+
+
 def indexed(df: DataFrame, by: str = "asset", order: tuple[str, ...] = ("ts",), out: str = "i", bucket: str = "day") -> DataFrame:
     """Dense position of each row in its series, from 0."""
     return running_total(df, F.lit(1).cast("bigint"), out, by, order, bucket).withColumn(out, F.col(out) - 1)

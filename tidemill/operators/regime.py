@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -117,27 +116,3 @@ def likeliest(probabilities: DataFrame, columns: list[str]) -> DataFrame:
     """The regime column of greatest probability, the first of equal ones."""
     values, names = F.array(*columns), F.array(*[F.lit(c.removeprefix("regime_").removesuffix("_prob")) for c in columns])
     return probabilities.withColumn("regime", F.element_at(names, F.array_position(values, F.array_max(values)).cast("int")))
-
-
-def expanding_median(bars: DataFrame, value: str, out: str) -> DataFrame:
-    """Median of all values up to each row, NULLs left out.
-
-    It depends on all rows before, so a series is one scan in one task, with two heaps around the median; only its places
-    and values go there. Series run side by side.
-    """
-
-    def scan(group: pa.Table) -> pa.Table:
-        group = group.sort_by("i")
-        low: list[float] = []  # the lower half, negated
-        high: list[float] = []
-        found: list[float | None] = []
-        for x in group.column("x").to_pylist():
-            if x is not None:
-                heapq.heappush(low, -heapq.heappushpop(high, x))
-                if len(low) > len(high) + 1:
-                    heapq.heappush(high, -heapq.heappop(low))
-            found.append(None if not low else -low[0] if len(low) > len(high) else -low[0] + (high[0] + low[0]) * 0.5)
-        return pa.table([group.column("asset"), group.column("i"), pa.array(found, pa.float64())], ["asset", "i", out])
-
-    medians = bars.select("asset", "i", F.col(value).cast("double").alias("x")).groupBy("asset").applyInArrow(scan, f"asset string, i long, {out} double")
-    return bars.join(medians, ["asset", "i"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.guards import clipped, ratio
 from tidemill.operators.order import blocked, over, unblocked
-from tidemill.operators.regime import expanding_median
 from tidemill.operators.rolling import frame
+from tidemill.operators.running import expanding_median
 
 
 def edge(bars: DataFrame, window: int = 288) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.guards import rounded
-from tidemill.operators import backtest, bars, events, folds, joins, ou, regime, regression, rolling, signatures, spread
+from tidemill.operators import backtest, bars, events, folds, joins, ou, regime, regression, rolling, running, signatures, spread
 from tidemill.operators.order import indexed
 from tidemill.plans.catalog import register
 from tidemill.sources.ticks import ticks
@@ -210,7 +210,7 @@ plain(
     "hurst_gate", _hurst_gated, "ts signal",
     SIGNALS + ", " + _METRICS.removeprefix(BARS + ", ") + ", gate AS (SELECT s.ts, CASE WHEN bars_since <= 24 AND round(m.hurst, 8) <= 0.6 THEN signal ELSE 0 END AS signal FROM signals s LEFT JOIN metrics m ON m.ts = s.ts)", "gate",
 )
-plain("expanding_median", lambda s, d: regime.expanding_median(gated(s, d), "sigma_hat", "median_so_far"), "ts ~median_so_far", GATED + ", em AS (SELECT ts, quantile_cont(sigma_hat, 0.5) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS median_so_far FROM gated)", "em", 12)
+plain("expanding_median", lambda s, d: running.expanding_median(gated(s, d), "sigma_hat", "median_so_far"), "ts ~median_so_far", GATED + ", em AS (SELECT ts, quantile_cont(sigma_hat, 0.5) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS median_so_far FROM gated)", "em", 12)
 _OU = (
     BARS
     + f""", o0 AS (SELECT ts, i, ln(close) AS y, ln(lag(close) OVER (ORDER BY i)) AS x FROM bars),
