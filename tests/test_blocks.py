@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemill.operators import backtest, events, order, running
+from tidemill.operators import backtest, events, order, running, signatures
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -81,3 +81,33 @@ def test_running_greatest(spark):
     got = order.running_max(spark.createDataFrame(rows, "asset string, ts timestamp_ntz, v double"), order.F.col("v"), "m").collect()
     for r in got:
         assert r.m == max(v for a, ts, v in rows if a == r.asset and ts <= r.ts)
+
+
+@pytest.mark.parametrize("lengths", [(2,), (7,), (3, 5, 10, 12), (1, 4), (40,)])
+def test_window_signatures_from_shared_products(lengths):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(25, 2)).cumsum(axis=0)
+    points[4:8] = points[4]
+    for depth in (2, 3):
+        found = signatures.window_log_signatures(points, lengths, depth)
+        for length, rows in found.items():
+            assert len(rows) == max(0, len(points) - length + 1)
+            for start, row in enumerate(rows):
+                x = points[start : start + length]
+                x = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0) + 1e-8)
+                k = np.arange(2 * length - 1)
+                path = np.concatenate([x[k // 2], x[(k + 1) // 2]], axis=1)
+                expected = signatures.log_signature(path[None], depth)[0] if length > 1 else np.zeros(len(row))
+                assert np.allclose(row, expected, atol=1e-9)
+
+
+def test_windows_of_all_lengths_over_blocks(spark):
+    rng = random.Random(4)
+    rows = [("A", s, i, T0 + dt.timedelta(minutes=i), rng.random(), rng.random(), rng.random(), rng.random()) for s, n in (("a", 30), ("b", 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "asset string, scale string, i long, ts timestamp_ntz, p double, sigma double, h double, u double")
+    got = signatures.signature_windows(df, (3, 6), 2, stride=2, batch=5).collect()
+    assert sorted((r.scale, r.length, r.start_idx) for r in got) == sorted((s, n, i) for s, size in (("a", 30), ("b", 4)) for n in (3, 6) for i in range(0, size - n + 1, 2))
+    for r in got:
+        assert r.end_idx == r.start_idx + r.length - 1 and r.end_ts == T0 + dt.timedelta(minutes=r.end_idx)
+        x = np.array([row[4:] for row in rows if row[1] == r.scale][r.start_idx : r.end_idx + 1])
+        assert np.allclose(r.signature, signatures.window_log_signatures(x, (r.length,), 2)[r.length][0])

@@ -1,7 +1,9 @@
 """Log-signatures of sliding windows of events: state channels, windows, lead-lag paths, truncated tensor algebra.
 
-Events are indexed; a task gets a block of positions with the rows that its last windows need, cuts the windows there
-and computes them in batches, so an event is shipped once or twice, not once for each window that holds it.
+Events are indexed; a task gets a block of positions with the rows that its last windows need, so an event is shipped once or
+twice, not once for each window that holds it.  Windows share their work: the signature of a path is the product of its steps',
+and products over 2, 4, 8 ... steps are made once for all windows and for all lengths.  Scaling a channel scales the words that
+hold it, so that each window's own least and greatest values come in at the end.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.order import blocked, over, unblocked
@@ -20,8 +22,11 @@ from tidemill.operators.rolling import frame
 CHANNELS = ("p", "sigma", "h", "u")
 
 
-def state_channels(events: DataFrame, theta: float = 0.002, aggression: float = 2.0) -> DataFrame:
-    """Per event: log price from the first, threshold in units of its fractal part, Hurst exponent, log seconds since the last."""
+def state_channels(events: DataFrame, theta: float | Column = 0.002, aggression: float | Column = 2.0) -> DataFrame:
+    """Per event: log price from the first, threshold in units of its fractal part, Hurst exponent, log seconds since the last.
+
+    Where scales differ in ``theta`` and ``aggression``, these are columns over the events.
+    """
     first = events.groupBy("asset", "scale").agg(F.min_by(F.log(F.col("price") + 1e-10), "i").alias("_first"))
     rows = blocked(events.withColumn("_key", F.concat_ws("|", "asset", "scale")), back=1)
     since = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag("ts").over(over("_key")), F.col("ts")) / 1e6, F.lit(1.0))
@@ -93,26 +98,83 @@ def lyndon(letters: int, depth: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda w: (len(w), w))
 
 
-def log_signature(paths: np.ndarray, depth: int) -> np.ndarray:
-    """Log-signatures (paths x words) of piecewise linear paths (paths x points x channels), by Chen's product."""
-    count, points, d = paths.shape
-    levels = [np.ones((count, 1))] + [np.zeros((count, d**k)) for k in range(1, depth + 1)]
-    outer = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(count, -1)
-    for step in np.diff(paths, axis=1).transpose(1, 0, 2):
-        power = [np.ones((count, 1)), step]
-        for k in range(2, depth + 1):
-            power.append(outer(power[-1], step) / k)
-        for k in range(depth, 0, -1):
-            levels[k] = levels[k] + sum(outer(levels[k - j], power[j]) for j in range(1, k + 1))
+Levels = list[np.ndarray]
+
+
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :, None] * b[:, None, :]).reshape(len(a), a.shape[1] * b.shape[1])
+
+
+def _segments(steps: np.ndarray, depth: int) -> Levels:
+    """Signatures of straight segments (segments x channels), level by level from 1."""
+    levels = [steps]
+    for k in range(2, depth + 1):
+        levels.append(_outer(levels[-1], steps) / k)
+    return levels
+
+
+def _product(a: Levels, b: Levels) -> Levels:
+    """Chen's product: signatures of paths put one behind the other."""
+    return [x + y + sum((_outer(a[j], b[k - j - 1]) for j in range(k)), np.zeros_like(x)) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+
+
+def _part(levels: Levels, start: int, size: int) -> Levels:
+    return [x[start : start + size] for x in levels]
+
+
+def _log(levels: Levels, channels: int) -> np.ndarray:
+    """Logarithms of signatures, as the numbers of the Lyndon words."""
+    depth = len(levels)
     total = [np.zeros_like(x) for x in levels]
-    term = [np.zeros_like(levels[0]), *levels[1:]]
+    power = list(levels)
     for n in range(1, depth + 1):
-        for k in range(depth + 1):
-            total[k] += (-1) ** (n + 1) / n * term[k]
-        term = [sum((outer(term[k - j], levels[j]) for j in range(1, k)), np.zeros_like(levels[k])) for k in range(depth + 1)]
-    words = lyndon(d, depth)
-    places = {k: [sum(c * d ** (k - 1 - i) for i, c in enumerate(w)) for w in words if len(w) == k] for k in range(1, depth + 1)}
-    return np.concatenate([total[k][:, places[k]] for k in range(1, depth + 1)], axis=1)
+        for k in range(depth):
+            total[k] += (-1) ** (n + 1) / n * power[k]
+        power = [sum((_outer(power[j], levels[k - j - 1]) for j in range(k)), np.zeros_like(levels[k])) for k in range(depth)]
+    words = lyndon(channels, depth)
+    places = [[sum(c * channels ** (k - 1 - i) for i, c in enumerate(w)) for w in words if len(w) == k] for k in range(1, depth + 1)]
+    return np.concatenate([x[:, p] for x, p in zip(total, places, strict=True)], axis=1)
+
+
+def log_signature(paths: np.ndarray, depth: int) -> np.ndarray:
+    """Log-signatures (paths x words) of piecewise linear paths (paths x points x channels)."""
+    steps = np.diff(paths, axis=1).transpose(1, 0, 2)
+    found = _segments(np.zeros_like(paths[:, 0]), depth)
+    for step in steps:
+        found = _product(found, _segments(step, depth))
+    return _log(found, paths.shape[2])
+
+
+def window_log_signatures(points: np.ndarray, lengths: tuple[int, ...], depth: int) -> dict[int, np.ndarray]:
+    """Log-signatures of the scaled lead-lag paths of all windows of each length over ``points`` (points x channels), a row a start."""
+    count, own = points.shape
+    moves = np.diff(points, axis=0)
+    still = np.zeros_like(moves)
+    # Between two points the lead (the second half of the channels) moves first, then the lag.
+    power = _product(_segments(np.concatenate([still, moves], axis=1), depth), _segments(np.concatenate([moves, still], axis=1), depth))
+    whole: dict[int, Levels] = {}
+    done = dict.fromkeys(lengths, 0)
+    size = 1
+    while size <= max(lengths) - 1:
+        for length in lengths:
+            if (length - 1) & size and count >= length:
+                starts = count - length + 1
+                here = _part(power, done[length], starts)
+                whole[length] = _product(_part(whole[length], 0, starts), here) if done[length] else here
+                done[length] += size
+        power = _product(_part(power, 0, max(0, len(power[0]) - size)), _part(power, size, len(power[0])))
+        size *= 2
+    words = lyndon(2 * own, depth)
+    found = {}
+    for length in lengths:
+        starts = max(0, count - length + 1)
+        if not starts or length < 2:
+            found[length] = np.zeros((starts, len(words)))
+            continue
+        view = np.lib.stride_tricks.sliding_window_view(points, length, axis=0)
+        scale = 1 / (view.max(axis=2) - view.min(axis=2) + 1e-8)
+        found[length] = _log(whole[length], 2 * own) * np.stack([np.prod([scale[:, c % own] for c in w], axis=0) for w in words], axis=1)
+    return found
 
 
 def enough(events: DataFrame, length: int) -> DataFrame:
@@ -123,29 +185,34 @@ def enough(events: DataFrame, length: int) -> DataFrame:
     return events
 
 
-def log_signatures(states: DataFrame, length: int, depth: int, stride: int = 1, batch: int = 256) -> DataFrame:
-    """``signature`` (one number for each Lyndon word over 8 channels) of every full window."""
+def signature_windows(states: DataFrame, lengths: tuple[int, ...], depth: int, stride: int = 1, batch: int = 256) -> DataFrame:
+    """``asset, scale, length, start_idx, end_idx, start_ts, end_ts, signature`` of every full window of each length."""
     keyed = states.withColumn("_key", F.concat_ws("|", "asset", "scale"))
-    rows = blocked(keyed.select("asset", "scale", "_key", "i", *CHANNELS), ahead=length, block=8_192)
+    rows = blocked(keyed.select("asset", "scale", "_key", "i", "ts", *CHANNELS), ahead=max(lengths), block=2_048)
+    names = ["asset", "scale", "length", "start_idx", "end_idx", "start_ts", "end_ts", "signature"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
-        values, places, own = group[list(CHANNELS)].to_numpy(np.float64), group["i"].to_numpy(), group["_own"].to_numpy()
-        if len(group) < length:
-            return pd.DataFrame({"asset": [], "scale": [], "start_idx": [], "signature": []})
-        cut = np.lib.stride_tricks.sliding_window_view(values, length, axis=0).transpose(0, 2, 1)
-        kept = np.flatnonzero(own[: len(cut)] & (places[: len(cut)] % stride == 0))
-        out = []
-        for at in range(0, len(kept), batch):
-            x = cut[kept[at : at + batch]]
-            low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
-            x = (x - low) / (high - low + 1e-8)
-            k = np.arange(2 * length - 1)
-            out.append(log_signature(np.concatenate([x[:, k // 2], x[:, (k + 1) // 2]], axis=2), depth).astype(np.float32))
-        found = np.concatenate(out) if out else np.empty((0, 0), np.float32)
-        return pd.DataFrame({"asset": group["asset"].iloc[0], "scale": group["scale"].iloc[0], "start_idx": places[kept], "signature": list(found)})
-
-    return rows.groupBy("_key", "_block").applyInPandas(run, "asset string, scale string, start_idx long, signature array<float>")
+        values, places, times = group[list(CHANNELS)].to_numpy(np.float64), group["i"].to_numpy(), group["ts"].to_numpy()
+        own = int(group["_own"].sum())
+        frames = []
+        for at in range(0, own, batch):
+            for length, found in window_log_signatures(values[at : min(own, at + batch) + max(lengths) - 1], lengths, depth).items():
+                first = np.arange(at, min(at + len(found), own, at + batch))
+                first = first[places[first] % stride == 0]
+                last = first + length - 1
+                frames.append(pd.DataFrame({
+                    "asset": group["asset"].iloc[0], "scale": group["scale"].iloc[0], "length": length, "start_idx": places[first], "end_idx": places[last],
+                    "start_ts": times[first], "end_ts": times[last], "signature": list(found[first - at]),
+                }))
+        return pd.concat(frames) if frames else pd.DataFrame({c: [] for c in names})
+
+    return rows.groupBy("_key", "_block").applyInPandas(run, "asset string, scale string, length int, start_idx long, end_idx long, start_ts timestamp_ntz, end_ts timestamp_ntz, signature array<double>")
+
+
+def log_signatures(states: DataFrame, length: int, depth: int, stride: int = 1, batch: int = 256) -> DataFrame:
+    """``signature`` (one number for each Lyndon word over 8 channels) of every full window."""
+    return signature_windows(states, (length,), depth, stride, batch).select("asset", "scale", "start_idx", F.col("signature").cast("array<float>").alias("signature"))
 
 
 def invalid(found: DataFrame, depth: int, channels: int = 8) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.guards import rounded
@@ -13,8 +14,8 @@ from tidemill.operators.order import indexed
 from tidemill.plans import bar_queries as b
 from tidemill.plans.bar_queries import H, N, SCALES, plain
 from tidemill.plans.catalog import register
-from tidemill.scratch import kept
-from tidemill.sources.ticks import ticks
+from tidemill.scratch import kept, workdir
+from tidemill.sources.ticks import ticks, write_signatures
 
 TRAIN, TEST = "10 days", "2 days"
 
@@ -319,22 +320,40 @@ register(
 L = 10
 
 
+def _per_scale(value: str) -> Column:
+    """A parameter of each row's own scale."""
+    return F.coalesce(*[F.when(F.col("scale") == x.name, F.lit(getattr(x, value))) for x in SCALES])
+
+
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _events(spark, sf_dir, SCALES[1:2]).withColumn("_k", F.concat_ws("|", "asset", "scale"))
+    own = _events(spark, sf_dir).withColumn("_k", F.concat_ws("|", "asset", "scale"))
     placed = indexed(own, "_k", ("ts",)).drop("_k")
-    return signatures.state_channels(placed, theta=SCALES[1].theta, aggression=SCALES[1].aggression)
+    return kept(signatures.state_channels(placed, theta=_per_scale("theta"), aggression=_per_scale("aggression")))
 
 
 _windows = lambda s, d: signatures.windows(_states(s, d), L)
+_OWN = {v: "CASE scale " + " ".join(f"WHEN '{x.name}' THEN {getattr(x, v)}" for x in SCALES) + " END" for v in ("theta", "aggression")}
 STATES = (
-    "RECURSIVE " + b.BARS + ", " + _dc_sql(1, SCALES[1])
-    + """, ev AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i FROM v1),
-st AS (SELECT scale, i, ts, price, theta_dynamic, hurst_snapshot, CAST(CAST(ln(price + 1e-10) - first_value(ln(price + 1e-10)) OVER (ORDER BY i) AS FLOAT) AS DOUBLE) AS p, CAST(CAST(theta_dynamic / (0.0015 * exp(2.0 * (0.5 - hurst_snapshot)) + 1e-10) AS FLOAT) AS DOUBLE) AS sigma, CAST(CAST(hurst_snapshot AS FLOAT) AS DOUBLE) AS h,
-  CAST(CAST(ln(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY i))) / 1e6, 1.0) + 1e-6) AS FLOAT) AS DOUBLE) AS u FROM ev),
-wi AS (SELECT scale, i AS start_idx, last_value(i) OVER w AS end_idx, ts AS start_ts, last_value(ts) OVER w AS end_ts, price AS start_price, last_value(price) OVER w AS end_price, avg(hurst_snapshot) OVER w AS mean_hurst, avg(theta_dynamic) OVER w AS mean_theta_dynamic, count(*) OVER w AS n FROM st WINDOW w AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))"""
+    DC
+    + f""", ev AS (SELECT *, row_number() OVER (PARTITION BY scale ORDER BY ts) - 1 AS i FROM dc),
+st AS (SELECT scale, i, ts, price, theta_dynamic, hurst_snapshot, CAST(CAST(ln(price + 1e-10) - first_value(ln(price + 1e-10)) OVER (PARTITION BY scale ORDER BY i) AS FLOAT) AS DOUBLE) AS p, CAST(CAST(theta_dynamic / ({_OWN['theta']} * exp({_OWN['aggression']} * (0.5 - hurst_snapshot)) + 1e-10) AS FLOAT) AS DOUBLE) AS sigma, CAST(CAST(hurst_snapshot AS FLOAT) AS DOUBLE) AS h,
+  CAST(CAST(ln(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY scale ORDER BY i))) / 1e6, 1.0) + 1e-6) AS FLOAT) AS DOUBLE) AS u FROM ev)"""
 )
+
+
+def _cut_sql(n: int, k: str = "") -> str:
+    """Windows of ``n`` events, scaled points and lead-lag paths (names marked with ``k``)."""
+    scaled = ", ".join(f"(x.{c} - min(x.{c}) OVER v) / (max(x.{c}) OVER v - min(x.{c}) OVER v + 1e-8) AS {c}" for c in signatures.CHANNELS)
+    path = ", ".join([f"a.{c} AS lag_{c}" for c in signatures.CHANNELS] + [f"z.{c} AS lead_{c}" for c in signatures.CHANNELS])
+    return f"""wi{k} AS (SELECT scale, i AS start_idx, last_value(i) OVER w AS end_idx, ts AS start_ts, last_value(ts) OVER w AS end_ts, price AS start_price, last_value(price) OVER w AS end_price, avg(hurst_snapshot) OVER w AS mean_hurst, avg(theta_dynamic) OVER w AS mean_theta_dynamic, count(*) OVER w AS n FROM st WINDOW w AS (PARTITION BY scale ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)),
+mw{k} AS (SELECT a.scale, a.start_idx, CAST(x.i - a.start_idx AS INTEGER) AS k, {scaled} FROM wi{k} a JOIN st x ON x.scale = a.scale AND x.i BETWEEN a.start_idx AND a.end_idx WHERE a.n = {n} WINDOW v AS (PARTITION BY a.scale, a.start_idx)),
+ll{k} AS (SELECT a.scale, a.start_idx, CAST(g.k AS INTEGER) AS k, {path} FROM range(0, {2 * n - 1}) g(k) JOIN mw{k} a ON a.k = g.k // 2 JOIN mw{k} z ON z.scale = a.scale AND z.start_idx = a.start_idx AND z.k = (g.k + 1) // 2)"""
+
+
+WINDOWS = STATES + ", " + _cut_sql(L)
 plain("state_channels", lambda s, d: _states(s, d).withColumns({c: F.col(c).cast("double") for c in signatures.CHANNELS}), "scale i ts ~p ~sigma ~h ~u", STATES, "st", 5)
-plain("window_metadata", _windows, "scale start_idx end_idx start_ts end_ts ~start_price ~end_price ~mean_hurst ~mean_theta_dynamic", STATES, "wi WHERE n = 10", 7)
+plain("window_metadata", _windows, "scale start_idx end_idx start_ts end_ts ~start_price ~end_price ~mean_hurst ~mean_theta_dynamic", WINDOWS, "wi WHERE n = 10", 7)
+
 
 def _long(df: DataFrame, points: str, names: list[str]) -> DataFrame:
     """Windows as rows, one a point: its place and channels, rounded."""
@@ -344,18 +363,42 @@ def _long(df: DataFrame, points: str, names: list[str]) -> DataFrame:
 
 _scaled = lambda s, d: signatures.min_max(_windows(s, d))
 _PATH = [f"{side}_{c}" for side in ("lag", "lead") for c in signatures.CHANNELS]
-SCALED = STATES + ", mw AS (SELECT a.scale, a.start_idx, CAST(x.i - a.start_idx AS INTEGER) AS k, " + ", ".join(f"(x.{c} - min(x.{c}) OVER v) / (max(x.{c}) OVER v - min(x.{c}) OVER v + 1e-8) AS {c}" for c in signatures.CHANNELS) + " FROM wi a JOIN st x ON x.i BETWEEN a.start_idx AND a.end_idx WHERE a.n = 10 WINDOW v AS (PARTITION BY a.start_idx))"
-LEADLAG = SCALED + ", ll AS (SELECT a.scale, a.start_idx, CAST(g.k AS INTEGER) AS k, " + ", ".join([f"a.{c} AS lag_{c}" for c in signatures.CHANNELS] + [f"z.{c} AS lead_{c}" for c in signatures.CHANNELS]) + f" FROM range(0, {2 * L - 1}) g(k) JOIN mw a ON a.k = g.k // 2 JOIN mw z ON z.start_idx = a.start_idx AND z.k = (g.k + 1) // 2)"
 _points = lambda: F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: F.array(*[F.element_at(F.col(c), k + 1) for c in signatures.CHANNELS])).alias("points")
-register("minmax_windows", lambda s, d: _long(_scaled(s, d).select("scale", "start_idx", _points()), "points", list(signatures.CHANNELS)), f"WITH {SCALED} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in signatures.CHANNELS) + " FROM mw")
-register("lead_lag", lambda s, d: _long(signatures.lead_lag(_scaled(s, d)), "path", _PATH), f"WITH {LEADLAG} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in _PATH) + " FROM ll")
-_AREAS = [(x, y) for x in range(8) for y in range(x + 1, 8)]
-register(
-    "logsig_depth2",
-    lambda s, d: rounded(signatures.level_two(signatures.lead_lag(_scaled(s, d))).drop("asset"), 4),
-    f"WITH {LEADLAG}, inc AS (SELECT scale, start_idx, k, " + ", ".join(f"{c}, {c} - first_value({c}) OVER o AS f_{c}, lead({c}) OVER o - {c} AS d_{c}" for c in _PATH) + " FROM ll WINDOW o AS (PARTITION BY start_idx ORDER BY k)) SELECT scale, start_idx, "
-    + ", ".join([f"round(arg_max({c}, k) - arg_min({c}, k), 4) AS w{j + 1}" for j, c in enumerate(_PATH)] + [f"round(coalesce(sum(0.5 * (f_{_PATH[x]} * d_{_PATH[y]} - f_{_PATH[y]} * d_{_PATH[x]})), 0), 4) AS w{x + 1}{y + 1}" for x, y in _AREAS]) + " FROM inc GROUP BY scale, start_idx",
-)
+register("minmax_windows", lambda s, d: _long(_scaled(s, d).select("scale", "start_idx", _points()), "points", list(signatures.CHANNELS)), f"WITH {WINDOWS} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in signatures.CHANNELS) + " FROM mw")
+register("lead_lag", lambda s, d: _long(signatures.lead_lag(_scaled(s, d)), "path", _PATH), f"WITH {WINDOWS} SELECT scale, start_idx, k, " + ", ".join(f"round({c}, 4) AS {c}" for c in _PATH) + " FROM ll")
+
+
+def _name(word: tuple[int, ...]) -> str:
+    return "w" + "".join(str(c + 1) for c in word)
+
+
+def _words(found: DataFrame, depth: int, *columns: str) -> DataFrame:
+    """The signature's numbers as columns, named by their words."""
+    return rounded(found.select(*columns, *[F.element_at("signature", j + 1).alias(_name(w)) for j, w in enumerate(signatures.lyndon(8, depth))]), 4)
+
+
+def _words_sql(depth: int, k: str = "") -> str:
+    """Log-signatures to depth 2 or 3 by sums over the points of each path, from ``ll``: ``lg`` (names marked with ``k``)."""
+    words = signatures.lyndon(8, depth)
+    pairs = [(x, y) for x in range(8) for y in range(8)] if depth > 2 else [w for w in words if len(w) == 2]
+    first = ", ".join(f"{c} - first_value({c}) OVER o AS f{x}, coalesce(lead({c}) OVER o - {c}, 0) AS d{x}" for x, c in enumerate(_PATH))
+    parts = [f"sum(f{x} * d{y} + 0.5 * d{x} * d{y}) OVER o - (f{x} * d{y} + 0.5 * d{x} * d{y}) AS q{x}{y}" for x, y in pairs]
+    sums = [f"sum(d{x}) AS t{x}" for x in range(8)] + [f"sum(f{x} * d{y} + 0.5 * d{x} * d{y}) AS t{x}{y}" for x, y in pairs]
+    sums += [f"sum(q{w[0]}{w[1]} * d{w[2]} + 0.5 * f{w[0]} * d{w[1]} * d{w[2]} + d{w[0]} * d{w[1]} * d{w[2]} / 6) AS t{w[0]}{w[1]}{w[2]}" for w in words if len(w) == 3]
+
+    def word(w: tuple[int, ...]) -> str:
+        name = "t" + "".join(map(str, w))
+        if len(w) == 2:
+            return f"{name} - 0.5 * t{w[0]} * t{w[1]}"
+        return name if len(w) == 1 else f"{name} - 0.5 * (t{w[0]} * t{w[1]}{w[2]} + t{w[0]}{w[1]} * t{w[2]}) + t{w[0]} * t{w[1]} * t{w[2]} / 3"
+
+    order = "(PARTITION BY scale, start_idx ORDER BY k)"
+    return f"""li{k} AS (SELECT scale, start_idx, k, {first} FROM ll{k} WINDOW o AS {order}), lq{k} AS (SELECT *, {', '.join(parts)} FROM li{k} WINDOW o AS (PARTITION BY scale, start_idx ORDER BY k ROWS UNBOUNDED PRECEDING)),
+ls{k} AS (SELECT scale, start_idx, {', '.join(sums)} FROM lq{k} GROUP BY scale, start_idx), lg{k} AS (SELECT scale, start_idx, {', '.join(f'round({word(w)}, 4) + 0.0 AS {_name(w)}' for w in words)} FROM ls{k})"""
+
+
+register("logsig_depth2", lambda s, d: rounded(signatures.level_two(signatures.lead_lag(_scaled(s, d))).drop("asset"), 4), f"WITH {WINDOWS}, {_words_sql(2)} SELECT * FROM lg")
+register("logsig_depth3", lambda s, d: _words(signatures.signature_windows(_states(s, d), (L,), 3), 3, "scale", "start_idx"), f"WITH {WINDOWS}, {_words_sql(3)} SELECT * FROM lg")
 
 
 def _depth4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,25 +408,22 @@ def _depth4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("logsig_depth4", _depth4)
-SWEPT = (10, 15, 17, 20, 27, 50)
+#: The lengths that are swept, and the two spans of the split: they may overlap or leave a gap.
+SWEPT, SPANS = (10, 15, 17, 20, 27, 50), ("2024-01-03", "2024-01-18", "2024-01-16")
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of several lengths over all scales, parted by date: how many, and their signatures' first words and checks."""
-    placed = indexed(_events(spark, sf_dir).withColumn("_k", F.concat_ws("|", "asset", "scale")), "_k", ("ts",)).drop("_k")
-    states = kept(signatures.state_channels(placed, theta=SCALES[1].theta, aggression=SCALES[1].aggression))
-    part = F.when(F.col("start_ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "train").otherwise("oos")
-    found = [signatures.windows(states, n).select(F.lit(n).alias("length"), part.alias("part"), "scale", "start_idx", "mean_hurst", "mean_theta_dynamic") for n in SWEPT]
-    by = ["length", "part", "scale"]
-    sums = reduce(DataFrame.unionByName, found).groupBy(*by).agg(F.count("*").alias("n_windows"), F.min("start_idx").alias("first_idx"), F.max("start_idx").alias("last_idx"), F.avg("mean_hurst").alias("mean_hurst"), (F.avg("mean_theta_dynamic") * 1e3).alias("theta_milli"))
-    return rounded(sums, 6)
+    """Signatures of windows of several lengths over all scales, written in files of bounded size, read back and split by their last event's time."""
+    found = signatures.signature_windows(_states(spark, sf_dir), SWEPT, 2)
+    back = write_signatures(found, f"{workdir(spark).rstrip('/')}/tidemill-{uuid.uuid4().hex}")
+    split = joins.split_dates(back.withColumnRenamed("end_ts", "end_timestamp"), *SPANS)
+    return _words(split, 2, "length", "part", "scale", "start_idx", F.col("end_timestamp").alias("end_ts"))
 
 
-register(
-    "signature_sweep",
-    _sweep,
-    f"WITH {DC}, ev AS (SELECT *, row_number() OVER (PARTITION BY scale ORDER BY ts) - 1 AS i FROM dc), "
-    + ", ".join(f"sw{n} AS (SELECT {n} AS length, scale, ts AS start_ts, i AS start_idx, avg(hurst_snapshot) OVER w AS mean_hurst, avg(theta_dynamic) OVER w AS mean_theta, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY scale ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING))" for n in SWEPT)
-    + ", sw AS (" + " UNION ALL ".join(f"SELECT * FROM sw{n} WHERE n = {n}" for n in SWEPT)
-    + ") SELECT CAST(length AS INTEGER) AS length, CASE WHEN start_ts < TIMESTAMP '2024-01-16' THEN 'train' ELSE 'oos' END AS part, scale, count(*) AS n_windows, min(start_idx) AS first_idx, max(start_idx) AS last_idx, round(avg(mean_hurst), 6) AS mean_hurst, round(avg(mean_theta) * 1e3, 6) AS theta_milli FROM sw GROUP BY ALL",
-)
+def _spans_sql(n: int) -> str:
+    own = f"SELECT {n} AS length, '%s' AS part, w.scale, w.start_idx, w.end_ts, g.* EXCLUDE (scale, start_idx) FROM wi{n} w JOIN lg{n} g ON g.scale = w.scale AND g.start_idx = w.start_idx WHERE w.n = {n} AND w.end_ts"
+    train, oos = own % "train", own % "oos"
+    return f"{train} BETWEEN TIMESTAMP '{SPANS[0]}' AND TIMESTAMP '{SPANS[1]}' UNION ALL {oos} >= TIMESTAMP '{SPANS[2]}'"
+
+
+register("signature_sweep", _sweep, f"WITH {STATES}, " + ", ".join(f"{_cut_sql(n, str(n))}, {_words_sql(2, str(n))}" for n in SWEPT) + " " + " UNION ALL ".join(_spans_sql(n) for n in SWEPT))
