@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from tidemill.llm import queries, secrets
 
@@ -95,3 +96,28 @@ def test_redaction_merges_overlapping_spans():
     text = f'a token="{JWT}" b'
     assert secrets.redact(text) == 'a [SECRET]" b'
     assert secrets.redact(None) is None
+
+
+def test_crafted_lines_take_linear_time():
+    size = 20_000
+    for line in ("MIR/////AgEA" + "A" * 52, "MIIBAAIBADAN" + "B" * 52, "MII" + "fAAIBADAN" + "C" * 52, "308201000201003" + "0" * 49):
+        text = "\n".join([line] * size)
+        start = time.time()
+        secrets.spans(text)
+        assert time.time() - start < 6
+
+
+def test_a_key_behind_lines_that_begin_like_keys():
+    body = base64.b64encode(PKCS1).decode()
+    wrapped = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    text = "MIR/////AgEA" + "A" * 52 + "\n" + wrapped + "\nend of it"
+    assert [s[0] for s in secrets.spans(text)] == ["der"]
+    assert text[slice(*secrets.spans(text)[0][1:])] == wrapped
+
+
+def test_registered_query_with_nulls_repeats_clashes_and_an_empty_table(spark, tmp_path):
+    rows = [(1, None, 5, "k"), (None, "token=abcdefgh12", 5, "k"), (2, "", 5, "k"), (2, "token=abcdefgh12", 5, "k"), (2, "token=abcdefgh12", 5, "k")]
+    for name, own in (("some", rows), ("none", [])):
+        spark.createDataFrame(own, "doc_id long, text string, spans int, kind string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = sorted((str(r.doc_id), r.n_assign, r.spans) for r in queries.op2_secret_scan(spark, str(tmp_path / name)).collect())
+        assert got == sorted((str(d), int("token" in (t or "")), "assign:0:16" if t else "") for d, t, _, _ in own)

@@ -9,14 +9,16 @@ Structural kinds, each confirmed by its decoded content:
 * ``jwt``: three base64url parts, the first a JSON object that names an algorithm, the second a JSON object.
 
 Spans are ``kind, start, end`` in code points, the end exclusive, ordered by start and then by kind as listed in
-``KINDS``.  Defined results: a null text counts as empty (no spans); repeated rows give repeated rows; only the key is
-carried, so other columns cannot clash.
+``KINDS``.  Defined results: a null text counts as empty (no spans); null keys stay; repeated rows give repeated rows; very
+long texts take time linear in their length; empty tables give empty frames; only the key is carried, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -48,6 +50,8 @@ DER_HEAD = re.compile(rb"0(?:([\x20-\x7f])|\x81(.)|\x82(..)|\x83(...)|\x84(....)
 SSH_HEAD = b"openssh-key-v1\0"
 #: Digits that tell whether a key begins.
 HEAD = 24
+#: Bytes of the longest key that is looked for over lines without armour; an RSA key of 16,384 bits takes 9,300.
+LONGEST = 1 << 15
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -149,42 +153,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _lines(text: str, at: int, line: re.Pattern) -> Iterator[tuple[int, int]]:
-    """Places of consecutive lines of digits."""
-    while m := line.match(text, at):
-        yield m.span()
-        if not (gap := GAP.match(text, m.end())):
-            return
-        at = gap.end()
+class _Lines:
+    """Runs of consecutive lines of digits, each read once: where lines begin and end, and the digits before each."""
+
+    def __init__(self, text: str, line: re.Pattern) -> None:
+        self.text, self.line, self.runs = text, line, {}
+
+    def run(self, at: int) -> tuple[int, tuple[list[int], list[int], list[int]]] | None:
+        """The place of the line that begins at ``at`` in its run, and the run; none if no digits are there."""
+        if at not in self.runs:
+            starts, ends, digits, here = [], [], [0], at
+            while here not in self.runs and (m := self.line.match(self.text, here)):
+                self.runs[here] = (len(starts), (starts, ends, digits))
+                starts.append(here)
+                ends.append(m.end())
+                digits.append(digits[-1] + m.end() - here)
+                if not (gap := GAP.match(self.text, m.end())):
+                    break
+                here = gap.end()
+        return self.runs.get(at)
 
 
 def wrapped_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    """Keys whose digits run over several lines; the key's own lengths tell where it ends, which must be the end of a line's digits."""
+    """Keys whose digits run over several lines; the key's own lengths tell where it ends, which must be the end of a line's digits.
+
+    A key's size stands in its first bytes, so that no more is decoded than the size asks for, and nothing where it asks for
+    more than the text holds, than its run of lines holds, or than ``LONGEST``.
+    """
     for begin, line, bits in ((WRAPPED64, LINE64, 6), (WRAPPED_HEX, LINE_HEX, 4)):
         decoded = (lambda x: unbase64(x + "A" * (-len(x) % 4))) if bits == 6 else lambda x: bytes.fromhex(x[: len(x) // 2 * 2])
+        lines = _Lines(text, line)
         for m in begin.finditer(text):
-            pieces, ends, total, size = [], [], 0, None
-            for start, end in _lines(text, m.end(), line):
-                pieces.append(text[start:end])
-                total += end - start
-                ends.append((total, end))
-                if size is None and total >= HEAD:
-                    head = decoded("".join(pieces)[:HEAD])
-                    if own := DER_HEAD.match(head):
-                        length = own[own.lastindex]
-                        size = int.from_bytes(length, "big") + 2 + (len(length) if own.lastindex > 1 else 0)
-                    elif not head.startswith(SSH_HEAD):
-                        break
-                    else:
-                        size = 0
-                if size and total * bits >= 8 * size:
-                    break
-            if size is None or len(pieces) < 2:
+            first = line.match(text, m.end())
+            gap = first and GAP.match(text, first.end())
+            found = lines.run(gap.end()) if gap else None  # the lines behind the first are the same for all that begin among them
+            if not first or not found:
+                continue
+            place, (starts, ends, digits) = found
+            held = len(first[0])
+
+            def taken(size: int, first: str = first[0], held: int = held, place: int = place, starts: list = starts, ends: list = ends, digits: list = digits) -> str:
+                last = min(bisect.bisect_left(digits, digits[place] + size - held), len(starts))
+                return first + "".join(text[a:b] for a, b in zip(starts[place:last], ends[place:last], strict=True))
+
+            head = decoded(taken(HEAD)[:HEAD])
+            if own := DER_HEAD.match(head):
+                length = own[own.lastindex]
+                size = int.from_bytes(length, "big") + 2 + (len(length) if own.lastindex > 1 else 0)
+            elif head.startswith(SSH_HEAD):
+                size = ssh_size(decoded(taken(-(-8 * LONGEST // bits)))) or 0
+            else:
+                continue
+            wanted = -(-8 * size // bits)
+            if not 0 < size <= LONGEST or wanted > held + digits[-1] - digits[place]:
+                continue
+            last = bisect.bisect_left(digits, digits[place] + wanted - held)
+            if last <= place or digits[last] - digits[place] + held != wanted:  # within the first line, or not at the end of one
                 continue
-            data = decoded("".join(pieces))
-            size = size or ssh_size(data) or 0
-            end = dict(ends).get(-(-8 * size // bits))
-            if end and end > ends[0][1] and (kind := key_kind(data[:size])):
+            if kind := key_kind(decoded(taken(wanted))[:size]):
+                end = ends[last - 1]
                 yield kind, m.start(), end + (0 if bits == 4 else len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")))
 
 
