@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from tidemill.llm import pii, queries
 
@@ -126,3 +128,36 @@ def test_terms_far_from_the_mention_disclose(spark):
     terms = {(r.entity, r.term): r.kind for r in pii.disclosing(docs, pii._spotted(docs, "doc_id", "text").where("size(spans) > 0")).collect()}
     assert terms["dee@x.io", "ombudsman"] == terms["fay@y.org", "ombudsman"] == "gone"
     assert terms["dee@x.io", "fay"] == "gone" and ("dee@x.io", "dee") not in terms and ("fay@y.org", "fay") not in terms
+
+
+def test_very_long_texts_take_linear_time(spark):
+    words = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(20_000))
+    rows = [(i, f"ann@x.io zoologist {words} {i} zoologist at 10.0.0.{i}") for i in range(4)] + [(10 + i, f"other text {i}") for i in range(60)]
+    docs = spark.createDataFrame([(d, t, "a", 1, None) for d, t in rows], SCHEMA)
+    pii.find(docs.where("doc_id >= 10")).collect()  # start
+    start = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(docs).collect()}
+    assert time.time() - start < 25
+    assert ("gone", 9, 18) in got[0] and len(got[0]) > 20_000  # words that stand with the address alone disclose it, too
+    spans = pii.F.col("spans")
+    many = docs.where("doc_id < 4").select("doc_id", "text", pii._base(pii.F.col("text")).alias("spans"))
+    assert [r.n for r in many.select(pii.F.size(spans).alias("n")).collect()] == [2] * 4
+
+
+def test_masks_of_many_overlapping_spans(spark):
+    rng = random.Random(1)
+    alphabet = "aé😀﻿漢 "
+    rows, expected = [], []
+    for _ in range(30):
+        text = "".join(rng.choice(alphabet) for _ in range(40))
+        own = sorted({(a, min(40, a + rng.randint(1, 9))) for a in (rng.randrange(40) for _ in range(rng.randint(0, 12)))})
+        rows.append((text, [("term", a, b) for a, b in own]))
+        out, at = "", 0
+        for a, b in own:
+            if a >= at:
+                out += text[at:a] + "[TERM]"
+            at = max(at, b)
+        expected.append(out + text[at:])
+    df = spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:bigint,end:bigint>>").repartition(1)
+    got = {r.text: r.out for r in df.select("text", pii.masked(pii.F.col("text"), pii.F.col("spans")).alias("out")).collect()}
+    assert got == dict(zip([t for t, _ in rows], expected, strict=True))

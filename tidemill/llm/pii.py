@@ -21,6 +21,8 @@ column, whatever its name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +79,29 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def located(text: Column, pattern: str, kind: Column) -> Column:
-    """All matches of a pattern as spans: the pieces between matches give their places."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def add(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["piece"]).cast("long")
-        end = start + F.length(item["value"]).cast("long")
-        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), item["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals (or greatest values) of an array: in each round an item joins the one 1, 2, 4 ... places before it."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    before = lambda now, i, k: F.get(now, i - F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(rounds, values, lambda now, k: F.transform(now, lambda x, i: F.coalesce(join(x, before(now, i, k)), x)))
 
+
+def located(text: Column, pattern: str, kind: Column) -> Column:
+    """All matches of a pattern as spans: the pieces between matches give their places, as running totals of lengths."""
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(pieces, values, lambda p, v: F.struct(p.alias("piece"), v.alias("value"))), lambda x: x["value"].isNotNull())
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(pairs, start, add, lambda s: s["spans"])
+    pairs = F.filter(F.zip_with(pieces, values, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull())
+
+    def spans(own: Column) -> Column:
+        ends = _running(F.transform(own, lambda x: (x["gap"] + F.length(x["value"])).cast("long")), lambda a, b: a + b)
+        span = lambda x, end: F.struct(kind.alias("kind"), (end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
+        return F.zip_with(own, ends, span)
+
+    return _let(pairs, spans)
 
 
 def _of_kind(text: Column, kind: str) -> Column:
@@ -206,13 +218,25 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced; of overlapping spans the first stands for all."""
+    """The text with its spans replaced; of overlapping spans the first stands for all.
+
+    The text is cut by places in a coding of four bytes a character, so that a cut costs what it yields.
+    """
     mask = F.create_map(*[F.lit(x) for pair in MASKS.items() for x in pair])
+    first = F.encode(F.lit("|"), "UTF-32")  # before a piece, so that no character of its own is taken for a mark of order
+
+    def cut_out(whole: Column, start: Column, size: Column) -> Column:
+        piece = F.substring(whole, (4 * start + 1).cast("int"), (4 * size).cast("int"))
+        return F.substring(F.decode(F.concat(first, piece), "UTF-32"), F.lit(2), size.cast("int"))
+
+    def joined(own: Column) -> Column:
+        def pieces(reached: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(reached, i - 1), F.lit(0).cast("long"))
+            gap = lambda s, i: cut_out(own["whole"], at(i), s["start"] - at(i))
+            return F.transform(own["spans"], lambda s, i: F.when(s["start"] >= at(i), F.concat(gap(s, i), mask[s["kind"]])).otherwise(F.lit("")))
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        new = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, mask[s["kind"]])).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
+        ends = _running(F.transform(own["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return _let(ends, lambda reached: _let(F.coalesce(F.get(reached, F.size(reached) - 1), F.lit(0).cast("long")), lambda last: F.concat(
+            F.array_join(pieces(reached), ""), cut_out(own["whole"], last, F.length(own["whole"]) / 4 - last))))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    return F.when(F.size(spans) > 0, _let(F.struct(F.encode(text, "UTF-32").alias("whole"), spans.alias("spans")), joined)).otherwise(text)
