@@ -157,6 +157,7 @@ class Plain:
 @pytest.mark.parametrize("seed", [3, 4])
 def test_scores_against_the_model_bit_by_bit(spark, monkeypatch, seed):
     monkeypatch.setattr(mixing, "RANGE", 60)  # several ranges, so that beginnings cross borders
+    monkeypatch.setattr(mixing, "UNIT", 50)
     monkeypatch.setattr(mixing, "BLOCK", 900)
     monkeypatch.setattr(mixing, "KEYS", 40)
     kept = {}
@@ -258,3 +259,17 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     none = mixing.score(docs.where("doc_id = 1"), F.lit(True)).first()
     assert (none.n_tokens, none.n_known, none.train_tokens) == (1, 0, 0) and math.isfinite(none.score)
     assert mixing.score(docs.limit(0), F.lit(False)).collect() == []
+
+
+def test_scores_do_not_depend_on_tasks_and_files(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 60)
+    monkeypatch.setattr(mixing, "UNIT", 40)
+    monkeypatch.setattr(mixing, "KEPT", 50)
+    rows = corpus(120, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    found = []
+    for parts in (1, 2, 7):
+        own = docs.repartition(parts) if parts > 1 else docs.coalesce(1).orderBy(F.desc("doc_id"))
+        found.append(sorted((r.doc_id, r.base_score, r.score) for r in mixing.score(own, held).collect()))
+    assert found[0] == found[1] == found[2]

@@ -33,6 +33,7 @@ are not carried; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import heapq
 import random
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -48,6 +49,10 @@ from tidemill.llm.cut import cut, drop
 
 #: Bytes of a block's texts, words of a range, passage keys of a range, and the share of words that end a passage.
 BLOCK, RANGE, KEYS, CUTS = 3_000_000, 250_000, 500_000, 8
+#: Learned numbers are averaged as integers of this many parts of one.
+PARTS_OF_ONE = 1 << 24
+#: Words of a unit of learning, and words whose quantiles are the units' borders.
+UNIT, KEPT = 250_000, 16_384
 #: Hashed orders and the bits of their slots; bytes of words that are handled together.
 ORDERS, SLOTS, TOGETHER = 3, 20, 40_000
 #: Blocks whose dictionaries place the borders of ranges, and words that each gives, at most.
@@ -633,14 +638,60 @@ def _counted(ranges: DataFrame) -> np.ndarray:
     return _summed(ranges, ORDERS << (SLOTS + 1), each).reshape(ORDERS, 1 << SLOTS, 2)
 
 
+def _units(ranges: DataFrame) -> DataFrame:
+    """``range, words, n``: the words of the ranges, dealt anew by borders that follow from the distinct words alone.
+
+    Ranges depend on how texts fell into blocks. Borders of units are quantiles of the ``KEPT`` words of lowest hash.
+    """
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: list[tuple[int, bytes]] = []
+        kinds = 0
+        for batch in batches:
+            for row in _rows(batch):
+                own = _unpacked_text(row["words"])
+                kinds += len(own)
+                low = heapq.nsmallest(KEPT, [*low, *((xxhash.xxh64_intdigest(w) >> 1, w) for w in own)])
+        columns = [[*(h for h, _ in low), None], [*(w for _, w in low), None], [*[0] * len(low), kinds]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)], ["hash", "word", "kinds"])
+
+    some = cut(ranges.select("words").mapInArrow(sampled, "hash long, word binary, kinds long"))
+    kinds = some.agg(F.sum("kinds")).first()[0] or 0
+    parts = max(1, -(-kinds // UNIT))
+    words = sorted(bytes(r.word) + b" " for r in some.where("word is not null").orderBy("hash", "word").limit(KEPT).collect())
+    borders = sorted({words[i * len(words) // parts] for i in range(1, parts)})
+    drop(some)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                own, n = _unpacked_text(row["words"]), unpacked(row["n"], np.int64)
+                cuts = [0, *(bisect.bisect_left(own, b, key=lambda w: w + b" ") for b in borders), len(own)]
+                kept = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+                columns = [kept, [row["range"]] * len(kept), [_packed_text(own[cuts[i] : cuts[i + 1]]) for i in kept], [packed(n[cuts[i] : cuts[i + 1]]) for i in kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["unit", "range", "words", "n"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in _grouped(batches):
+            words, n = [w for r in rows for w in _unpacked_text(r["words"])], np.concatenate([unpacked(r["n"], np.int64) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([_packed_text(words)]), pa.array([packed(n)])], ["range", "words", "n"])
+
+    slices = ranges.select("range", "words", "n").mapInArrow(split, "unit long, range long, words binary, n binary")
+    return slices.repartition(len(borders) + 1, "unit").sortWithinPartitions("unit", "range").mapInArrow(joined, "range long, words binary, n binary")
+
+
 def fit_bytes(ranges: DataFrame) -> Bytes:
-    """The model of bytes: counts, then one online pass over all training words in tasks, averaged by their tokens."""
+    """The model of bytes: counts, then one online pass over the training words of each unit, averaged by their tokens.
+
+    Units follow from the words alone, and the average is a sum of integers, so that neither files nor tasks nor their order count.
+    """
     counts = _counted(ranges)
+    units = cut(_with_wide(_units(ranges)))
     shared = ranges.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Bytes.new(shared.value), 0.0
         for tokens, n, wide in _ranges(batches):
+            own = Bytes.new(shared.value)
             beginnings = counted_beginnings(tokens, n, wide)
             places = np.concatenate([[0], np.cumsum([len(t) - 1 for t in tokens])])
             learned = np.random.default_rng(0).permutation(np.flatnonzero(n > 0))
@@ -648,14 +699,15 @@ def fit_bytes(ranges: DataFrame) -> Bytes:
                 some = np.sort(learned[i : i + 2_000])
                 bytes_ = np.concatenate([np.arange(places[k], places[k + 1]) for k in some])
                 own.learn([tokens[k] for k in some], n[some], beginnings[:, :, bytes_])
-            seen += float(n.sum())
-        both = np.concatenate([own.mixer.weights.ravel(), own.mixer.refined.ravel()]).astype(float) * seen
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([both], pa.list_(pa.float64()))], ["seen", "x"])
+            both = np.concatenate([own.mixer.weights.ravel(), own.mixer.refined.ravel()]).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([np.rint(both * PARTS_OF_ONE).astype(np.int64)], pa.list_(pa.int64()))], ["seen", "x"])
 
     model = Bytes.new(counts)
     size, refined = model.mixer.weights.size, model.mixer.refined.size
-    flat = ranges.mapInArrow(run, "seen double, x array<double>").where("seen > 0")
-    mean = flat.select("seen", F.posexplode("x").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("seen")).alias("x")).orderBy("i").toArrow()
+    flat = units.mapInArrow(run, "seen long, x array<long>").where("seen > 0")
+    weighed = F.sum(F.col("x").cast("decimal(18,0)") * F.col("seen").cast("decimal(18,0)"))
+    mean = flat.select("seen", F.posexplode("x").alias("i", "x")).groupBy("i").agg((weighed.cast("double") / F.sum("seen") / PARTS_OF_ONE).alias("x")).orderBy("i").toArrow()
+    drop(units)
     if mean.num_rows == size + refined:
         x = mean.column("x").to_numpy().astype(np.float32)
         model.mixer.weights, model.mixer.refined = x[:size].reshape(model.mixer.weights.shape), x[size:].reshape(model.mixer.refined.shape)
