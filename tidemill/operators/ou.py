@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.guards import ln, ratio
-from tidemill.operators.order import carried
+from tidemill.operators.order import blocked, carried, indexed, over, unblocked
 from tidemill.operators.regime import transitions
 
 LN2 = 0.6931471805599453
@@ -27,7 +27,7 @@ def segments(bars: DataFrame, window: int = 48) -> DataFrame:
     """The first ``window`` bars of each run that follows a transition: asset, run, source, dest, k (place in it) and close."""
     rows = runs(bars)
     heads = rows.where("is_transition").select("asset", "run", F.col("previous").alias("source"), F.col("regime").alias("dest"))
-    own = rows.select("asset", "run", "i", "close", (F.col("i") - F.col("run")).alias("k")).where(F.col("k") < window)
+    own = rows.select("asset", "run", "i", "ts", "close", (F.col("i") - F.col("run")).alias("k")).where(F.col("k") < window)
     return own.join(heads, ["asset", "run"])
 
 
@@ -43,12 +43,16 @@ def segment_speeds(bars: DataFrame, window: int = 48) -> DataFrame:
 
 
 def pooled_speed(bars: DataFrame, window: int, least_prices: int, least_returns: int) -> DataFrame:
-    """Per transition: the AR(1) slope of all its segments' log returns, one after the other."""
+    """Per transition: the AR(1) slope of all its segments' log returns, one after the other.
+
+    A transition's returns are placed by running totals, then each is paired with the one before it inside blocks of places.
+    """
     parts = segments(bars, window)
     by_run = Window.partitionBy("asset", "run")
     rows = parts.withColumn("_r", ln(F.col("close") / F.lag("close").over(by_run.orderBy("k")))).withColumn("_n", F.count("*").over(by_run))
     returns = rows.where((F.col("_n") >= least_prices) & F.col("_r").isNotNull())
-    pairs = returns.withColumn("_x", F.lag("_r").over(Window.partitionBy("asset", "source", "dest").orderBy("run", "k")))
+    placed = indexed(returns.withColumn("_pool", F.concat_ws("|", "asset", "source", "dest")), "_pool", ("ts",), "_place")
+    pairs = unblocked(blocked(placed, back=1, i="_place").withColumn("_x", F.lag("_r").over(over("_pool", "_place"))))
     found = pairs.groupBy("asset", "source", "dest").agg(F.count("*").alias("n_returns"), F.regr_slope("_r", "_x").alias("slope"))
     good = (F.col("n_returns") >= least_returns) & (F.col("slope") > 0) & (F.col("slope") < 1)
     return found.withColumn("theta", F.when(good, -ln(F.col("slope"))))

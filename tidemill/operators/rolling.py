@@ -92,9 +92,10 @@ def rolling_ou(bars: DataFrame, window: int = 30) -> DataFrame:
     return unblocked(rows).drop("_x", "_y", "_a", "_b", "_syy", "_sxy", "_level")
 
 
-def power_law(alpha: float, delta: float, n: int) -> Column:
+def power_law(alpha: float | Column, delta: float | Column, n: int) -> Column:
     """Weights (i + delta)^-alpha of lags 1..n, normalised; even ones where their sum is not finite."""
-    raw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pow(i + F.lit(float(delta)), F.lit(-float(alpha))))
+    a, d = (x if isinstance(x, Column) else F.lit(float(x)) for x in (alpha, delta))
+    raw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pow(i + d, -a))
     total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
     good = (total > 0) & (total < float("inf"))
     return F.transform(raw, lambda x: F.when(good, x / total).otherwise(F.lit(1.0 / n)))
@@ -107,19 +108,26 @@ def weights(alpha: float, delta: float, n: int) -> list[float]:
     return [x / total for x in raw] if 0 < total < float("inf") else [1.0 / n] * n
 
 
-def kernel_features(bars: DataFrame, a1: float, d1: float, a2: float, d2: float, n: int = 50, value: str = "return") -> DataFrame:
-    """r1 and r2: power-law sums of the last n returns and squared returns, the present bar left out; short starts count as 0."""
-    rows = blocked(bars, n)
+def lagged(bars: DataFrame, n: int = 50, value: str = "return") -> DataFrame:
+    """``past``: the last n values before each bar, the newest first; missing ones count as 0, short starts are short."""
     past = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(frame(-n, -1))
-    rows = rows.withColumn("_past", F.reverse(past))
+    return unblocked(blocked(bars, n).withColumn("past", F.reverse(past)))
+
+
+def kernel_sums(w1: Column, w2: Column, past: str = "past") -> tuple[Column, Column]:
+    """r1 and r2 of each row: sums of its past and of its squares by weights, which may be other ones in each row."""
 
-    def total(own: list[float], square: bool) -> Column:
-        k = F.array(*[F.lit(x) for x in own])
-        parts = F.zip_with("_past", k, lambda r, w: F.coalesce((r * r if square else r) * w, F.lit(0.0)))
+    def total(own: Column, square: bool) -> Column:
+        parts = F.zip_with(past, own, lambda r, w: F.coalesce((r * r if square else r) * w, F.lit(0.0)))
         return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
-    rows = rows.withColumn("r1", total(weights(a1, d1, n), False)).withColumn("r2", F.greatest(total(weights(a2, d2, n), True), F.lit(0.0)))
-    return unblocked(rows).drop("_past")
+    return total(w1, False), F.greatest(total(w2, True), F.lit(0.0))
+
+
+def kernel_features(bars: DataFrame, a1: float, d1: float, a2: float, d2: float, n: int = 50, value: str = "return") -> DataFrame:
+    """r1 and r2: power-law sums of the last n returns and squared returns, the present bar left out; short starts count as 0."""
+    r1, r2 = kernel_sums(*(F.array(*[F.lit(x) for x in weights(a, d, n)]) for a, d in ((a1, d1), (a2, d2))))
+    return lagged(bars, n, value).withColumn("r1", r1).withColumn("r2", r2).drop("past")
 
 
 def all_of(*columns: Column) -> Column:

@@ -19,5 +19,5 @@ def register(name: str, build: Callable[[SparkSession, str], DataFrame], sql: st
         ORACLE_SQL[name] = sql
 
 
-for module in ("bar_queries", "strategy_queries", "run_queries"):
+for module in ("bar_queries", "strategy_queries", "run_queries", "kernel_queries"):
     importlib.import_module(f"tidemill.plans.{module}")

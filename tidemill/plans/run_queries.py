@@ -49,10 +49,10 @@ hold AS (SELECT x.ts, x.close, round(greatest(o.b0 + o.b1 * kern.r1 + o.b2 * sqr
 )
 
 
-def _run_sql(parts: list[str], named: dict[str, tuple[str, float | None, bool]], cooldown: int) -> str:
+def _run_sql(parts: list[str], named: dict[str, tuple[str, float | None, bool]], cooldown: int, base: str = BASE) -> str:
     """Metrics by configuration; ``named``: name to (signals, z exit, rolling spreads)."""
     own = [f"{q._cand_sql(f'_{k}', z, edge, signals, K1)}, {q._trades_sql(f'_{k}').replace('>= 24', f'>= {cooldown}')}" for k, (signals, z, edge) in enumerate(named.values())]
-    return "WITH RECURSIVE " + ", ".join([BASE, *parts, *own]) + " " + " UNION ALL ".join(f"(SELECT '{name}' AS config, {q._metrics_sql(f'_{k}')})" for k, name in enumerate(named))
+    return "WITH RECURSIVE " + ", ".join([base, *parts, *own]) + " " + " UNION ALL ".join(f"(SELECT '{name}' AS config, {q._metrics_sql(f'_{k}')})" for k, name in enumerate(named))
 
 
 # ---- the same steps in Spark -----------------------------------------------------------------------------------------

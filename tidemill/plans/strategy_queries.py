@@ -103,8 +103,8 @@ register(
     lambda s, d: joins.split_dates(b.bars_5m(s, d), "2024-01-03", "2024-01-10", "2024-01-09").groupBy("part").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first"), F.max("ts").alias("last")),
     f"WITH {b.B0} SELECT 'train' AS part, count(*) AS n_rows, min(ts) AS first, max(ts) AS last FROM b0 WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10' UNION ALL SELECT 'oos', count(*), min(ts), max(ts) FROM b0 WHERE ts >= TIMESTAMP '2024-01-09'",
 )
-register("pdv_walk_forward", lambda s, d: rounded(folds.walk_forward(b.rich(s, d), h=H, n=N, train=TRAIN, test=TEST, least=(450, 100), rounds=8), 9))
-register("sensitivity_grid", lambda s, d: rounded(folds.sensitivity(b.rich(s, d), (6, 24), (25,), (24, N), train=TRAIN, test="5 days", least=(450, 100), rounds=4)))
+register("pdv_walk_forward", lambda s, d: rounded(folds.walk_forward(b.rich(s, d), h=H, n=N, train=TRAIN, test=TEST, least=(450, 100)), 9))
+register("sensitivity_grid", lambda s, d: rounded(folds.sensitivity(kept(b.rich(s, d)), (6, 12, 24), (25, 50, 100), (24, N), train=TRAIN, test="5 days", least=(450, 100))))
 
 # ---- priors ----------------------------------------------------------------------------------------------------------
 
@@ -185,14 +185,13 @@ plain("edge_spread_filled", lambda s, d: _filled(s, d).withColumn("spread_bps",
 
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = bars.resample(ticks(spark, sf_dir), "1 minute").select("asset", "ts", "close")
-    sparse = b.rolled(spark, sf_dir).select("asset", "ts", F.when(F.col("i") % 7 == 3, F.col("z_score")).alias("z"))
-    return joins.as_of(minutes, sparse, "z", default=-9.0)
+    return joins.as_of(minutes, b.rolled(spark, sf_dir).select("asset", "ts", F.col("z_score").alias("z")), "z", default=-9.0)
 
 
 M1 = "m0 AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close FROM ticks GROUP BY 1), m1 AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS m FROM m0)"
 plain(
     "asof_join", _asof, "ts ~close ~z",
-    b.ROLLED + f", {M1}, sparse AS (SELECT ts, z_score AS z FROM rolled WHERE i % 7 = 3 AND z_score IS NOT NULL), aj AS (SELECT m1.ts, close, coalesce(z, -9.0) AS z FROM m1 ASOF LEFT JOIN sparse ON m1.ts >= sparse.ts)", "aj",
+    b.ROLLED + f", {M1}, zs AS (SELECT ts, z_score AS z FROM rolled WHERE z_score IS NOT NULL), aj AS (SELECT m1.ts, close, coalesce(z, -9.0) AS z FROM m1 ASOF LEFT JOIN zs ON m1.ts >= zs.ts)", "aj",
 )
 
 # ---- events ----------------------------------------------------------------------------------------------------------
