@@ -1,9 +1,10 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 
-from tidemill.llm import langid
+from tidemill.llm import langid, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, score int"
 SYLLABLES = {"aa": ["la", "de", "ci", "ón", "os"], "bb": ["th", "er", "ing", "ou", "an"], "cc": ["sch", "ein", "ung", "ä", "ge"]}
@@ -72,3 +73,17 @@ def test_long_words_and_long_texts_count_whole():
     model = langid.train([f"{licence} {text(lang, 900)}" for lang in ("aa", "bb") for _ in range(8)], ["aa"] * 8 + ["bb"] * 8)
     found = [[text("aa", 40).split(), text("bb", 40).split(), [word("aa", 20) + word("bb", 200)], [word("bb", 20) + word("aa", 200)]]]
     assert model.languages(found[0])[0] == ["aa", "bb", "bb", "aa"]
+
+
+def test_registered_query_learns_from_the_rest_only(spark, tmp_path):
+    rows = corpus(160, 4) + [(900, None, "aa", "s", 1), (None, "la de ci", "aa", "s", 1), (901, "12", None, "s", 1)]
+    held = {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows}
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(path)
+    got = {r.doc_id: r for r in queries.op6_language_crf(spark, str(tmp_path)).collect()}
+    assert {d: r.held_out for d, r in got.items()} == held
+    model = langid.fit(spark.createDataFrame([r for r in rows if not held[r[0]]], SCHEMA))
+    for doc, text, *_ in rows:
+        assert (got[doc].lang_pred, got[doc].score) == model.label([text])[0][:2]
+    spark.createDataFrame([(*r[:2], "cc" if held[r[0]] else r[2], *r[3:]) for r in rows], SCHEMA).write.mode("overwrite").parquet(path)
+    assert {d: r.score for d, r in got.items()} == {r.doc_id: r.score for r in queries.op6_language_crf(spark, str(tmp_path)).collect()}

@@ -57,3 +57,58 @@ def test_nulls_long_texts_repeated_rows_and_empty_tables(spark):
         got = toxicity.predict(docs, chain).collect()
         assert len(got) == 5 and all(r.p_toxic < 1e-6 for r in got)
     assert toxicity.predict(docs.limit(0), chain).collect() == []
+
+
+def plain_fit(x, dense, y):
+    """The stated steps over a dense table."""
+    every = np.column_stack([x, dense, np.ones(len(y))])
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    w, speed = np.zeros(every.shape[1]), np.full(every.shape[1], 1e-8)
+    w[-1] = np.log(rate / (1 - rate))
+    for _ in range(150):
+        slope = every.T @ ((1 / (1 + np.exp(-every @ w)) - y) / len(y))
+        slope[:-1] += 2e-4 * w[:-1] / max(1, x.shape[1]) ** 0.5
+        speed += slope**2
+        w -= 0.5 * slope / np.sqrt(speed)
+    return w
+
+
+def plain_chain(texts, labels, asked):
+    """Out-of-fold chains by definition: probabilities of the categories for ``asked``."""
+    own = [set(toxicity.text_features(t).tolist()) for t in texts]
+    names = sorted({h for s in own for h in s})
+    table = np.array([[h in s for h in names] for s in own], float)
+    other = np.array([[h in set(toxicity.text_features(t).tolist()) for h in names] for t in asked], float)
+    earlier, later = np.empty((len(texts), 0)), np.empty((len(asked), 0))
+    for y in labels:
+        held = np.zeros(len(texts))
+        for part in [*range(toxicity.FOLDS), -1]:
+            use = np.arange(len(texts)) % toxicity.FOLDS != part
+            a, b = table[use & (y == 1)].sum(axis=0), table[use & (y == 0)].sum(axis=0)
+            odds = np.log((a + 0.5) / (max(1, (y[use] == 1).sum()) + 1)) - np.log((b + 0.5) / (max(1, (y[use] == 0).sum()) + 1))
+            score = np.where(a + b < 3, 0, np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+            best = sorted(np.flatnonzero(score > 2.5), key=lambda k: (-score[k], k))[: toxicity.FEATURES]
+            w = plain_fit(table[use][:, best], earlier[use], y[use])
+            chance = lambda x, e, w=w, best=best: 1 / (1 + np.exp(-(np.column_stack([x[:, best], e, np.ones(len(x))]) @ w)))
+            if part >= 0:
+                held[~use] = chance(table, earlier)[~use]
+        later = np.column_stack([later, chance(other, later)])
+        earlier = np.column_stack([earlier, held])
+    return later
+
+
+def test_chain_against_its_definition(spark):
+    rng = random.Random(3)
+    words = {"bad": ["vile", "scum", "filthy"], "poor": ["lorem", "ipsum", "click"], "plain": ["river", "table", "green", "seven", "lamp", "stone"]}
+    rows = []
+    for i in range(120):
+        bad, poor = rng.random() < 0.4, rng.random() < 0.4
+        text = " ".join(rng.choice(words["bad"] if bad and rng.random() < 0.4 else words["poor"] if poor and rng.random() < 0.4 else words["plain"]) for _ in range(12))
+        rows.append((i, text, int(not poor), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, labels, toxicity.production_categories())
+    y = [np.array([1.0 - q for _, _, q, _ in rows]), np.array([float(t) for *_, t in rows]), np.array([float(t and not q) for _, _, q, t in rows])]
+    asked = [t for _, t, _, _ in rows[:20]] + ["vile river", "", "lorem click stone"]
+    expected = plain_chain([t for _, t, _, _ in rows], y, asked)
+    assert np.allclose([chain.predict(t) for t in asked], expected, atol=1e-5)
