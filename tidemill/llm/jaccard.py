@@ -472,7 +472,8 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
 def keep_first(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without those whose own text is linked, straight or through others, to a row before it by (key, hash of the text).
 
-    A key that repeats with other texts counts as other documents. Of equal rows one stays; rows without words or key stay.
+    A key that repeats with other texts counts as other documents. Of rows equal in key and text the least by all columns stays;
+    rows without words or key stay.
     """
     rows, own = _rows(docs, key, text).where("doc_id is not null"), ["_" * max(map(len, docs.columns)) + name for name in ("key", "hash")]
     base = cut(_base(rows.withColumn("hash", F.xxhash64("text")), rule, hashed=True))
@@ -484,5 +485,6 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text:
     repeated = placed.where("first and copies > 1").select(*own)
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(repeated, own, "left_semi").dropDuplicates(own)
-    return kept.join(repeated, own, "left_anti").unionByName(once).select(*docs.columns)
+    ordered = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]  # maps have no order
+    once = kept.join(repeated, own, "left_semi").groupBy(*own).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias(own[0] + "_")).select(f"{own[0]}_.*")
+    return kept.join(repeated, own, "left_anti").select(*docs.columns).unionByName(once)
