@@ -8,7 +8,7 @@ from tidemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["bars_5m", "gap_flags", "bar_features", "kernel_r1_r2", "signals", "hurst_kn", "rolling_ou", "validate_ohlc", "expanding_median", "bt_config_matrix", "ou_priors_batch", "lead_lag", "logsig_depth2", "run_full_strategy"]
+CHECKED = ["bars_5m", "gap_flags", "bar_features", "kernel_r1_r2", "signals", "hurst_kn", "rolling_ou", "validate_ohlc", "expanding_median", "bt_config_matrix", "ou_priors_batch", "lead_lag", "logsig_depth2", "logsig_depth3", "signature_sweep", "kernel_fit_staged", "ou_pooled_speed", "bt_trades", "dc_events", "run_full_strategy", "run_fitted_strategy"]
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,13 @@ def test_the_library_stands_without_the_corpus_package():
     for path in (pathlib.Path(entry.__file__).parent / "tidemill").rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text().replace("(and, in ``llm``, for text corpora)", "")
+
+
+def test_the_archive_for_workers_can_be_imported(tmp_path):
+    import subprocess
+
+    from tidemill.session import archive
+
+    code = f"import sys; sys.path.insert(0, {archive(str(tmp_path))!r}); import tidemill.operators.running as r; print(r.__file__)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
+    assert "tidemill.zip" in done.stdout, done.stderr

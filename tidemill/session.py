@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Applications that have the archive.
+_SENT: set[str] = set()
 
 
 def build(master: str = "local[*]", app: str = "tidemill", **conf: str) -> SparkSession:
@@ -25,12 +29,26 @@ def build(master: str = "local[*]", app: str = "tidemill", **conf: str) -> Spark
     return ship(builder.getOrCreate())
 
 
+def archive(folder: str) -> str:
+    """This package as a zip file in ``folder``, for workers on other machines."""
+    path = Path(folder) / "tidemill.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(Path(ROOT, "tidemill").rglob("*.py")):
+            out.write(file, file.relative_to(ROOT))
+    return str(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, also where the session was started without it on its path."""
-    env = spark.sparkContext.environment
+    """Let Python workers import this package: by the path that they share with the driver, or on a cluster from an archive that Spark sends them."""
+    context = spark.sparkContext
+    env = context.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if not context.master.startswith("local") and context.applicationId not in _SENT:
+        with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark copies the file
+            context.addPyFile(archive(folder))
+        _SENT.add(context.applicationId)
     return spark
 
 
