@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemill import scratch
 from tidemill.operators import backtest, events, order, running, signatures
 
 T0 = dt.datetime(2024, 1, 1)
@@ -111,3 +112,17 @@ def test_windows_of_all_lengths_over_blocks(spark):
         assert r.end_idx == r.start_idx + r.length - 1 and r.end_ts == T0 + dt.timedelta(minutes=r.end_idx)
         x = np.array([row[4:] for row in rows if row[1] == r.scale][r.start_idx : r.end_idx + 1])
         assert np.allclose(r.signature, signatures.window_log_signatures(x, (r.length,), 2)[r.length][0])
+
+
+def test_prepared_tables_meet_without_an_exchange(spark):
+    rows = [(a, T0 + dt.timedelta(minutes=i), float(i)) for a in ("A", "B", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, v double")
+    one, two = scratch.prepared(df), scratch.prepared(df.withColumnRenamed("v", "w").where("w < 30"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = one.join(two, ["asset", "ts"])
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sorted((r.asset, r.v, r.w) for r in both.collect()) == sorted((a, v, v) for a, _, v in rows if a and v < 30)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

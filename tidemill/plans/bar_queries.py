@@ -13,6 +13,7 @@ from tidemill.functions.guards import rounded
 from tidemill.operators import backtest, bars, events, folds, joins, ou, regime, regression, rolling, running, signatures, spread
 from tidemill.operators.order import indexed
 from tidemill.plans.catalog import register
+from tidemill.scratch import prepared
 from tidemill.sources.ticks import ticks
 
 H, DAYS, LEAST, N = 24, 5, 100, 50
@@ -178,6 +179,16 @@ kern AS (SELECT b.ts, coalesce(sum(p."return" * w1), 0) AS r1, coalesce(sum(p."r
 _kernel = lambda s, d: rolling.kernel_features(rich(s, d), *KERNEL, n=N).withColumn("r2_ppm", F.col("r2") * 1e6)
 plain("kernel_r1_r2", _kernel, "ts ~r1 ~r2_ppm", _KERNEL, "kern", r1=9, r2_ppm=5)
 
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatilities and kernel sums of each bar, from two prepared tables that meet without an exchange."""
+    own = prepared(rolled(spark, sf_dir).select("asset", "ts", "rv_trail", "z_score"))
+    return own.join(prepared(_kernel(spark, sf_dir).select("asset", "ts", "r1", "r2_ppm")), ["asset", "ts"])
+
+
+plain("prepared_join", _prepared, "ts ~rv_trail ~z_score ~r1 ~r2_ppm", _KERNEL + ", " + ROLLED.removeprefix(BARS + ", ") + ", pj AS (SELECT ts, rv_trail, z_score, r1, r2_ppm FROM rolled JOIN kern USING (ts))", "pj", rv_trail=9, r1=9, r2_ppm=5)
+
 plain("regime_gate_median", gated, "ts ~sigma_hat ~regime_threshold regime", GATED, "gated", 12)
 plain("regime_gate_tercile", lambda s, d: gated(s, d, 0.3333), "ts ~regime_threshold regime", _gated(0.3333), "gated", 12)
 plain("regime_transitions", lambda s, d: since(s, d).where("is_transition"), "ts i previous regime", MOVED, "moved WHERE is_transition")

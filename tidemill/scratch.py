@@ -29,6 +29,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepared(df: DataFrame, keys: tuple[str, ...] = ("asset", "ts"), buckets: int | None = None) -> DataFrame:
+    """``df``, written once as a table in buckets by its keys and sorted by them: joins of such tables on the keys move no row.
+
+    Buckets by all keys are even, also where one series holds most of the rows. Tables meet without an exchange if they have
+    equally many buckets (the shuffle partitions of the session, unless given).
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tidemill_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)  # so that a bucket is one file
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{workdir(spark).rstrip('/')}/tidemill-{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a frame that ``kept`` returned and nothing reads any more."""
     spark = df.sparkSession
