@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
-Each stage works on all documents that its predecessor kept; all but the last return the columns of ``documents``.
+Each stage works on all documents that its predecessor kept; all but the last return the columns of ``documents``.  Decisions
+are taken row by row and on whole texts: null keys and very long texts are rows like others, repeated rows are decided alike,
+columns beyond those of ``documents`` are carried along, and empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ END = 0xFFFF
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labels, doesn't find toxic."""
+    """Documents that the classifier chain, fitted on the labels, doesn't find toxic; a null or empty text has the base rate and stays."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.production_categories())
     return toxicity.keep_clean(docs, chain)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the random field can tell."""
+    """Documents whose language the random field can tell; a text without letters, null and empty ones too, goes."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -36,12 +38,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked and terms that give it away generalised or removed."""
+    """All documents, personal data masked and terms that give it away generalised or removed; null texts stay null, empty ones empty."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, encoded, in training sequences: a row for each with its ids and where they come from."""
+    """All documents, encoded, in training sequences: a row for each with its ids and where they come from; a null text counts as empty."""
     encoded = cut(bpe.encode(docs, queries.rank_file, public_tokenizers.PATTERN))
     return packing.pack(encoded, F.col("ids"), end=END)
 
