@@ -69,35 +69,35 @@ signals AS (SELECT *, CASE WHEN signal <> 0 THEN close - signal * delta_p END AS
 # ---- the same steps in Spark -----------------------------------------------------------------------------------------
 
 
-def bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-minute bars of the walk."""
-    return bars.resample(ticks(spark, sf_dir))
+def bars_5m(spark: SparkSession, sf_dir: str, assets: bool = False) -> DataFrame:
+    """Five-minute bars of the walk; with ``assets``, of one walk for each type of event."""
+    return bars.resample(ticks(spark, sf_dir, assets=assets))
 
 
-def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rich(spark: SparkSession, sf_dir: str, assets: bool = False) -> DataFrame:
     """Bars with positions, gaps, returns and variance."""
-    return bars.enriched(bars_5m(spark, sf_dir))
+    return bars.enriched(bars_5m(spark, sf_dir, assets))
 
 
-def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rolled(spark: SparkSession, sf_dir: str, assets: bool = False) -> DataFrame:
     """Bars with volatilities and z-score."""
-    return rolling.with_rolling(rich(spark, sf_dir), 30, H, **rolling.realized(H), z_score=rolling.zscore(30))
+    return rolling.with_rolling(rich(spark, sf_dir, assets), 30, H, **rolling.realized(H), z_score=rolling.zscore(30))
 
 
-def gated(spark: SparkSession, sf_dir: str, share: float = 0.5) -> DataFrame:
+def gated(spark: SparkSession, sf_dir: str, share: float = 0.5, assets: bool = False) -> DataFrame:
     """Bars with the regime of trailing volatility."""
     sigma = F.when(F.col("rv_trail").isNotNull(), F.round(F.greatest("rv_trail", F.lit(regime.SIGMA_FLOOR)), 9))
-    return regime.gate(rolled(spark, sf_dir).withColumn("sigma_hat", sigma), days=DAYS, least=LEAST, share=share)
+    return regime.gate(rolled(spark, sf_dir, assets).withColumn("sigma_hat", sigma), days=DAYS, least=LEAST, share=share)
 
 
-def since(spark: SparkSession, sf_dir: str) -> DataFrame:
+def since(spark: SparkSession, sf_dir: str, assets: bool = False) -> DataFrame:
     """Bars with transitions and the bars since the last."""
-    return regime.since_transition(regime.transitions(gated(spark, sf_dir)))
+    return regime.since_transition(regime.transitions(gated(spark, sf_dir, assets=assets)))
 
 
-def signalled(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+def signalled(spark: SparkSession, sf_dir: str, assets: bool = False, **options) -> DataFrame:
     """Bars with signals."""
-    return regime.signals(since(spark, sf_dir).withColumn("z_score", F.round("z_score", 6)), z_threshold=1.5, h=H, **options)
+    return regime.signals(since(spark, sf_dir, assets).withColumn("z_score", F.round("z_score", 6)), z_threshold=1.5, h=H, **options)
 
 
 def _chosen(df: DataFrame, *columns: str, digits: int = 6, **own: int) -> DataFrame:
@@ -229,3 +229,26 @@ o1 AS (SELECT *, count(x) OVER {_frame('29 PRECEDING')} AS n, regr_slope(y, x) O
 o2 AS (SELECT ts, CASE WHEN n >= 30 AND isfinite(b) AND b > 0 AND b < 0.999 THEN -ln(b) END AS ou_theta FROM o1), o3 AS (SELECT ts, ou_theta, 0.6931471805599453 / nullif(ou_theta, 0) AS ou_half_life FROM o2)"""
 )
 plain("rolling_ou", lambda s, d: rolling.rolling_ou(rich(s, d)), "ts ~ou_theta ~ou_half_life", _OU, "o3", 4)
+
+# ---- several series side by side -------------------------------------------------------------------------------------
+
+
+def _by_asset(sql: str) -> str:
+    """The SQL of one series as that of one a type of event: all windows and groups by series as well."""
+    for one, many in (
+        ("OVER (ORDER BY", "OVER (PARTITION BY asset ORDER BY"), ("ticks AS (SELECT ts,", "ticks AS (SELECT event_type AS asset, ts,"), ("b0 AS (SELECT time_bucket", "b0 AS (SELECT asset, time_bucket"),
+        ("FROM ticks GROUP BY 1)", "FROM ticks GROUP BY 1, 2)"), ("bars AS (SELECT ts,", "bars AS (SELECT asset, ts,"), ("em AS (SELECT ts,", "em AS (SELECT asset, ts,"),
+        ("o0 AS (SELECT ts,", "o0 AS (SELECT asset, ts,"), ("o2 AS (SELECT ts,", "o2 AS (SELECT asset, ts,"), ("o3 AS (SELECT ts,", "o3 AS (SELECT asset, ts,"),
+        ("metrics AS (SELECT ts,", "metrics AS (SELECT asset, ts,"),
+    ):
+        sql = sql.replace(one, many)
+    return sql
+
+
+_EM = GATED + ", em AS (SELECT ts, quantile_cont(sigma_hat, 0.5) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS median_so_far FROM gated)"
+plain("bar_features_by_asset", lambda s, d: rolled(s, d, True), "asset ts i ~open ~close ~return is_gap ~rv_trail ~rv_fwd ~z_score", _by_asset(ROLLED), "rolled", **{"return": 9, "rv_trail": 9, "rv_fwd": 9})
+plain("signals_by_asset", lambda s, d: signalled(s, d, True), "asset " + _SIG, _by_asset(SIGNALS), "signals")
+plain("regime_transitions_by_asset", lambda s, d: since(s, d, True).where("is_transition"), "asset ts i previous regime", _by_asset(MOVED), "moved WHERE is_transition")
+plain("expanding_median_by_asset", lambda s, d: running.expanding_median(gated(s, d, assets=True), "sigma_hat", "median_so_far"), "asset ts ~median_so_far", _by_asset(_EM), "em", 12)
+plain("rolling_ou_by_asset", lambda s, d: rolling.rolling_ou(rich(s, d, True)), "asset ts ~ou_theta ~ou_half_life", _by_asset(_OU), "o3", 4)
+plain("hurst_kn_by_asset", lambda s, d: rolling.fractal_metrics(rich(s, d, True), gap_minutes=20.0), "asset ts ~hurst ~fractal_f", _by_asset(_METRICS), "metrics")
