@@ -113,3 +113,24 @@ def test_model_files(spark, tmp_path):
         spark.createDataFrame([(1.0, 0.2, 0.8), (2.0, 0.5, 0.5)], "close double, regime_a_prob double, regime_b_prob double").coalesce(1).write.parquet(str(tmp_path / f"regime_probs_max_dc_train_{name}.parquet"))
     found = regime.likeliest(sources.model_files(spark, str(tmp_path)), ["regime_a_prob", "regime_b_prob"])
     assert sorted((r.model, r.close, r.regime) for r in found.collect()) == [(m, c, g) for m in "xy" for c, g in ((1.0, "b"), (2.0, "a"))]
+
+
+def test_a_folder_of_vendor_files_in_one_scan(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "EURUSD_M1.csv").write_text("<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\n2024.01.02\t00:00:00\t1\t2\t0.5\t1.5\t7\n\n2024.01.02\t00:01:00\t1\tx\t0.5\t1.5\t7\n2024.01.02\t00:02:00\t1\n")
+    (tmp_path / "deep" / "XAUUSD.csv").write_text("Date,Time,Close,Open,Low,High,Spread,More\r\n2024.01.03,10:00:00,9,8,7,10,3,?\r\n")
+    (tmp_path / "none.csv").write_text("1,2,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = sources.vendor_folder(spark, str(tmp_path)).collect()
+    good = {r.asset: (r.DATE, r.TIME, r.OPEN, r.HIGH, r.LOW, r.CLOSE, r.TICKVOL, r.VOL, r.SPREAD) for r in rows if r.bad is None}
+    assert good == {"EURUSD": ("2024.01.02", "00:00:00", 1.0, 2.0, 0.5, 1.5, 7, 1_000_000, 0), "XAUUSD": ("2024.01.03", "10:00:00", 8.0, 10.0, 7.0, 9.0, 1, 1_000_000, 3)}
+    assert sorted(r.bad for r in rows if r.bad is not None) == ["1,2,3", "2024.01.02\t00:01:00\t1\tx\t0.5\t1.5\t7", "2024.01.02\t00:02:00\t1"]
+    one = sources.with_time(sources.vendor_folder(spark, str(tmp_path)).where("bad is null"))
+    assert {str(r.ts) for r in one.collect()} == {"2024-01-02 00:00:00", "2024-01-03 10:00:00"}
+
+
+def test_scales_from_a_file(spark, tmp_path):
+    (tmp_path / "scales.json").write_text('{"small_dc": {"theta_base": 0.001, "window": 20, "lambda_aggression": 1.0}, "plain": {}}')
+    small, plain = sources.scales(spark, str(tmp_path / "scales.json"))
+    assert (small.name, small.theta, small.window, small.aggression) == ("small_dc", 0.001, 20, 1.0)
+    assert (plain.theta, plain.window) == (0.005, 50)

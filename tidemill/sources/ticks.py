@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators.bars import validate
+from tidemill.operators.events import Scale
 from tidemill.operators.order import running_total
 from tidemill.session import table
 
@@ -48,6 +52,38 @@ def vendor_csv(spark: SparkSession, path: str) -> DataFrame:
     return filled.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in STANDARD])
 
 
+def vendor_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of all vendor files below a path in one scan: ``asset, file``, the standard columns, and ``bad``.
+
+    Each file has a separator (comma or tab) and a header of its own, which one row a file carries to its lines; its name up to
+    the first ``_`` or ``.`` is the asset. ``bad`` holds the line where it has another number of cells than its header or a cell
+    that is none of its kind, and is NULL elsewhere; a file without a header gives bad lines alone. Empty lines are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    is_head = F.upper("value").rlike(r"^[\s\ufeff]*<?DATE>?[,\t]")
+    heads = lines.where(is_head).groupBy("file").agg(F.min("value").alias("_head"))
+    cut = lambda x, head: F.when(head.contains(","), F.split(x, ",")).otherwise(F.split(x, "\t"))
+    names = F.transform(cut(F.col("_head"), F.col("_head")), lambda x: F.upper(F.regexp_replace(x, r"[\s<>\ufeff]", "")))
+    rows = lines.where(~is_head).join(heads.withColumn("_names", names), "file", "left").withColumn("_cells", cut(F.col("value"), F.col("_head")))
+    kinds = {**dict.fromkeys(("OPEN", "HIGH", "LOW", "CLOSE"), "double"), **dict.fromkeys(DEFAULTS, "bigint")}
+
+    def column(name: str) -> Column:
+        at = F.array_position("_names", F.lit(name))
+        cell = F.when(at > 0, F.trim(F.get("_cells", (at - 1).cast("int"))))
+        kept = cell.try_cast(kinds[name]) if name in kinds else cell
+        return F.when(at == 0, F.lit(DEFAULTS[name]).cast("bigint")).otherwise(kept) if name in DEFAULTS else kept
+
+    found = rows.select("value", "file", F.regexp_extract("file", r"([^/_.]+)[^/]*$", 1).alias("asset"), (F.size("_cells") == F.size("_names")).alias("_whole"), *[column(c).alias(c) for c in STANDARD])
+    good = F.coalesce(F.col("_whole"), F.lit(False)) & functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in STANDARD])
+    return found.select("asset", "file", *STANDARD, F.when(~good, F.col("value")).alias("bad"))
+
+
+def scales(spark: SparkSession, path: str) -> list[Scale]:
+    """The sampler's scales from a JSON file: names to ``theta_base``, ``window`` and ``lambda_aggression``."""
+    whole = spark.read.text(path, wholetext=True).first()
+    return [Scale.of(name, own) for name, own in json.loads(whole.value).items()] if whole else []
+
+
 def with_time(vendor: DataFrame) -> DataFrame:
     """Vendor bars with one time column ``ts``."""
     ts = F.try_to_timestamp(F.concat_ws(" ", "DATE", "TIME"), F.lit("yyyy.MM.dd HH:mm:ss")).cast("timestamp_ntz")
