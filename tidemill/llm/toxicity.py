@@ -117,14 +117,26 @@ def _telling(rows: np.ndarray, codes: np.ndarray, width: int, y: np.ndarray, use
     return best[score[best] > 2.5]
 
 
+def _common(flat: np.ndarray) -> np.ndarray:
+    """The hashes, in order, that stand in three texts or more; rarer ones are never chosen. Found in steps, to hold little at once."""
+    found = []
+    for high in range(16):
+        own, times = np.unique(flat[flat >> np.uint64(60) == high], return_counts=True)
+        found.append(own[times >= 3])
+    return np.concatenate(found)
+
+
 def fit_chain(features: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chain:
     """The chain of these categories over these texts' features."""
+    return _fitted(np.concatenate([np.empty(0, np.uint64), *features]), np.array([len(f) for f in features], np.int64), labels)
+
+
+def _fitted(flat: np.ndarray, sizes: np.ndarray, labels: dict[str, np.ndarray]) -> Chain:
+    """The same for features that lie one text after the other."""
     links: dict[str, Link] = {}
-    count = len(features)
-    flat = np.concatenate(features) if count else np.empty(0, np.uint64)
-    hashes, times = np.unique(flat, return_counts=True)
-    hashes = hashes[times >= 3]  # rarer ones are never chosen
-    rows, codes = np.repeat(np.arange(count, dtype=np.int32), [len(f) for f in features]), np.empty(len(flat), np.int32)
+    count = len(sizes)
+    hashes = _common(flat)
+    rows, codes = np.repeat(np.arange(count, dtype=np.int32), sizes), np.empty(len(flat), np.int32)
     for i in range(0, len(flat), 1 << 18):  # in steps, to hold little at once
         part = flat[i : i + (1 << 18)]
         at = np.minimum(np.searchsorted(hashes, part), max(0, len(hashes) - 1))
@@ -175,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label
     lists = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     values = {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)}
     del got
-    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else []
-    return fit_chain(np.split(flat, ends[:-1]) if len(lists) else [], values)
+    return _fitted(lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), values)
 
 
 def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
