@@ -55,6 +55,8 @@ def test_packed_places():
     numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**21, 2**28 + 5, 0]
     assert wordbpe._numbers(b"".join(map(wordbpe._number, numbers))).tolist() == numbers
     assert wordbpe._numbers(b"").tolist() == []
+    again = wordbpe._repacked(wordbpe.np.array(numbers), [3, 0, 7])
+    assert b"".join(again) == b"".join(map(wordbpe._number, numbers)) and again[1] == b"" and wordbpe._numbers(again[0]).tolist() == numbers[:3]
 
 
 ROWS = [(1, None), (2, ""), (3, "The idea, the IDEA; it's 12 café́s"), (3, "The idea, the IDEA; it's 12 café́s"), (None, "ΣΑΣ x\x1cy <|endoftext|> z"), (5, " \n\t "), (6, "word " * 5000 + "q" * 3000)]

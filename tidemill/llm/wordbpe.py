@@ -3,8 +3,8 @@
 Texts are split into words block by block: a block is a run of texts of ``BLOCK`` characters (or one longer text) with a
 dictionary of its own, so that a text becomes the places of its words in that dictionary.  The blocks' dictionaries make one
 table of distinct words, each of which is encoded once; its ids are joined back to the blocks by the word, and to the texts
-by block and place.  Decoding takes the ids of each distinct word to their pieces by a join with the vocabulary; ids that
-come from elsewhere are cut behind each piece that ends a word, and distinct runs are looked up in the same way.
+by block and place.  Decoding joins the ids to the table of pieces, which is as large as the vocabulary and so is broadcast; ids that
+come from elsewhere are cut behind each piece that ends a word, and distinct runs are brought back in the same way.
 
 The places are written in buckets by block, so that the last join moves the dictionaries to the places, not the places.
 A word has one row a block at most, whatever its frequency.  What a task holds is one block and its dictionary.
@@ -25,8 +25,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -34,7 +35,7 @@ from tokenizers import Tokenizer
 from tidemill.scratch import workdir
 
 #: Characters (or ids) of a block, and chunks remembered while one is made.
-BLOCK, CHUNKS = 16 << 20, 200_000
+BLOCK, CHUNKS = 48 << 20, 300_000
 #: Texts a step.
 STEP = 500
 #: Words of a dictionary a row.
@@ -182,6 +183,19 @@ def _numbers(packed: bytes) -> np.ndarray:
     return out
 
 
+def _repacked(numbers: np.ndarray, texts: list[int]) -> list[bytes]:
+    """Places packed anew, cut into texts of so many."""
+    sizes = 1 + sum((numbers >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
+    ends = np.concatenate([[0], sizes.cumsum()])
+    out = np.empty(ends[-1], np.uint8)
+    for i in range(int(sizes.max(initial=0))):
+        here = sizes > i
+        out[ends[:-1][here] + i] = (numbers[here] >> 7 * i & 127) | np.where(sizes[here] > i + 1, 128, 0)
+    cuts = ends[np.cumsum([0, *texts])].tolist()
+    whole = out.tobytes()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class _Places(dict):
     """Chunk to its words' places in the block's dictionary, filled on demand."""
 
@@ -192,9 +206,7 @@ class _Places(dict):
     def __missing__(self, chunk: str) -> bytes:
         known = self.dictionary
         out = b"".join(_number(known.setdefault(w, len(known))) for w in self.words(chunk))
-        if len(self) >= CHUNKS:
-            self.clear()
-        if len(chunk) <= 64:
+        if len(chunk) <= 64 and len(self) < CHUNKS:
             self[chunk] = out
         return out
 
@@ -207,35 +219,47 @@ def _coded(docs: DataFrame, key: str, value: str, load_splitter: Callable[[], Wo
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, block, size, places, arrow = load_splitter(), None, 0, None, None
+        splitter, block, size, places = load_splitter(), None, 0, None
+        keys: list[pa.Array] = []
+        packed: list[bytes] = []
 
-        def rows(keys: pa.Array, packed: list, starts: list, words: list) -> pa.RecordBatch:
-            columns = [pa.array([block] * len(starts), pa.int64()), keys, pa.array(packed, pa.binary()), pa.array(starts, pa.int32()), pa.array(words, pa.list_(pa.string()))]
+        def rows(key: pa.Array, place: list, start: list, words: list) -> pa.RecordBatch:
+            columns = [pa.array([block] * len(key), pa.int64()), key, pa.array(place, pa.binary()), pa.array(start, pa.int32()), pa.array(words, pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, ["block", "key", "places", "start", "words"])
 
-        def pages() -> Iterator[pa.RecordBatch]:
-            words = list(places.dictionary)
-            for i in range(0, len(words), PAGE):
-                yield rows(pa.nulls(1, arrow), [None], [i], [words[i : i + PAGE]])
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The block, its words by frequency, so that the places of most are short."""
+            known = list(places.dictionary)
+            numbers = [_numbers(x) for x in packed]
+            every = np.concatenate(numbers)
+            order = np.argsort(-np.bincount(every, minlength=len(known)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            key, again = pa.concat_arrays(keys), _repacked(rank[every], [len(x) for x in numbers])
+            for i in range(0, len(again), STEP):
+                part = again[i : i + STEP]
+                yield rows(key.slice(i, STEP), part, [None] * len(part), [None] * len(part))
+            for i in range(0, len(known), PAGE):
+                yield rows(pa.nulls(1, key.type), [None], [i], [[known[k] for k in order[i : i + PAGE].tolist()]])
+            keys.clear()
+            packed.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                arrow, start, packed = part.column(1).type, 0, []
-                ordinals, values = part.column(0).to_pylist(), part.column(2).to_pylist()
-                for i, x in enumerate(values):
+                start, ordinals = 0, part.column(0).to_pylist()
+                for i, x in enumerate(part.column(2).to_pylist()):
                     if places is None or size >= BLOCK:
-                        if packed:
-                            yield rows(part.column(1).slice(start, i - start), packed, [None] * len(packed), [None] * len(packed))
-                            start, packed = i, []
                         if places is not None:
-                            yield from pages()
+                            keys.append(part.column(1).slice(start, i - start))
+                            start = i
+                            yield from ended()
                         block, size, places = ordinals[i], 0, _Places(splitter.words)
                     packed.append(b"".join(map(places.__getitem__, splitter.chunks(x))) if x is not None else b"")
                     size += len(x) if x is not None else 0
-                yield rows(part.column(1).slice(start), packed, [None] * len(packed), [None] * len(packed))
+                keys.append(part.column(1).slice(start))
         if places is not None:
-            yield from pages()
+            yield from ended()
 
     coded = docs.select(F.monotonically_increasing_id().alias("block"), F.col(key), F.col(value)).mapInArrow(run, schema)
     spark = docs.sparkSession
@@ -245,44 +269,50 @@ def _coded(docs: DataFrame, key: str, value: str, load_splitter: Callable[[], Wo
     return spark.table(name)
 
 
-def pieces(spark: SparkSession, path: Path) -> DataFrame:
-    """``id, piece``: the vocabulary as a table, special tokens included."""
+def pieces(path: Path) -> pa.Array:
+    """The vocabulary as a table of pieces by id, special tokens included."""
     bpe = load(_found(path))
-    return spark.createDataFrame([(i, t) for t, i in {**bpe.ids, **bpe.special}.items()], "id int, piece string")
+    known = {i: t for t, i in {**bpe.ids, **bpe.special}.items()}
+    return pa.array([known.get(i) for i in range(max(known) + 1)], pa.string())
 
 
-def _looked_up(coded: DataFrame, path: Path, ids_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``key, n_tokens, ids, decoded`` of each text: ids of every distinct word by ``ids_of`` and their pieces by a join, brought back by block and place."""
+def _looked_up(coded: DataFrame, path: Path, ids_of: Callable[[str], list[int]], kind: str) -> DataFrame:
+    """``key, n_tokens, ids, decoded`` of each text: ids (of a numpy ``kind``) of every distinct word, brought back by block and place, and their pieces."""
+    spark = coded.sparkSession
     listed = coded.where(F.col("words").isNotNull()).select("block", F.col("start"), F.posexplode("words").alias("i", "word"))
-    listed = listed.select("block", (F.col("start") + F.col("i")).alias("place"), "word").repartition("word")
-    table = ids_of(listed.select("word").distinct())
-    one = table.select("word", F.posexplode("ids").alias("i", "id")).join(F.broadcast(pieces(coded.sparkSession, path)), "id", "left")
-    order = F.array_sort(F.collect_list(F.struct("i", "id", "piece")))
-    spelled = one.groupBy("word").agg(order.alias("p")).select("word", F.col("p.id").alias("ids"), F.filter("p.piece", lambda x: x.isNotNull()).alias("known"))
-    spelled = spelled.select("word", "ids", F.when(F.size("known") > 0, F.array_join("known", " ")).alias("decoded"))
-    back = listed.join(spelled, "word").select(F.col("block").alias("of"), "place", "ids", "decoded")
+    # One exchange by word, of a number of partitions that stays, serves the distinct words and the way back; for that both ask
+    # for the same columns: each word keeps its least place, and none comes before it.
+    place = F.struct("block", "place")
+
+    @F.pandas_udf("binary")
+    def ids(words):  # noqa: ANN001, ANN202
+        return words.map(lambda word: np.array(ids_of(word), kind).tobytes())
+
+    listed = listed.select("block", (F.col("start") + F.col("i")).alias("place"), "word").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    table = listed.groupBy("word").agg(F.min(place).alias("least")).withColumn("ids", ids("word"))
+    back = listed.join(table, "word").where(place >= F.col("least")).select(F.col("block").alias("of"), "place", "ids")
     kept = coded.where(F.col("words").isNull()).select("block", "key", "places")
     schema = T.StructType([coded.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    vocabulary = spark.sparkContext.broadcast(pieces(path))
 
     def gathered(texts: pa.Table, words: pa.Table) -> pa.Table:
-        rank = np.argsort(words["place"].to_numpy())
-        words = words.take(pa.array(rank)).combine_chunks()
-        lists = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        spelling = words["decoded"].to_pylist()
-        ids, lengths, decoded = [], [], []
-        for packed in texts["places"].to_pylist():
-            places = _numbers(packed)
+        words, by_id = words.sort_by("place"), vocabulary.value
+        every = words["ids"].to_pylist()
+        sizes = np.array([len(x) // np.dtype(kind).itemsize for x in every], np.int64)
+        flat, starts = np.frombuffer(b"".join(every), kind).astype(np.int32), np.cumsum(sizes) - sizes
+        out = []
+        for batch in texts.to_batches(max_chunksize=STEP):
+            own = [_numbers(x) for x in batch.column("places").to_pylist()]
+            places, ends = np.concatenate(own), np.cumsum([0, *map(len, own)])
             counts = sizes[places]
-            total = int(counts.sum())
-            at = np.repeat(starts[places] - np.cumsum(counts) + counts, counts) + np.arange(total)
-            ids.append(flat[at])
-            lengths.append(total)
-            decoded.append(" ".join(s for s in map(spelling.__getitem__, places.tolist()) if s is not None))
-        ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
-        every = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.empty(0), pa.int32()))
-        return pa.table({"key": texts["key"], "n_tokens": pa.array(lengths, pa.int64()), "ids": every, "decoded": pa.array(decoded, pa.string())})
+            total = np.concatenate([[0], counts.cumsum()])
+            ids = flat[np.repeat(starts[places] - total[:-1], counts) + np.arange(total[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), pa.array(ids))
+            known = (ids >= 0) & (ids < len(by_id))
+            said = np.concatenate([[0], known.cumsum()])[total[ends]]  # ids outside the vocabulary say nothing
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(said, pa.int32()), by_id.take(pa.array(ids[known]))), " ")
+            out.append(pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(total[ends])), lists, decoded], ["key", "n_tokens", "ids", "decoded"]))
+        return pa.Table.from_batches(out)
 
     return kept.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(gathered, schema)
 
@@ -293,15 +323,12 @@ def encode(docs: DataFrame, path: Path, key: str = "doc_id", text: str = "text")
     ``path`` may be a function, which each worker asks on its own machine.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(words):  # noqa: ANN001, ANN202
-        return words.map(load(_found(path)).encode)
-
     coded = _coded(docs, key, text, lambda: load(_found(path)))
-    return _looked_up(coded, path, lambda words: words.withColumn("ids", ids("word"))).withColumnRenamed("key", key)
+    kind = "<u2" if len(pieces(path)) <= 1 << 16 else "<i4"
+    return _looked_up(coded, path, lambda word: load(_found(path)).encode(word), kind).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: Path, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Key and ``decoded`` of every row of ids, wherever they come from."""
     coded = _coded(encoded, key, ids, lambda: _runs(_found(path)))
-    return _looked_up(coded, path, lambda runs: runs.withColumn("ids", F.split("word", " ").cast("array<int>"))).select(F.col("key").alias(key), "decoded")
+    return _looked_up(coded, path, lambda run: [int(x) for x in run.split(" ")], "<i4").select(F.col("key").alias(key), "decoded")
