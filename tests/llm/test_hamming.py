@@ -59,3 +59,20 @@ def test_odd_rows_few_rows_and_empty_tables(spark):
     rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (20, None), (40, [math.nan, 1.0]), (60, [1.0]), (None, [1.0, 1.0]), (80, [math.inf, 1.0])]
     assert [tuple(r) for r in hamming.nearest(frame(spark, rows)).collect()] == [(0, 1, 1, 0.75)]
     assert hamming.nearest(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_wide_balls_cost_one_look_at_each_value():
+    codes = np.random.default_rng(3).integers(0, 1 << 16, size=(10_000, 32)).astype(np.uint16)
+    index = hamming.MultiIndex(codes)
+    read = []
+
+    class Starts(np.ndarray):
+        def __getitem__(self, at):
+            read.append(np.size(at))
+            return np.asarray(self)[at]
+
+    index.lists = [(order, values, starts.view(Starts), *rest) for order, values, starts, *rest in index.lists]
+    for q in codes[:5]:
+        expected = np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= 194)
+        assert np.array_equal(index.within(q, 194), expected)
+    assert not read  # balls of 6,885 of 65,536 values are not listed: nearly all values that occur are compared in less time

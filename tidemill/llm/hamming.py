@@ -5,7 +5,7 @@ Procrustes steps), and a vector's code is the signs of its components under all
 that the distance of codes tells the angle well.  Codes split into m substrings of 16 bits, each with an index from value
 to rows.  For a radius r = m q + a, a code within r of the query's has one of its first a + 1 substrings within q or one
 of the others within q - 1 (pigeonhole): probing the values of these balls retrieves all codes within r.  A ball's values
-are listed one by one, or the values that occur are compared with the query's where those are fewer.  What is retrieved
+are listed one by one, or the values that occur are compared with the query's where that is less work.  What is retrieved
 and lies within r is reranked by the original vectors.
 
 The radius is learned on all rows: for ``ASKED`` of the queries the exact neighbours in the whole table are found, and the
@@ -35,6 +35,8 @@ from tidemill.llm.cut import cut, drop
 
 #: Rows that the rotations are fitted on, queries for the radius, and rows of an index part, at most.
 FITTED, ASKED, PART = 4_096, 128, 65_536
+#: Listing a value of a ball and its rows takes as long as comparing so many values.
+LISTED = 16
 #: Bits of a code at least, and the share of true neighbours of the asked queries within the radius.
 BITS, HELD = 512, 0.93
 
@@ -88,22 +90,28 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
+        wide = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))
+        self.wide = np.ascontiguousarray(np.ascontiguousarray(wide).view(np.uint64).T)  # four substrings a word, a row of rows each
         self.lists = []
         for column in codes.T:
             order = np.argsort(column, kind="stable")
             starts = np.searchsorted(column[order], np.arange((1 << 16) + 1))
-            self.lists.append((order, np.unique(column), starts))
+            values, which = np.unique(column, return_inverse=True)
+            self.lists.append((order, values, starts, which))
 
     def retrieved(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows that the probed balls hold: all codes within the radius are among them."""
         seen = np.zeros(len(self.codes), bool)
         reach, more = divmod(radius, len(self.lists))
         masks, upto = _masks()
-        for place, (word, (order, values, starts)) in enumerate(zip(code, self.lists, strict=True)):
+        for place, (word, (order, values, starts, which)) in enumerate(zip(code, self.lists, strict=True)):
             own = min(16, reach if place <= more else reach - 1)
             if own < 0:
                 continue
-            ball = word ^ masks[: upto[own]] if upto[own] < len(values) else values[np.bitwise_count(values ^ word) <= own]
+            if upto[own] * LISTED >= len(values):  # a value's rows are marked with it, without a list of them
+                seen |= (np.bitwise_count(values ^ word) <= own)[which]
+                continue
+            ball = word ^ masks[: upto[own]]
             first, count = starts[ball], starts[ball.astype(np.int64) + 1] - starts[ball]
             at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             seen[order[at]] = True
@@ -112,7 +120,10 @@ class MultiIndex:
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes lie within the radius."""
         rows = self.retrieved(code, radius)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        apart = np.zeros(len(rows), np.uint16)
+        for own, word in zip(self.wide, np.pad(code, (0, -len(code) % 4)).view(np.uint64), strict=True):
+            apart += np.bitwise_count(own[rows] ^ word)
+        return rows[apart <= radius]
 
 
 def _exact(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, float]]:
