@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -87,3 +89,21 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert wordbpe.encode(docs, PATH).collect() == []
     assert wordbpe.decode(docs.selectExpr("doc_id", "array(ids) AS ids"), PATH).collect() == []
+
+
+def test_places_of_a_block_take_little_more_than_its_texts():
+    rng = np.random.default_rng(2)
+    numbers = [rng.integers(0, 1 << rng.integers(1, 15), size=300) for _ in range(6_000)]
+    packed = [b"".join(map(wordbpe._number, own.tolist())) for own in numbers]
+    tracemalloc.start()
+    order, steps = wordbpe._by_frequency(packed, 1 << 14, wordbpe.STEP)
+    texts, most = 0, tracemalloc.get_traced_memory()[1]
+    for step in steps:
+        for x in step:
+            assert np.array_equal(order[wordbpe._numbers(x)], numbers[texts])
+            texts += 1
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert texts == len(numbers) and most < 16 << 20  # the places as numbers alone: 14 MB, and several such arrays before
+    times = np.bincount(np.concatenate(numbers), minlength=1 << 14)[order]
+    assert (np.diff(times) <= 0).all()

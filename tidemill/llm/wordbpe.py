@@ -196,6 +196,24 @@ def _repacked(numbers: np.ndarray, texts: list[int]) -> list[bytes]:
     return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _by_frequency(packed: list[bytes], count: int, step: int) -> tuple[np.ndarray, Iterator[list[bytes]]]:
+    """Places by falling frequency, and the texts in such places, ``step`` texts at a time: no array is as long as the block."""
+    steps = range(0, len(packed), step)
+    times = np.zeros(count, np.int64)
+    for i in steps:
+        times += np.bincount(_numbers(b"".join(packed[i : i + step])), minlength=count)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+
+    def again() -> Iterator[list[bytes]]:
+        for i in steps:
+            numbers = [_numbers(x) for x in packed[i : i + step]]
+            yield _repacked(rank[np.concatenate(numbers)], [len(x) for x in numbers])
+
+    return order, again()
+
+
 class _Places(dict):
     """Chunk to its words' places in the block's dictionary, filled on demand."""
 
@@ -229,15 +247,9 @@ def _coded(docs: DataFrame, key: str, value: str, load_splitter: Callable[[], Wo
 
         def ended() -> Iterator[pa.RecordBatch]:
             """The block, its words by frequency, so that the places of most are short."""
-            known = list(places.dictionary)
-            numbers = [_numbers(x) for x in packed]
-            every = np.concatenate(numbers)
-            order = np.argsort(-np.bincount(every, minlength=len(known)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            key, again = pa.concat_arrays(keys), _repacked(rank[every], [len(x) for x in numbers])
-            for i in range(0, len(again), STEP):
-                part = again[i : i + STEP]
+            known, key = list(places.dictionary), pa.concat_arrays(keys)
+            order, again = _by_frequency(packed, len(known), STEP)
+            for i, part in zip(range(0, len(key), STEP), again, strict=True):
                 yield rows(key.slice(i, STEP), part, [None] * len(part), [None] * len(part))
             for i in range(0, len(known), PAGE):
                 yield rows(pa.nulls(1, key.type), [None], [i], [[known[k] for k in order[i : i + PAGE].tolist()]])
