@@ -87,3 +87,14 @@ def test_registered_query_learns_from_the_rest_only(spark, tmp_path):
         assert (got[doc].lang_pred, got[doc].score) == model.label([text])[0][:2]
     spark.createDataFrame([(*r[:2], "cc" if held[r[0]] else r[2], *r[3:]) for r in rows], SCHEMA).write.mode("overwrite").parquet(path)
     assert {d: r.score for d, r in got.items()} == {r.doc_id: r.score for r in queries.op6_language_crf(spark, str(tmp_path)).collect()}
+
+
+def test_scores_do_not_hang_on_the_other_texts_of_a_step(monkeypatch):
+    rows = corpus(300, 9)
+    model = langid.train([r[1] for r in rows], [r[2] for r in rows])
+    texts = [r[1] for r in rows] + ["", None, "12"]
+    alone = [model.label([x])[0] for x in texts]
+    assert model.label(texts) == alone
+    monkeypatch.setattr(langid, "CELLS", 1)
+    model.known = None
+    assert model.label(texts) == alone

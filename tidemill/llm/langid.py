@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 #: Documents of each language in the sample, and words that a worker remembers, at most.
 DOCS_EACH, KEPT = 150, 200_000
 #: Hashed features, training chains of a step and words of a chain, steps, and words from which on a task labels what it has.
-BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 100_000
+BUCKETS, CHAINS, LENGTH, STEPS, TOGETHER = 1 << 17, 48, 60, 260, 400_000
+#: Features of new words that are summed up at once.
+CELLS = 200_000
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 _RUNS = re.compile(r"[^\W\d_]+").findall
@@ -45,29 +47,71 @@ def words_of(text: str | None) -> list[str]:
     return found if all(map(str.isalpha, found)) else LETTERS.findall(text)  # the quick pattern also takes numerals such as ²
 
 
+class _Buckets(dict):
+    """Feature to its bucket; short features, which most words share, are remembered."""
+
+    def __missing__(self, feature: str) -> int:
+        bucket = xxhash.xxh32_intdigest(feature) % BUCKETS
+        if len(self) < KEPT:
+            self[feature] = bucket
+        return bucket
+
+
+_BUCKET = _Buckets()
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself, prefixes, suffixes and letter n-grams of its lower-case form."""
     w = word.lower()
     marked = f"<{w}>"
-    found = {f"={w}"} | {f"p{w[:n]}" for n in (1, 2, 3)} | {f"s{w[-n:]}" for n in (1, 2, 3)}
-    found |= {marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh32_intdigest(f) % BUCKETS for f in sorted(found)]
+    size = len(marked)
+    found = [marked[i : i + 2] for i in range(size - 1)] + [marked[i : i + 3] for i in range(size - 2)]
+    found += ["p" + w[:1], "p" + w[:2], "p" + w[:3], "s" + w[-1:], "s" + w[-2:], "s" + w[-3:]]
+    return [*map(_BUCKET.__getitem__, dict.fromkeys(found)), xxhash.xxh32_intdigest(f"={w}") % BUCKETS]
 
 
 class _Rows(dict):
-    """Word to the place of its scores, computed when it is first met."""
+    """Word to the place of its scores, which are computed for many new words at once."""
 
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
-        self.weights, self.table = weights, np.empty((1024, weights.shape[1]), np.float32)
+        self.weights, self.table, self.done = weights, np.empty((1024, weights.shape[1]), np.float32), 0
+        self.cells: list[int] = []
+        self.starts: list[int] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self)
-        if place == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[place] = self.weights[features(word)].sum(axis=0)
+        self.starts.append(len(self.cells))
+        self.cells += features(word)
+        if len(self.cells) >= CELLS:
+            self.fill()
         return place
 
+    def fill(self) -> None:
+        """Scores of the words met since the last time."""
+        if self.starts:
+            while len(self) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[self.done : len(self)] = np.add.reduceat(self.weights[self.cells], self.starts, axis=0)
+            self.done, self.cells, self.starts = len(self), [], []
+
+
+def _mixed(step: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """``step.T @ now``, added in one order whatever the number of columns, so that a chain's result doesn't hang on the others."""
+    out = step[0][:, None] * now[0]
+    for own, row in zip(step[1:], now[1:], strict=True):
+        out += own[:, None] * row
+    return out
+
+
+def _normal(rows: np.ndarray) -> np.ndarray:
+    """Columns that sum to 1, in place."""
+    total = rows[0].copy()
+    for row in rows[1:]:
+        total += row
+    rows /= total
+    return rows
+
 
 @dataclass
 class Field:
@@ -86,34 +130,36 @@ class Field:
         if self.known is None or len(self.known) > KEPT:
             self.known = _Rows(self.weights)
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(found)), np.int64, total)
+        self.known.fill()
         return self.known.table[at]
 
     def probabilities(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Forward-backward over chains that lie one after the other in ``scores``: a row of probabilities for each word."""
         order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        sizes = sizes[order]
-        local = scores - scores.max(axis=1, keepdims=True)
-        np.exp(local, out=local)
+        rank = np.empty(len(sizes), np.int64)
+        rank[order] = np.arange(len(sizes))
+        ends = np.cumsum(sizes)
+        longest = int(sizes.max(initial=0))
+        active = np.searchsorted(-sizes[order], -np.arange(longest), side="left")  # chains longer than t
+        first = np.cumsum(active) - active
+        # all first words, longest chain first, then all second words, and so on: each step works on one slice
+        place = first[np.arange(len(scores)) - np.repeat(ends - sizes, sizes)] + np.repeat(rank, sizes)
+        local = np.empty(scores.shape[::-1], np.float32)
+        local[:, place] = np.exp(scores - scores.max(axis=1, keepdims=True)).T
         step = np.exp(self.moves - self.moves.max()).astype(np.float32)
-        longest = int(sizes[0]) if len(sizes) else 0
-        active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # chains longer than t
         forward = np.empty_like(local)
         now = None
-        for t in range(longest):
-            at = starts[: active[t]] + t
-            now = local[at] if t == 0 else (now[: active[t]] @ step) * local[at]
-            now /= now.sum(axis=1, keepdims=True)
-            forward[at] = now
-        back = np.ones((len(sizes), len(self.langs)), np.float32)
+        for a, n in zip(first.tolist(), active.tolist(), strict=True):
+            here = local[:, a : a + n]
+            now = _normal(here.copy() if now is None else _mixed(step, now[:, :n]) * here)
+            forward[:, a : a + n] = now
+        back = np.ones((len(self.langs), len(sizes)), np.float32)
+        turned = np.ascontiguousarray(step.T)
         for t in range(longest - 2, -1, -1):
-            n = active[t + 1]
-            at = starts[:n] + t + 1
-            back[:n] = (back[:n] * local[at]) @ step.T
-            back[:n] /= back[:n].sum(axis=1, keepdims=True)
-            forward[at - 1] *= back[:n]
-        forward /= forward.sum(axis=1, keepdims=True)
-        return forward
+            a, n = int(first[t + 1]), int(active[t + 1])
+            back[:, :n] = _normal(_mixed(turned, back[:, :n] * local[:, a : a + n]))
+            forward[:, first[t] : first[t] + n] *= back[:, :n]
+        return np.ascontiguousarray(_normal(forward)[:, place].T)
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and the runs of words of one language (start, end, language), of each text; see ``predict``."""
