@@ -64,3 +64,22 @@ def test_the_archive_for_workers_can_be_imported(tmp_path):
     code = f"import sys; sys.path.insert(0, {archive(str(tmp_path))!r}); import tidemill.operators.running as r; print(r.__file__)"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
     assert "tidemill.zip" in done.stdout, done.stderr
+
+
+def test_archive_stays_for_executors_that_start_later():
+    """On a cluster executors fetch the archive from the driver's own file, after ``ship`` has returned and once an application."""
+    import time
+    import zipfile
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    from tidemill.session import ship
+
+    sent: list[str] = []
+    context = SimpleNamespace(environment={}, master="spark://host:7077", applicationId="app-of-this-test", addPyFile=lambda path: (time.sleep(0.1), sent.append(path)))
+    session = SimpleNamespace(sparkContext=context)
+    with ThreadPoolExecutor(4) as threads:
+        assert list(threads.map(ship, [session] * 4)) == [session] * 4
+    assert len(sent) == 1
+    with zipfile.ZipFile(sent[0]) as found:
+        assert "tidemill/session.py" in found.namelist()
