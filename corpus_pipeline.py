@@ -7,6 +7,9 @@ columns beyond those of ``documents`` are carried along, and empty tables give e
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +18,24 @@ from tidemill.llm import bpe, jaccard, langid, packing, pii, queries, toxicity
 from tidemill.llm.cut import cut
 from tidemill.session import ship, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Five words a shingle, and a similarity of 0.8 or more.
 NEAR = jaccard.Rule(words=5, num=80, den=100)
 #: The id behind each document: above all ranks of the vocabulary.
 END = 0xFFFF
+#: Rows that Spark hands to a Python worker at once: whole texts are long, and both sides hold such a batch more than once.
+ROWS = 2_000
+
+
+def few_at_once(stage: Stage) -> Stage:
+    """The stage, with batches of ``ROWS`` rows wherever it hands rows to Python."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +66,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", keep_clean),
-    ("language", keep_identified),
-    ("near_duplicates", keep_one_of_each_group),
-    ("pii", mask_personal_data),
-    ("packing", pack_sequences),
+    ("toxicity", few_at_once(keep_clean)),
+    ("language", few_at_once(keep_identified)),
+    ("near_duplicates", few_at_once(keep_one_of_each_group)),
+    ("pii", few_at_once(mask_personal_data)),
+    ("packing", few_at_once(pack_sequences)),
 ]
 
 #: SQL expresses neither the classifiers nor best-fit packing.

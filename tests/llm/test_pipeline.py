@@ -3,6 +3,7 @@ import re
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -92,3 +93,19 @@ def test_a_repeated_id_with_other_texts_loses_near_copies_only(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
     lower = sorted((d or 0, (t or "").lower()) for d, t in kept)
     assert lower == sorted([(1, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[3]), (7, ""), (7, ""), (0, texts[1])])
+
+
+def test_a_worker_keeps_the_tables_of_one_operator_and_gets_few_rows_at_once(spark, tmp_path):
+    from tidemill.llm import held, langid
+
+    bpe.load(queries.rank_file(), public_tokenizers.PATTERN)
+    langid.features("word")
+    assert list(held._HELD) == ["langid"]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        docs = spark.range(5_000).selectExpr("id as doc_id", "'a b' as text", "'aa' as lang", "'s' as source", "3L as n_chars")
+        spark.range(2).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+        kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r.n for r in kept.collect()) <= corpus_pipeline.ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)

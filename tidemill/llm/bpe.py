@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.held import held
+
 #: Pieces and pairs remembered by a Python worker at most; beyond, the memory starts anew.
 KEPT = 150_000
 #: Texts a step, so that little is held at once.
@@ -176,10 +178,9 @@ class _Packed(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
-    """One vocabulary a Python worker."""
-    return ByteBpe(path, pattern)
+    """One vocabulary a Python worker, until another operator's tables take its place."""
+    return held(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.held import held
+
 #: Documents of each language in the sample, and words that a worker remembers, at most.
 DOCS_EACH, KEPT = 150, 200_000
 #: Hashed features, training chains of a step and words of a chain, steps, and words from which on a task labels what it has.
@@ -57,7 +59,9 @@ class _Buckets(dict):
         return bucket
 
 
-_BUCKET = _Buckets()
+
+def _buckets() -> _Buckets:
+    return held("langid", _Buckets)
 
 
 def features(word: str) -> list[int]:
@@ -67,7 +71,7 @@ def features(word: str) -> list[int]:
     size = len(marked)
     found = [marked[i : i + 2] for i in range(size - 1)] + [marked[i : i + 3] for i in range(size - 2)]
     found += ["p" + w[:1], "p" + w[:2], "p" + w[:3], "s" + w[-1:], "s" + w[-2:], "s" + w[-3:]]
-    return [*map(_BUCKET.__getitem__, dict.fromkeys(found)), xxhash.xxh32_intdigest(f"={w}") % BUCKETS]
+    return [*map(_buckets().__getitem__, dict.fromkeys(found)), xxhash.xxh32_intdigest(f"={w}") % BUCKETS]
 
 
 class _Rows(dict):

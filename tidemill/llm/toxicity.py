@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.held import let_go
+
 #: Labelled rows in the sample, features of a link, and words that a worker remembers, at most.
 LABELLED, FEATURES, KEPT = 8_000, 4_096, 100_000
 #: Folds of the out-of-fold predictions, and lengths of word beginnings.
@@ -178,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(marks), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            found = [text_features(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            found = [text_features(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], ["k", "f", *(f"y{i}" for i in range(len(names)))])
 
     schema = T.StructType([rows.schema["k"], T.StructField("f", T.ArrayType(T.LongType())), *(T.StructField(f"y{i}", T.IntegerType()) for i in range(len(names)))])
@@ -195,8 +198,9 @@ def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "tex
     names = [f"p_{n}" for n in chain.links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            rows = [chain.predict(x) for x in batch.column(1).to_pylist()]
+            rows = [chain.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names)))], [key, *names])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, T.StructType([docs.schema[key], *(T.StructField(n, T.DoubleType()) for n in names)]))
@@ -208,8 +212,9 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            yield batch.filter(pa.array([chain.predict(x)[at] < threshold for x in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([chain.predict(x.as_py())[at] < threshold for x in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
