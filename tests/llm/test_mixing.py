@@ -273,3 +273,9 @@ def test_scores_do_not_depend_on_tasks_and_files(spark, monkeypatch):
         own = docs.repartition(parts) if parts > 1 else docs.coalesce(1).orderBy(F.desc("doc_id"))
         found.append(sorted((r.doc_id, r.base_score, r.score) for r in mixing.score(own, held).collect()))
     assert found[0] == found[1] == found[2]
+
+
+def test_tokens_are_ordered_as_bytes_with_their_space():
+    tokens = [b"@a\x01", b"@a", b"@a\xff", b"@a!", b"@", b"A", b"@a\xc3\xa9"]
+    assert [tokens[i] for i in mixing._in_order(tokens)] == sorted(tokens, key=lambda t: t + b" ")
+    assert mixing._in_order([]) == []
