@@ -112,3 +112,16 @@ def test_chain_against_its_definition(spark):
     asked = [t for _, t, _, _ in rows[:20]] + ["vile river", "", "lorem click stone"]
     expected = plain_chain([t for _, t, _, _ in rows], y, asked)
     assert np.allclose([chain.predict(t) for t in asked], expected, atol=1e-5)
+
+
+def test_the_driver_takes_the_sample_in_small_parts(spark, monkeypatch):
+    rows, labels = corpus(300, 5)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    taken, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: taken.append(plain(self)) or taken[-1])
+    chain = toxicity.fit(docs, marks, toxicity.production_categories())
+    features = [toxicity.text_features(r[1]) for r in rows]
+    assert max(t.nbytes for t in taken) < sum(f.nbytes for f in features) / 4
+    lists = [[x for t in taken[1:] for x in t.column(0)[i].as_py()] for i in range(len(rows))]
+    assert sorted(map(sorted, lists)) == sorted(f.view(np.int64).tolist() for f in map(np.sort, (f.view(np.int64) for f in features)))
+    assert set(chain.links) == set(toxicity.production_categories())

@@ -16,7 +16,7 @@ not carried by ``predict`` and all kept by ``keep_clean``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.cut import cut, drop
 from tidemill.llm.held import let_go
 
 #: Labelled rows in the sample, features of a link, and words that a worker remembers, at most.
 LABELLED, FEATURES, KEPT = 8_000, 4_096, 100_000
 #: Folds of the out-of-fold predictions, and lengths of word beginnings.
 FOLDS, BEGINNINGS = 5, (4, 5, 6, 7)
+#: Parts of the hashes, a power of two: the driver takes the sample's features one part at a time.
+PARTS = 16
+#: Cells that a step of the fit takes at once.
+STEP = 1 << 18
 #: A document is toxic from this probability on.
 THRESHOLD = 0.35
 WORD = re.compile(r"[^\W\d_]+")
@@ -98,19 +103,30 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarr
     speed = np.full(len(weights), 1e-8)
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weights[-1] = np.log(rate / (1 - rate))
+    steps = [slice(i, i + STEP) for i in range(0, len(rows), STEP)]  # to hold little at once
     for _ in range(rounds):
-        margin = np.bincount(rows, weights[columns], len(y)) + dense @ weights[width:-1] + weights[-1]
+        margin = sum((np.bincount(rows[s], weights[columns[s]], len(y)) for s in steps), np.zeros(len(y))) + dense @ weights[width:-1] + weights[-1]
         error = (_sigmoid(margin) - y) / len(y)
-        slope = np.concatenate([np.bincount(columns, error[rows], width), dense.T @ error, [error.sum()]])
+        telling = sum((np.bincount(columns[s], error[rows[s]], width) for s in steps), np.zeros(width))
+        slope = np.concatenate([telling, dense.T @ error, [error.sum()]])
         slope[:-1] += decay * weights[:-1] / max(1, width) ** 0.5
         speed += slope**2
         weights -= 0.5 * slope / np.sqrt(speed)
     return weights
 
 
-def _telling(rows: np.ndarray, codes: np.ndarray, width: int, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+#: Cells of the texts' features by parts of the hashes: text and feature, both by place.
+Cells = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _telling(cells: Cells, width: int, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """The features that tell the two values apart best among the rows in use, by their log odds against their spread."""
-    with_, without = np.bincount(codes, (y * use)[rows], width), np.bincount(codes, ((1 - y) * use)[rows], width)
+    with_, without = np.zeros(width), np.zeros(width)
+    for rows, codes in cells:
+        if len(codes):
+            low, high = int(codes.min()), int(codes.max()) + 1  # a part has features of its own
+            with_[low:high] += np.bincount(codes - low, (y * use)[rows], high - low)
+            without[low:high] += np.bincount(codes - low, ((1 - y) * use)[rows], high - low)
     positive, negative = max(1, (y * use).sum()), max(1, ((1 - y) * use).sum())
     odds = np.log((with_ + 0.5) / (positive + 1)) - np.log((without + 0.5) / (negative + 1))
     score = np.abs(odds) / np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
@@ -119,32 +135,35 @@ def _telling(rows: np.ndarray, codes: np.ndarray, width: int, y: np.ndarray, use
     return best[score[best] > 2.5]
 
 
-def _common(flat: np.ndarray) -> np.ndarray:
-    """The hashes, in order, that stand in three texts or more; rarer ones are never chosen. Found in steps, to hold little at once."""
-    found = []
-    for high in range(16):
-        own, times = np.unique(flat[flat >> np.uint64(60) == high], return_counts=True)
-        found.append(own[times >= 3])
-    return np.concatenate(found)
+def _parts(features: np.ndarray) -> list[np.ndarray]:
+    """A text's hashes, in order, by their highest bits."""
+    borders = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1)
+    return np.split(features, np.searchsorted(features, borders))
 
 
 def fit_chain(features: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chain:
     """The chain of these categories over these texts' features."""
-    return _fitted(np.concatenate([np.empty(0, np.uint64), *features]), np.array([len(f) for f in features], np.int64), labels)
+    split = [_parts(f) for f in features]
+    parts = ((np.concatenate([np.empty(0, np.uint64), *(f[p] for f in split)]), np.array([len(f[p]) for f in split], np.int64)) for p in range(PARTS))
+    return _fitted(parts, len(features), labels)
 
 
-def _fitted(flat: np.ndarray, sizes: np.ndarray, labels: dict[str, np.ndarray]) -> Chain:
-    """The same for features that lie one text after the other."""
+def _fitted(parts: Iterable[tuple[np.ndarray, np.ndarray]], count: int, labels: dict[str, np.ndarray]) -> Chain:
+    """The same for features that come part by part of the hashes, one text after the other, with how many each text has."""
     links: dict[str, Link] = {}
-    count = len(sizes)
-    hashes = _common(flat)
-    rows, codes = np.repeat(np.arange(count, dtype=np.int32), sizes), np.empty(len(flat), np.int32)
-    for i in range(0, len(flat), 1 << 18):  # in steps, to hold little at once
-        part = flat[i : i + (1 << 18)]
-        at = np.minimum(np.searchsorted(hashes, part), max(0, len(hashes) - 1))
-        codes[i : i + (1 << 18)] = np.where(hashes[at] == part, at, -1) if len(hashes) else -1
-    del flat
-    rows, codes = rows[codes >= 0], codes[codes >= 0]
+    cells: Cells = []
+    names = [np.empty(0, np.uint64)]
+    width = 0
+    for flat, sizes in parts:  # one at a time, to hold little at once
+        own, times = np.unique(flat, return_counts=True)
+        own = own[times >= 3]  # rarer ones are never chosen
+        if len(own):
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = own[at] == flat
+            cells.append((np.repeat(np.arange(count, dtype=np.int32), sizes)[common], (at[common] + width).astype(np.int32)))
+            names.append(own)
+            width += len(own)
+    hashes = np.concatenate(names)
     fold = np.arange(count) % FOLDS
     earlier = np.empty((count, 0))
     for name, y in labels.items():
@@ -157,15 +176,18 @@ def _fitted(flat: np.ndarray, sizes: np.ndarray, labels: dict[str, np.ndarray])
         held = np.zeros(count)
         for part in [*range(FOLDS), -1]:  # the last model learns from all rows
             use = fold != part
-            chosen = _telling(rows, codes, len(hashes), y, use)
-            at = np.full(len(hashes), -1)
+            chosen = _telling(cells, width, y, use)
+            at = np.full(width, -1, np.int32)
             at[chosen] = np.arange(len(chosen))
-            set_ = at[codes] >= 0
-            own = use[rows] & set_
-            place = np.cumsum(use) - 1
-            weights = _logistic(place[rows[own]], at[codes[own]], len(chosen), earlier[use], y[use])
+            set_ = [at[codes] >= 0 for _, codes in cells]
+            rows = np.concatenate([np.empty(0, np.int32), *(r[s] for (r, _), s in zip(cells, set_, strict=True))])
+            columns = np.concatenate([np.empty(0, np.int32), *(at[c[s]] for (_, c), s in zip(cells, set_, strict=True))])
+            del set_
+            own = use[rows]
+            place = (np.cumsum(use) - 1).astype(np.int32)
+            weights = _logistic(place[rows[own]], columns[own], len(chosen), earlier[use], y[use])
             if part >= 0:
-                margin = np.bincount(rows[set_], weights[at[codes[set_]]], count) + earlier @ weights[len(chosen) : -1] + weights[-1]
+                margin = sum((np.bincount(rows[i : i + STEP], weights[columns[i : i + STEP]], count) for i in range(0, len(rows), STEP)), np.zeros(count)) + earlier @ weights[len(chosen) : -1] + weights[-1]
                 held[~use] = _sigmoid(margin)[~use]
         links[name] = Link({int(h): float(w) for h, w in zip(hashes[chosen], weights, strict=False)}, weights[len(chosen) : -1], float(weights[-1]))
         earlier = np.column_stack([earlier, held])
@@ -182,15 +204,28 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            found = [text_features(x.as_py()).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], ["k", "f", *(f"y{i}" for i in range(len(names)))])
-
-    schema = T.StructType([rows.schema["k"], T.StructField("f", T.ArrayType(T.LongType())), *(T.StructField(f"y{i}", T.IntegerType()) for i in range(len(names)))])
-    got = rows.mapInArrow(run, schema).orderBy("k", F.xxhash64("f")).limit(labelled).toArrow().combine_chunks()  # bounded, however often a key repeats
-    lists = got.column("f").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
-    values = {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)}
-    del got
-    return _fitted(lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), values)
+            found = [_parts(text_features(x.as_py())) for x in batch.column(1)]
+            lists = [pa.array([f[p].view(np.int64) for f in found], pa.list_(pa.int64())) for p in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *batch.columns[2:]], schema.fieldNames())
+
+    parts = [f"f{p}" for p in range(PARTS)]
+    schema = T.StructType([rows.schema["k"], *(T.StructField(f, T.ArrayType(T.LongType())) for f in parts), *(T.StructField(f"y{i}", T.IntegerType()) for i in range(len(names)))])
+    found = rows.mapInArrow(run, schema).withColumn("h", F.xxhash64(*parts))
+    sample = cut(found.orderBy("k", "h").limit(labelled))  # bounded, however often a key repeats
+
+    def ordered(*columns: str) -> pa.Table:
+        return sample.coalesce(1).sortWithinPartitions("k", "h").select(*columns).toArrow()
+
+    def taken() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for f in parts:
+            lists = ordered(f).column(0).combine_chunks() if count else pa.array([], pa.list_(pa.int64()))
+            yield lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    got = ordered(*(f"y{i}" for i in range(len(names))))
+    count, values = got.num_rows, {n: got.column(f"y{i}").to_numpy() for i, n in enumerate(names)}
+    chain = _fitted(taken(), count, values)
+    drop(sample)
+    return chain
 
 
 def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
